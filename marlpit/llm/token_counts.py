@@ -25,8 +25,10 @@ from marlpit.llm.common import map_arrow, text_or_empty
 #: The character that stands for a space inside pieces.
 MARK = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
-#: Distinct words whose steps a worker remembers; beyond it the memory starts anew.
-WORDS_KEPT = 400_000
+#: Distinct words, pairs and word beginnings that a worker remembers; beyond it that memory starts anew.
+WORDS_KEPT, PAIRS_KEPT, STEMS_KEPT = 1_000_000, 600_000, 100_000
+#: Lengths of the word beginnings whose program is remembered, the longest first.
+STEMS = (12, 9, 7, 5)
 
 
 class PrefixCounter:
@@ -43,14 +45,26 @@ class PrefixCounter:
         }
         if any(MARK in piece.lstrip(MARK) for piece in self.score):
             raise ValueError("pieces with an inner space mark: words of this model aren't independent")
-        self.longest = max(map(len, self.score))
+        #: Every end of a piece, with the piece that it is itself, if any.
+        self.tails = {piece[k:]: "" for piece in self.score for k in range(1, len(piece))} | {piece: piece for piece in self.score}
+        #: No merge joins two characters that stand in no piece side by side.
+        self.joined = {piece[k : k + 2] for piece in self.score for k in range(len(piece) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.steps: dict[str, bytes] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging the best pair again and again, the leftmost of equals first."""
+        self.stems: dict[str, tuple[list[str], list[int]]] = {}
+        #: Merges in the order of their scores; a single character is there from the start.
+        order = sorted(self.score, key=self.score.get, reverse=True)
+        self.rank = {piece: k for k, piece in enumerate(order) if len(piece) > 1}
+        self.halves: dict[str, tuple[str, str]] = {}
+        for piece in self.rank:
+            parts = self.merged(piece, 2)
+            if len(parts) == 2 and max(self.rank.get(x, -1) for x in parts) < self.rank[piece]:
+                self.halves[piece] = (parts[0], parts[1])
+
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """Pieces of a short text by merging the best pair again and again, the leftmost of equals first, down to least."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > least:
             scores = [self.score.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
             best = max(scores)
             if best == -np.inf:
@@ -59,27 +73,71 @@ class PrefixCounter:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def meet(self, left: str, right: str) -> bool:
+        """True if no merge ever crosses the border of two pieces.
+
+        Undoes their merges from the last to the first. The parts at the border would have merged if their joint rank
+        came before that of the merge that ended their time there; of equal ranks the left one comes first.
+        """
+        rank, before = self.rank, np.inf
+        while True:
+            if rank.get(left + right, np.inf) < before:
+                return False
+            a, b = rank.get(left, -1), rank.get(right, -1)
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                before, left = a, self.halves[left][1]
+            else:
+                before, right = b + 1, self.halves[right][0]
+
     def compatible(self, left: str, right: str) -> bool:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4 * WORDS_KEPT:
+            if len(self.pairs) > PAIRS_KEPT:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+            plain = all(len(x) < 2 or x in self.halves for x in key)
+            known = self.meet(left, right) if left and plain else self.merged(left + right) == [x for x in key if x]
+            self.pairs[key] = known
         return known
 
     def word_steps(self, word: str) -> bytes:
-        """For each character of a word, what it adds to the count of tokens, as signed bytes."""
-        score, longest, last, counts = self.score, self.longest, [""], [0]
-        for end in range(1, len(word) + 1):
-            for length in range(min(longest, end), 0, -1):
-                piece = word[end - length : end]
-                if (length == 1 or piece in score) and self.compatible(last[end - length], piece):
-                    tokens = 1 if piece in score else len(piece.encode())
+        """For each character of a word, what it adds to the count of tokens, as signed bytes.
+
+        Prefixes that an earlier word shares are not worked out again.
+        """
+        tails, pairs = self.tails, self.pairs
+        last, counts = [""], [0]
+        for length in STEMS:
+            if length < len(word) and (known := self.stems.get(word[:length])):
+                last, counts = known[0][:], known[1][:]
+                break
+        for end in range(len(last), len(word) + 1):
+            pieces, start = [], end - 1
+            while start >= 0:
+                piece = tails.get(word[start:end])
+                if piece is None:
+                    break
+                if piece:
+                    pieces.append(piece)
+                start -= 1
+            tokens = 1
+            for piece in reversed(pieces):
+                left = last[end - len(piece)]
+                fits = pairs.get((left, piece))
+                if fits or fits is None and self.compatible(left, piece):
                     break
+            else:  # no vocabulary entry for this character: its bytes
+                piece = word[end - 1]
+                tokens = len(piece.encode())
             last.append(piece)
-            counts.append(counts[end - length] + tokens)
-        return np.diff(counts).astype(np.int8).tobytes()
+            counts.append(counts[end - len(piece)] + tokens)
+            if end in STEMS:
+                if len(self.stems) > STEMS_KEPT:
+                    self.stems.clear()
+                self.stems[word[:end]] = last[:], counts[:]
+        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
     def step(self, word: str) -> bytes:
         known = self.steps.get(word)
@@ -87,7 +145,13 @@ class PrefixCounter:
             if len(self.steps) > WORDS_KEPT:
                 self.steps.clear()
             bare = word.lstrip(" ")
-            known = self.steps[word] = self.word_steps(MARK * (len(word) - len(bare)) + bare)
+            marked = MARK * (len(word) - len(bare)) + bare
+            cuts = [k for k in range(1, len(marked)) if marked[k - 1 : k + 1] not in self.joined]
+            if cuts:
+                known = b"".join([self.step(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+            else:
+                known = self.word_steps(marked)
+            self.steps[word] = known
         return known
 
     def counts(self, text: str) -> np.ndarray:
