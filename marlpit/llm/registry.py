@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlpit.llm import token_counts as tokens
+from marlpit.llm import packing
 from marlpit.llm.common import table
 
 
@@ -12,7 +13,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_counts": op5_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
