@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlpit.llm import token_counts as tokens
 from marlpit.llm import packing
+from marlpit.llm import secret_scan
 from marlpit.llm.common import table
 
 
@@ -17,7 +18,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_counts": op5_token_counts,
 }
