@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marlpit.llm import token_counts as tokens
 from marlpit.llm import packing
 from marlpit.llm import secret_scan
+from marlpit.llm import sharding
 from marlpit.llm.common import table
 
 
@@ -22,7 +23,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
+    "op4_sharding": op4_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_counts": op5_token_counts,
