@@ -8,6 +8,7 @@ from marlpit.llm import token_counts as tokens
 from marlpit.llm import packing
 from marlpit.llm import secret_scan
 from marlpit.llm import sharding
+from marlpit.llm import mixing
 from marlpit.llm.common import table
 
 
@@ -27,7 +28,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_mixing": op7_mixing,
     "op4_sharding": op4_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
