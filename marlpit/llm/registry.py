@@ -9,6 +9,7 @@ from marlpit.llm import packing
 from marlpit.llm import secret_scan
 from marlpit.llm import sharding
 from marlpit.llm import mixing
+from marlpit.llm import fingerprints as prints
 from marlpit.llm.common import table
 
 
@@ -32,7 +33,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op7_mixing": op7_mixing,
     "op4_sharding": op4_sharding,
     "op2_secret_scan": op2_secret_scan,
