@@ -10,6 +10,7 @@ from marlpit.llm import secret_scan
 from marlpit.llm import sharding
 from marlpit.llm import mixing
 from marlpit.llm import fingerprints as prints
+from marlpit.llm import quality
 from marlpit.llm.common import table
 
 
@@ -37,7 +38,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES = {
+    "op10_quality": op10_quality,
     "op1_fingerprints": op1_fingerprints,
     "op7_mixing": op7_mixing,
     "op4_sharding": op4_sharding,
