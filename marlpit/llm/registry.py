@@ -11,6 +11,7 @@ from marlpit.llm import sharding
 from marlpit.llm import mixing
 from marlpit.llm import fingerprints as prints
 from marlpit.llm import quality
+from marlpit.llm import near_dedup
 from marlpit.llm.common import table
 
 
@@ -42,7 +43,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES = {
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
     "op1_fingerprints": op1_fingerprints,
     "op7_mixing": op7_mixing,
