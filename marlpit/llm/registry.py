@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlpit.llm import token_counts as tokens
 from marlpit.llm import packing
@@ -12,6 +13,7 @@ from marlpit.llm import mixing
 from marlpit.llm import fingerprints as prints
 from marlpit.llm import quality
 from marlpit.llm import near_dedup
+from marlpit.llm import top_k
 from marlpit.llm.common import table
 
 
@@ -47,7 +49,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 QUERIES = {
+    "op8_top_k": op8_top_k,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
     "op1_fingerprints": op1_fingerprints,
@@ -57,4 +64,16 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_counts": op5_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored
+        ) WHERE rank <= 5""",
+}
