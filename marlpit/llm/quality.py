@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from marlpit.llm.common import text_or_empty
 
@@ -131,16 +132,16 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray) -> Model:
     if len(rows) < 10 or min(good.sum(), (~good).sum()) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32), 0.0, math.log(share / (1 - share)))
 
-    def trained(part: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def trained(part: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
         own, labels = [rows[i] for i in part], good[part]
         ratios = log_count_ratios(own, labels)
         norms = [math.sqrt(float((ratios[x] ** 2).sum())) for x in own]
         weights = dual_coordinate_descent(own, [ratios[x] / n for x, n in zip(own, norms, strict=True)], labels)
         return (weights * ratios).astype(np.float32), (ratios**2).astype(np.float32)
 
-    rest = [i for i in range(len(rows)) if i % 4]
+    turn = np.where(good, np.cumsum(good), np.cumsum(~good)) - 1  # a quarter of each label stays out for the sigmoid
+    rest, back = np.flatnonzero(turn % 4).tolist(), np.flatnonzero(turn % 4 == 0).tolist()
     held = Model(*trained(rest), 1.0, 0.0)
-    back = [i for i in range(len(rows)) if not i % 4]
     slope, intercept = sigmoid_fit(np.array([held.margin(rows[i]) for i in back]), good[back])
     return Model(*trained(list(range(len(rows)))), slope, intercept)
 
@@ -195,3 +196,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), aside.alias("held_out"))
     scored = own.mapInArrow(score, f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, that score the threshold or more by a model of all labels.
+
+    Null texts are scored as empty ones. Repeated rows share their fate. An empty table stays empty.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
+
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(model.value.score)
+
+    return docs.filter(score(text_or_empty(text_col)) >= threshold)
