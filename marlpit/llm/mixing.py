@@ -94,8 +94,9 @@ def targets(sources: DataFrame, share: float, weights: Sequence[float], most: fl
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: Sequence[float] = WEIGHTS, most: int = 2, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, size, source_size, target, taken, copies, and the columns to carry): what the mix takes of each document.
+    """(id, size, source_size, target, taken, copies): what the mix takes of each document.
 
+    Columns to carry come along in a struct, carried.
     A null text has size 0; null is a source of its own, the last. Documents without words are never counted. No
     document is taken more than `most` times. Null ids are hashed like any; repeated rows are taken each by itself;
     other columns are ignored, whatever their names. An empty table gives an empty result. Rows of one size and source
@@ -109,7 +110,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), id_col).alias("draw"),
         F.crc32(text).alias("crc"),
-        F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("carried"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     buckets = max(16, math.ceil(docs.count() / BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("draw", 8), F.lit(buckets)))
@@ -139,4 +140,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = rows.drop("source").withColumn("rank", rank).join(due, ["key", "size", "bucket"])
     copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("rank") <= F.col("due")).cast("long")).otherwise(F.lit(0))
     taken = taken.withColumn("copies", copies)
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col("carried")[c].alias(c) for c in carry if c != id_col])
+    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["carried"] if carry else []))

@@ -53,7 +53,7 @@ def test_mix(spark):
         rows.append((i, " \t".join(["w x"] * rng.choice([0, 1, 5, 5, 17, rng.randrange(200)])), source, 0))
     rows += [(5, "x y", "a", 0)] * 3 + [(None, None, None, None), (9, "only", "one", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
-    got = mix(docs, carry=["source"]).collect()
+    got = mix(docs, carry=["source"]).select("*", "carried.source").collect()
     assert len(got) == len(rows)
     sizes, taken = {}, {}
     for i, text, source, _ in rows:
