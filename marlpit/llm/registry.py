@@ -14,6 +14,7 @@ from marlpit.llm import fingerprints as prints
 from marlpit.llm import quality
 from marlpit.llm import near_dedup
 from marlpit.llm import top_k
+from marlpit.llm import language_id
 from marlpit.llm.common import table
 
 
@@ -53,7 +54,12 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_language_id": op6_language_id,
     "op8_top_k": op8_top_k,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
