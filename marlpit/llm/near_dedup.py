@@ -247,3 +247,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     found = rows.drop("signature").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which one of each component stays: that of the smallest id.
+
+    Of repeated rows one stays. Null ids count as smaller than all others. Documents without words all stay, apart from
+    repeats of an id and text.
+    """
+    keys = ["marlpit_id", "marlpit_text"]
+    known = docs.withColumns({keys[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), keys[1]: F.xxhash64(text_or_empty(text_col))})
+    found = near_duplicates(known.select(F.struct(*keys).alias("key"), F.col(text_col).alias("text")), width, percent, "key", "text")
+    kept = found.filter("kept").select("key.*").distinct()
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return known.join(kept, keys, "left_semi").withColumn("marlpit_first", first).filter("marlpit_first = 1").drop(*keys, "marlpit_first")
