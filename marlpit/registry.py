@@ -1,6 +1,8 @@
-"""Every query of the retrieval and scoring operators, by name."""
+"""Every query of the retrieval and scoring operators, by name, with the SQL that checks it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from marlpit.plans.oracle import ORACLE_SQL
+from marlpit.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
