@@ -2,8 +2,8 @@
 
 Lines are paragraphs. A section ends before a blank line or a heading, and after a paragraph whose digest ends in
 three zero bits, so that text without any of these has sections too and an edit moves no other section. Below a
-paragraph are clauses, runs of words that end after a word whose hash ends in three zero bits; in paragraphs of up to
-twelve words each word is a clause. Digests of paragraphs, sections and the root are hashes of their parts' digests.
+paragraph are clauses, runs of words that end after a word whose hash ends in three zero bits, twelve words at most; in
+paragraphs of up to twelve words each word is a clause, in texts of up to 24 characters each character. Digests of paragraphs, sections and the root are hashes of their parts' digests.
 
 A fingerprint is the root, then the clauses: root:clauses,clauses;clauses... with paragraphs apart by commas and
 sections by semicolons. Equal roots mean equal texts. Where they differ, equal subtrees are passed over and the other
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from marlpit.llm.common import text_or_empty
 
 WORDS_KEPT = 600_000
-SHORT = 12
+#: Words of a paragraph that are clauses each, most words of a clause, and characters of a text that are clauses each.
+SHORT, LONG, SPELLED = 12, 12, 24
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows that are sorted and compared in one range of ids, and most ranges.
 RANGE_ROWS, RANGES_MOST = 2_000, 16_384
@@ -48,7 +49,7 @@ def word_hashes() -> Hashes:
     return Hashes()
 
 
-@lru_cache(maxsize=32)
+@lru_cache(maxsize=1)
 def powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, ODD, np.uint64))
 
@@ -61,17 +62,22 @@ class Tree:
     """The tree of one text. clauses: 64-bit digests in order; paragraphs, sections: digests with their first clauses."""
 
     def __init__(self, text: str):
-        lines = [line.split(" ") for line in text.split("\n")]
+        if len(text) <= SPELLED:
+            lines = [["\0" + char for char in line] or [""] for line in text.split("\n")]
+        else:
+            lines = [line.split(" ") for line in text.split("\n")]
         sizes = np.array([len(x) for x in lines])
         words = np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
         ends = np.cumsum(sizes)
         last = (words & np.uint64(7)) == 0
         last[ends - 1] = True
         last |= np.repeat(sizes <= SHORT, sizes)
-        stops = np.flatnonzero(last) + 1
-        starts = np.concatenate([[0], stops[:-1]])
-        within = np.arange(len(words)) - np.repeat(starts, stops - starts)
-        weighted = (words ^ (words >> np.uint64(29))) * powers(1 << int(within.max() + 1).bit_length())[within]
+        for _ in range(2):  # the second time with the ends that long runs get
+            stops = np.flatnonzero(last) + 1
+            starts = np.concatenate([[0], stops[:-1]])
+            within = np.arange(len(words)) - np.repeat(starts, stops - starts)
+            last |= within % LONG == LONG - 1
+        weighted = (words ^ (words >> np.uint64(29))) * powers(LONG)[within]
         mixed = np.add.reduceat(weighted, starts) + (stops - starts).astype(np.uint64)
         self.clauses = (mixed ^ (mixed >> np.uint64(32))) * ODD
         raw, borders = self.clauses.tobytes(), np.searchsorted(stops, ends, "left") + 1
@@ -79,7 +85,7 @@ class Tree:
         self.paragraphs = [(digest(raw[8 * a : 8 * b]), a) for a, b in zip(borders, borders[1:], strict=False)]
         self.sections: list[list[tuple[bytes, int]]] = [[]]
         for (name, at), line in zip(self.paragraphs, lines, strict=True):
-            if self.sections[-1] and (line == [""] or line[0].startswith("#") or self.sections[-1][-1][0][-1] & 7 == 0):
+            if self.sections[-1] and (line == [""] or line[0].lstrip("\0").startswith("#") or self.sections[-1][-1][0][-1] & 7 == 0):
                 self.sections.append([])
             self.sections[-1].append((name, at))
         self.root = digest(b"".join(digest(b"".join(name for name, _ in section)) for section in self.sections))

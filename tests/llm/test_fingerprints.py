@@ -24,11 +24,13 @@ def test_roots_follow_texts_and_edits_are_located():
     assert len(sections) > 3 and sum(map(len, sections)) == 60 and len(changed) == 1
     s, p = changed[0]
     assert sum(map(len, sections[:s])) + p == 41
+    runs = [Tree(("on " * n).strip()).fingerprint() for n in (300, 200)]
+    assert likeness(*runs) > 0.7 and likeness(Tree("De.").fingerprint(), Tree("DeT").fingerprint()) > 0.6
     assert likeness(a, a) == 1.0 and 0.97 < likeness(a, b) < 1.0 and likeness(a, Tree(words(500)).fingerprint()) < 0.05
 
 
 def test_small_differences_change_the_root():
-    texts = ["", " ", "  ", "\n", "a", "a ", " a", "a\nb", "a b", "b a", "a\n\nb", "A", "é", "é", "a\tb", "\r\n"]
+    texts = ["", " ", "  ", "\n", "a", "a ", " a", "a\nb", "a b", "b a", "a\n\nb", "A", "é", "é", "a\tb", "\r\n", "abcdefghijklm", "a b c d e f g h i j k l m", "a " * 40, "a " * 41]
     assert len({Tree(t).root for t in texts}) == len(texts)
 
 
