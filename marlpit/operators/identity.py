@@ -12,7 +12,7 @@ def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", or
     """(order, sha256, document_id, known) of every file.
 
     A hash that the registry holds keeps its document id. New hashes are numbered on from the registry's count, in the
-    order of the first file that has them. Numbers come from counts by range of the order, so no task sees all files.
+    order of the first file that has them. Numbers come from counts by slices of the order, so no task sees all files.
     """
     first = files.groupBy(F.col(hash_col).alias("sha256")).agg(F.min(order_col).alias("first"))
     fresh = first.join(registry.select("sha256").distinct(), "sha256", "left_anti")
@@ -22,17 +22,15 @@ def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", or
     return files.select(F.col(order_col), F.col(hash_col).alias("sha256")).join(ids.unionByName(old), "sha256")
 
 
-def positions(rows: DataFrame, by: str, buckets: int = 1024) -> DataFrame:
+def positions(rows: DataFrame, by: str, slices: int = 128) -> DataFrame:
     """Rows with their position, from 1, in the order of a numeric column without repeats.
 
-    Rows are counted by equal slices of the column's range; a slice's rows are ranked in one task and the slices'
-    counts summed up.
+    Approximate quantiles cut the rows into slices of about equal size, whatever the column's values. A slice's rows
+    are ranked in one task, and the slices' counts are summed up.
     """
-    low, high = rows.agg(F.min(by), F.max(by)).first()
-    if low is None:
-        return rows.withColumn("position", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    sliced = rows.withColumn("_slice", F.floor((F.col(by) - F.lit(low)) / F.lit(width)))
+    cuts = sorted(set(rows.approxQuantile(by, [k / slices for k in range(1, slices)], 0.25 / slices)))
+    bounds = F.array(*[F.lit(x) for x in cuts]).cast("array<double>")
+    sliced = rows.withColumn("_slice", F.size(F.filter(bounds, lambda b: b <= F.col(by).cast("double"))))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("n")).select("_slice", before.alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy(by))
