@@ -85,7 +85,8 @@ def targets(sources: DataFrame, share: float, weights: Sequence[float], most: fl
     ranked = sources.withColumn("weight", F.element_at(kinds, ((F.row_number().over(by_code_point) - 1) % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("most", F.col("source_size") * F.lit(float(most))).withColumn("full_at", F.col("most") / F.col("weight"))
     filling = Window.orderBy("full_at", "key")
-    before, after = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
+    before = filling.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("full_at"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)  # a running sum from the end
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     leveled = ranked.withColumn("level", level)

@@ -8,8 +8,8 @@ or more is that of at most m hits in n + 1 draws at the threshold. A pair whose
 is dropped. Survivors are verified on their whole sets. Links make components.
 
 Buckets that now hold one component are done. In the others, pairs of different components remain. Their members are
-compared in blocks of bounded size, where only survivors leave a task; verified links complete the components. No pair
-in a bucket is left out, and none between classes that are joined already is looked at.
+compared in blocks of bounded size. Each pair is looked at in its first common band; survivors are verified on whole
+sets in the same task, which gives back only links that join two components there. No pair in a bucket is left out.
 
 With 32 bands of 4 values two sets at the threshold of 0.8 meet in no bucket with a chance of 5e-8.
 """
@@ -33,8 +33,8 @@ BANDS, BAND_ROWS = 32, 4
 VALUES = BANDS * BAND_ROWS
 #: Values of a signature that are compared at once, and the chance at which a pair is dropped.
 BATCH, MISS = 16, 1e-6
-#: Members of a block in the second round.
-BLOCK = 256
+#: Most members of a block in the second round, about, and most shingles, unless one document alone has more.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 WORDS_KEPT = 600_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,8 +140,8 @@ def survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links: pairs whose whole sets have percent / 100 or more of their union in common. Texts are read anew."""
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(k, members): the whole sets of classes (k), from texts that are read anew."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +149,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             own = [k for k, (x, key) in enumerate(zip(found, batch.column("set_key").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(x.tobytes()) == key]
             yield pa.RecordBatch.from_pydict({"k": batch.column("k").take(pa.array(own, pa.int64())), "members": pa.array([found[k].tobytes() for k in own], pa.binary())})
 
+    keys = wanted.distinct().join(classes, "k").select("k", "cid", "set_key")
+    texts = docs.join(keys, docs["id"].eqNullSafe(keys["cid"])).select("k", "set_key", "text")
+    return written(texts.mapInArrow(sets, "k long, members binary").dropDuplicates(["k"]))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links: pairs whose whole sets have percent / 100 or more of their union in common."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -158,10 +166,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 linked.append(100 * common >= percent * (len(one) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes, "k").select("k", "cid", "set_key")
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["cid"])).select("k", "set_key", "text")
-    found = texts.mapInArrow(sets, "k long, members binary").dropDuplicates(["k"])
-    found = written(found)
+    found = class_sets(pairs.select(F.explode(F.array("a", "b")).alias("k")), classes, docs, width)
     one = found.select(F.col("k").alias("a"), F.col("members").alias("xa"))
     other = found.select(F.col("k").alias("b"), F.col("members").alias("xb"))
     return pairs.join(one, "a").join(other, "b").select("a", "b", "xa", "xb").mapInArrow(confirm, "a long, b long")
@@ -185,35 +190,98 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def second_round(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Survivors among pairs of different components that share a bucket, compared in blocks."""
+class Joined:
+    """Components of a block's members, with the links that were found on the way."""
+
+    def __init__(self, components: np.ndarray):
+        self.to: dict[int, int] = {}
+        self.of = components
+
+    def root(self, i: int) -> int:
+        at = int(self.of[i])
+        while at in self.to:
+            at = self.to[at]
+        return at
+
+    def join(self, i: int, j: int) -> bool:
+        """True if the two were apart."""
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.to[max(a, b)] = min(a, b)
+        return a != b
+
+
+def open_pairs(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of pairs of a block, or of two, that no signature rules out: of different components, and whose
+    first common band is this one. side is 2 for a block with itself, else 0 and 1."""
+    mark, band = group["side"].to_numpy(), int(group["band"].iloc[0])
+    signed, component = signatures(list(group["signature"])), group["component"].to_numpy()
+    bands = signed.reshape(len(signed), BANDS, BAND_ROWS)
+    out = []
+    for i in np.flatnonzero(mark != 1):
+        j = np.flatnonzero(component != component[i])
+        j = j[j > i] if mark[i] == 2 else j[mark[j] == 1]
+        j = j[going_on(np.broadcast_to(signed[i], (len(j), VALUES)), signed[j], threshold)]
+        j = j[~(bands[j, :band] == bands[i, :band]).all(2).any(1)]
+        out.append(np.stack([np.full(len(j), i), j]))
+    found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+    return found[0], found[1]
+
+
+def block_links(group: pd.DataFrame, threshold: float, percent: int) -> list[tuple[int, int]]:
+    """Links between open pairs of a block by their whole sets, only those that join two components."""
+    left, right = open_pairs(group, threshold)
+    sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
+    sizes = np.array([len(x) for x in sets])
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    own = [numbers[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+    held = np.zeros(int(numbers.max()) + 1, np.int64)
+    k, joined, links = group["k"].to_numpy(), Joined(group["component"].to_numpy()), []
+    for i in np.unique(left):
+        others = [int(j) for j in right[left == i] if joined.root(i) != joined.root(j)]
+        if not others:
+            continue
+        held[own[i]] = 1
+        ends = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+        common = np.add.reduceat(held[np.concatenate([own[j] for j in others])], ends)
+        held[own[i]] = 0
+        for j, both in zip(others, common.tolist(), strict=True):
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both) and joined.join(i, j):
+                links.append((min(k[i], k[j]), max(k[i], k[j])))
+    return links
+
+
+def second_round(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket.
+
+    Members of a bucket are compared in blocks. A first look at signatures says which members have an open pair; only
+    these come again with their sets. No pair leaves a task unless it joins two components there.
+    """
+    threshold, place = percent / 100, ["bucket", "low", "high"]
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        found = np.unique(np.concatenate(open_pairs(group, threshold)))
+        return group.iloc[found].drop(columns="signature")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["side"] != 1], group[group["side"] != 0]]  # 2: a block with itself
-        same = (group["side"] == 2).all()
-        own, other = (signatures(list(x["signature"])) for x in sides)
-        (ka, ca), (kb, cb) = ((x["k"].to_numpy(), x["component"].to_numpy()) for x in sides)
-        open_ = ca[:, None] != cb[None, :]
-        i, j = np.nonzero(np.triu(open_) if same else open_)
-        out = []
-        for k in range(0, len(i), 8192):
-            at = k + going_on(own[i[k : k + 8192]], other[j[k : k + 8192]], threshold)
-            out.append(pd.DataFrame({"a": np.minimum(ka[i[at]], kb[j[at]]), "b": np.maximum(ka[i[at]], kb[j[at]])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(group, threshold, percent), columns=["a", "b"], dtype="int64")
 
     labelled = buckets.join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     mixed = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.filter("low < high and n > 2").select("bucket")  # the one pair of two members has been compared
-    order = Window.partitionBy("bucket").orderBy("component", "k")
-    members = labelled.join(mixed, "bucket").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    members = written(members.select("bucket", "block", "k", "component"))
-    blocks = members.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
-    dealt = members.join(blocks, "bucket").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "bucket", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "k", "component", F.when(F.col("block") == F.col("with"), 2).otherwise((F.col("block") > F.col("with")).cast("int")).alias("side")
-    )
-    full = dealt.join(classes.select("k", "signature"), "k")
-    return full.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    sized = labelled.join(mixed, "bucket").join(classes.select("k", (1 + F.col("n_shingles") / BLOCK_SHINGLES * BLOCK).alias("weight")), "k")
+    order = Window.partitionBy("bucket").orderBy("component", "k").rowsBetween(Window.unboundedPreceding, 0)
+    members = written(sized.select("bucket", "band", "k", "component", F.floor(F.sum("weight").over(order) / BLOCK).alias("block")))
+    blocks = members.groupBy("bucket").agg(F.collect_set("block").alias("blocks"))
+    dealt = members.join(blocks, "bucket").withColumn("with", F.explode("blocks"))
+    side = F.when(F.col("block") == F.col("with"), 2).otherwise((F.col("block") > F.col("with")).cast("int"))
+    dealt = dealt.select("bucket", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "band", "k", "component", side.alias("side"))
+    kind = "bucket long, low long, high long, band int, k long, component long, side int"
+    signed = classes.select("k", "signature")
+    left = written(dealt.join(signed, "k").groupBy(*place).applyInPandas(look, kind))
+    sets = class_sets(left.select("k"), classes, docs, width)
+    return left.join(signed, "k").join(sets, "k").groupBy(*place).applyInPandas(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,19 +296,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     threshold = percent / 100
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = written(described(own, width))
-    sets = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("cid"), F.first("signature").alias("signature"))
+    sets = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("cid"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     classes = written(sets.select(F.monotonically_increasing_id().alias("k"), "*"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * BAND_ROWS * 4 + 1, F.lit(BAND_ROWS * 4))))
-    banded = classes.select("k", F.explode(keys).alias("bucket"))
+    banded = classes.select("k", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).filter("n > 1").drop("n")
     buckets = written(banded.join(shared, "bucket"))
     stars = buckets.filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
     links = written(verified(written(survivors(stars, classes, threshold)), classes, own, width, percent))
     labels = components(links)
-    more = written(second_round(buckets.drop("first"), classes, labels, threshold))
+    more = written(second_round(buckets.drop("first"), classes, labels, own, width, percent))
     if more.limit(1).count():
-        further = written(verified(more, classes, own, width, percent))
-        labels = components(links.unionByName(further))
+        labels = components(links.unionByName(more))
     joined = classes.select("k", "set_key", "cid").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     lowest = joined.groupBy("component").agg(F.min("cid").alias("component_id"))
     named = joined.join(lowest, "component").select("set_key", "component_id")

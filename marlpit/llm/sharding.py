@@ -46,9 +46,9 @@ def ring_pieces(rows: DataFrame, shards: int) -> DataFrame:
     cells = written(cells.coalesce(1))  # this and the tables below have a fixed size
     # the owner of a cell: the first node from it on, else the first node of all
     first = nodes.groupBy("at").agg(F.min_by("shard", "node").alias("shard"))
-    ring = Window.orderBy("cell")
+    back = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
     owned = cells.join(first, F.col("cell") == F.col("at"), "left").select(
-        "cell", "n", F.first("shard", ignorenulls=True).over(ring.rowsBetween(0, Window.unboundedFollowing)).alias("owner")
+        "cell", "n", F.last("shard", ignorenulls=True).over(back).alias("owner")
     )
     lowest = first.agg(F.min_by("shard", "at").alias("wrap"))
     sizes = cells.agg(F.sum("n").alias("total"))
