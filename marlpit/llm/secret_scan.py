@@ -2,8 +2,10 @@
 
 A candidate is a run of 20 or more characters of the widest alphabet in which keys are written. A window of 20
 characters slides over it; counts of the characters in it change by one in and one out, so each step costs the same.
-Windows are judged by the smallest character class that holds their candidate, and neighbours that pass are joined.
-Candidates on the allow-list are left alone.
+A candidate may hold more than a key, as in SIGNING_KEY=..., so its parts between separators are judged by themselves:
+a part is a key as a whole if a window of it passes by the smallest character class that holds the window or the part.
+Windows with separators are judged among what is left, and spans are widened to whole parts, or to the whole key where
+it may hold separators. Parts, runs and candidates on the allow-list are left alone.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,7 +46,17 @@ CLASSES = (
     ("alnum", re.compile(r"[0-9A-Za-z]+"), 3.75),
     ("base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 3.75),
 )
-#: Candidates that are public by their form: UUIDs, paths and hyphenated words without digits, long repeats, samples.
+LEAST = min(least for *_, least in CLASSES)
+SEPARATORS, JOINTS = "+/_=-", "+/_-"  # what is joined by = is never one key
+SEPARATOR, EQUALS = re.compile(r"[+/_=-]"), re.compile("=")
+PART = re.compile(r"[0-9A-Za-z]{20,}")
+RUN = re.compile(r"[0-9A-Za-z+/_-]+=*|=+")  # = at the end pads a key
+#: Hex, base32 and keys of one case have no separators inside; keys of 64 characters may go on beyond one.
+ONE_CASE = re.compile(r"[0-9a-z]+|[0-9A-Z]+")
+#: Words and numbers beside a key, as in paths, aren't parts of it; + joins no words.
+PLAIN = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z]{4,}|[0-9]{4,}")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
+#: Candidates, and parts and runs of them, that are public by their form: UUIDs, paths and hyphenated words without digits, long repeats, samples.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[A-Za-z+/_=-]*[+/_=-][A-Za-z+/_=-]*"),
@@ -81,24 +94,105 @@ def window_entropies(text: str, width: int = WINDOW) -> list[float]:
     return found
 
 
-def entropy_spans(text: str, candidates: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
-    for start, end in candidates:
-        string = text[start:end]
-        least = next(least for _, form, least in CLASSES if form.fullmatch(string))
-        if least == math.inf or any(form.fullmatch(string) for form in ALLOWED):
+def least_bits(string: str) -> float:
+    return next(least for _, form, least in CLASSES if form.fullmatch(string))
+
+
+def allowed(string: str) -> bool:
+    return any(form.fullmatch(string) for form in ALLOWED)
+
+
+def key_part(string: str) -> bool:
+    """True if a window of a string without separators passes by the class of the window or of the string."""
+    own = least_bits(string)
+    if own == math.inf or allowed(string):
+        return False
+    bits = window_entropies(string)
+    return any(x >= own or x >= LEAST and x >= least_bits(string[k : k + WINDOW]) for k, x in enumerate(bits))
+
+
+def mixed_windows(text: str, start: int, end: int, separator: re.Pattern[str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Joined windows from start to end that hold a separator, pass, and touch nothing taken. taken is in order."""
+    if end - start < WINDOW or allowed(text[start:end]):
+        return
+    marks = [found.start() for found in separator.finditer(text, start, end)]
+    if not marks:
+        return
+    least, mark, other, reach = least_bits(text[start:end]), 0, 0, None
+    for at, bits in enumerate(window_entropies(text[start:end]), start):
+        while mark < len(marks) and marks[mark] < at:
+            mark += 1
+        while other < len(taken) and taken[other][1] <= at:
+            other += 1
+        if bits < least or mark == len(marks) or marks[mark] >= at + WINDOW or other < len(taken) and taken[other][0] < at + WINDOW:
             continue
-        reach = None
-        for k, bits in enumerate(window_entropies(string)):
-            if bits < least:
-                continue
-            if reach and start + k <= reach[1]:
-                reach = (reach[0], start + k + WINDOW)
-            else:
-                if reach:
-                    yield "entropy", *reach
-                reach = (start + k, start + k + WINDOW)
-        if reach:
-            yield "entropy", *reach
+        if reach and at <= reach[1]:
+            reach = (reach[0], at + WINDOW)
+        else:
+            if reach:
+                yield reach
+            reach = (at, at + WINDOW)
+    if reach:
+        yield reach
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def widened(text: str, low: int, high: int, start: int, end: int, across: bool) -> tuple[int, int]:
+    """A span within low and high with the whole parts at its ends; across: and the parts beyond a separator, up to a plain one."""
+    while start > low and text[start - 1] not in SEPARATORS:
+        start -= 1
+    while end < high and text[end - 1] not in SEPARATORS and text[end] not in SEPARATORS:
+        end += 1
+    if not across:
+        return start, end
+    while start > low and text[start - 1] in JOINTS:
+        at = start - 1
+        while at > low and text[at - 1] not in SEPARATORS:
+            at -= 1
+        if text[start - 1] != "+" and PLAIN.fullmatch(text, at, start - 1):
+            break
+        start = at
+    while end < high and text[end] in JOINTS:
+        at = end + 1
+        while at < high and text[at] not in SEPARATORS:
+            at += 1
+        if text[end] != "+" and PLAIN.fullmatch(text, end + 1, at):
+            break
+        end = at
+    while end < high and text[end] == "=":
+        end += 1
+    return start, end
+
+
+def entropy_spans(text: str, candidates: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Spans of parts without separators first, then of runs without =, then of the rest of a candidate."""
+    for low, high in candidates:
+        public = [found.span() for found in UUID.finditer(text, low, high)]
+        spans, taken = [], list(public)
+        for found in PART.finditer(text, low, high):
+            if key_part(found.group()):
+                taken.append(found.span())
+                spans.append((*found.span(), not ONE_CASE.fullmatch(found.group())))
+        runs = [found.span() for found in RUN.finditer(text, low, high)]
+        taken = merged(taken)
+        spans += [(*x, True) for start, end in runs for x in mixed_windows(text, start, end, SEPARATOR, taken)]
+        known = []
+        for start, end, across in spans:
+            first, last = runs[bisect(runs, start, key=lambda x: x[0]) - 1]
+            known.append(widened(text, first, last, start, end, across))
+        rest = mixed_windows(text, low, high, EQUALS, merged(known + public)) if len(runs) > 1 else ()
+        known += [widened(text, low, high, *x, False) for x in rest]
+        for span in merged(known):
+            yield "entropy", *span
 
 
 def secret_spans(text: str) -> list[tuple[str, int, int]]:

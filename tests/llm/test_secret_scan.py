@@ -48,6 +48,46 @@ def test_random_strings_are_found_and_plain_text_is_left():
     assert redacted(f"a {keys[0]} b") == "a [SECRET] b"
 
 
+PREFIXES = ("", "key=", "sig=", "id-", "k_", "/v1/keys/", "SIGNING_KEY=", "https://host.example.com/v2/some-path/of_words?sig=", "example/", "user_id=123e4567-e89b-12d3-a456-426614174000/")
+
+
+def covered(text, start, end):
+    held = set()
+    for _, a, b in secret_spans(text):
+        held.update(range(a, b))
+    return held.issuperset(range(start, end))
+
+
+def test_keys_behind_prefixes_are_covered_as_a_whole():
+    rng = random.Random(6)
+    kinds = {
+        "upper hex": ("0123456789ABCDEF", 32, 0.99),
+        "lower hex": ("0123456789abcdef", 32, 1.0),
+        "short lower hex": ("0123456789abcdef", 22, 0.97),
+        "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.97),
+        "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.97),
+        "letters and digits": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 32, 0.97),
+        "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 43, 0.97),
+    }
+    for kind, (alphabet, length, share) in kinds.items():
+        for prefix in PREFIXES:
+            if kind == "base64" and prefix == "example/":
+                continue  # a run with separators that names itself a sample is on the allow-list
+            found = 0
+            for _ in range(300):
+                key = "".join(rng.choice(alphabet) for _ in range(length)) + "=" * (kind == "base64")
+                found += covered(f"see {prefix}{key} there", 4 + len(prefix), 4 + len(prefix) + len(key))
+            assert found >= share * 300, (kind, prefix, found)
+
+
+def test_parts_that_are_no_keys_are_left():
+    key = "9F86D081884C7D659A2FEAA0C55AD015"
+    assert [redacted(f"a {x}{key} b") for x in ("key=", "id-", "k_", "/v1/keys/")] == [f"a {x}[SECRET] b" for x in ("key=", "id-", "k_", "/v1/keys/")]
+    assert redacted(f"{key}-{key[::-1]}/end") == "[SECRET]-[SECRET]/end"
+    plain = "user_id=123e4567-e89b-12d3-a456-426614174000/ /v2/items/12345678901234567890123 q=/some/long-path/of_words /v1/internationalizationofeverything"
+    assert secret_spans(plain) == []
+
+
 def test_rows(spark):
     rows = [(1, "token=abcdef1", "s"), (2, None, "s"), (3, "", "s"), (3, "", "s"), (None, "é AKIA" + "A1" * 8, "s"), (5, "x" * 200_000 + " " + "ab" * 12, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
