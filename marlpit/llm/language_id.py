@@ -24,17 +24,52 @@ from marlpit.llm.common import text_or_empty, written
 TRIGRAMS, FULL = 1 << 14, 200
 #: Pseudo-counts: of a trigram, of evidence given a language, of the wider prior at a host or domain.
 TRIGRAM_ALPHA, EVIDENCE_ALPHA, PRIOR_ALPHA = 0.5, 1.0, 5.0
-# Elements whose content is no text of a page, and the one that holds it.
-SILENT = re.compile(r"<(script|style|nav|header|footer|aside|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<title\b.*?(?:</title\s*>|\Z)|<div class=\"ad\">.*?(?:</div>|\Z)", re.DOTALL | re.IGNORECASE)
-ARTICLE, TAG = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE), re.compile(r"<[^>]*>")
+# Elements whose content is no text of a page, and those that hold it.
+FRAMES = r"script|style|nav|header|footer|aside|noscript|template|title"
+SILENT = re.compile(rf"<(?P<name>{FRAMES})\b[^>]*>|(?P<comment><!--)|(?P<ad><div class=\"ad\">)", re.IGNORECASE)
+ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in FRAMES.split("|")} | {"comment": re.compile("-->"), "ad": re.compile("</div>", re.IGNORECASE)}
+CODE = ("script", "style")
+ARTICLE, TAG = re.compile(r"<(/?)(article|main)\b[^>]*>", re.IGNORECASE), re.compile(r"<[^>]*>")
 OTHER = "other"
 
 
+def without_frame(markup: str) -> str:
+    """The markup without elements that hold no text. Of one that never ends only the tag goes; code runs to the end."""
+    out, at, endless = [], 0, set()
+    while found := SILENT.search(markup, at):
+        name = (found["name"] or found.lastgroup).lower()
+        end = None if name in endless else ENDS[name].search(markup, found.end())
+        if not end:
+            if name in CODE:
+                return "".join([*out, markup[at : found.start()]])
+            endless.add(name)
+        out += [markup[at : found.start()], " "]
+        at = (end or found).end()
+    return "".join(out) + markup[at:]
+
+
+def plain_text(markup: str) -> str:
+    return " ".join(html.unescape(TAG.sub(" ", markup)).split())
+
+
 def page_text(markup: str) -> str:
-    """The text of a page's article, or of the whole page without its frame."""
-    silent = SILENT.sub(" ", markup)
-    found = ARTICLE.search(silent)
-    return " ".join(html.unescape(TAG.sub(" ", found[2] if found else silent)).split())
+    """The text of a page's outermost articles, or of the whole page without its frame if they have none."""
+    silent = without_frame(markup)
+    parts, open_tags, start = [], [], 0
+    for found in ARTICLE.finditer(silent):
+        name = found[2].lower()
+        if not found[1]:
+            if not open_tags:
+                start = found.end()
+            open_tags.append(name)
+        elif name in open_tags:  # an end tag ends what was left open within its element too
+            while open_tags.pop() != name:
+                pass
+            if not open_tags:
+                parts.append(silent[start : found.start()])
+    if open_tags:
+        parts.append(silent[start:])
+    return plain_text(" ".join(parts)) or plain_text(silent)
 
 
 def trigrams(text: str) -> np.ndarray:

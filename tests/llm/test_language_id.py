@@ -24,6 +24,17 @@ def test_page_text():
     assert len(trigrams("")) == 0 and len(trigrams("a")) == 1
 
 
+def test_page_text_is_whole():
+    assert page_text("<article>a</article><p>x<article class='y'>b</article><main>c</main>") == "a b c"
+    assert page_text("<main>a<article>b</article>c<article>d<article>e</article>f</article>g</main>h") == "a b c d e f g"
+    assert page_text("<article></article><p>a") == "a" and page_text("<article> <b></b></article><nav>n</nav>a") == "a"
+    for tag in ("nav", "header", "footer", "aside", "noscript", "template", "title"):
+        assert page_text(f"a<{tag} class='x'>b<article>c</article><p>d") == "c" and page_text(f"a<{tag}>b") == "a b"
+    assert page_text("a<!-- b") == "a b" and page_text('a<div class="ad">b<p>c') == "a b c"
+    assert page_text("<nav>n</nav>a<!-- x -->b<nav>c") == "a b c"
+    assert page_text("<main>" * 3 + "a" + "<nav>" * 100_000 + "b") == "a b"
+
+
 def test_fusion_matches_brute_force(spark):
     docs = spark.createDataFrame([(k, text(x), x) for x in PARTS for k in range(30)] + [(1, None, "en"), (2, "xx", None)], "doc_id long, text string, lang string")
     rows = []
