@@ -13,13 +13,16 @@ def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", or
 
     A hash that the registry holds keeps its document id. New hashes are numbered on from the registry's count, in the
     order of the first file that has them. Numbers come from counts by slices of the order, so no task sees all files.
+    A file without a hash has no document id and isn't known; it takes no number.
     """
-    first = files.groupBy(F.col(hash_col).alias("sha256")).agg(F.min(order_col).alias("first"))
+    first = files.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("sha256")).agg(F.min(order_col).alias("first"))
     fresh = first.join(registry.select("sha256").distinct(), "sha256", "left_anti")
     numbered = positions(fresh, "first").crossJoin(F.broadcast(registry.agg(F.count("*").alias("count"))))
     ids = numbered.select("sha256", document_id(F.col("count") + F.col("position")).alias("document_id"), F.lit(False).alias("known"))
     old = registry.join(first.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.min("document_id").alias("document_id")).withColumn("known", F.lit(True))
-    return files.select(F.col(order_col), F.col(hash_col).alias("sha256")).join(ids.unionByName(old), "sha256")
+    own = files.select(F.col(order_col), F.col(hash_col).alias("sha256"))
+    unread = own.filter("sha256 is null").select("sha256", order_col, F.lit(None).cast("string").alias("document_id"), F.lit(False).alias("known"))
+    return own.join(ids.unionByName(old), "sha256").unionByName(unread)
 
 
 def positions(rows: DataFrame, by: str, slices: int = 128) -> DataFrame:

@@ -170,6 +170,13 @@ def test_upserts_registry_and_files(spark, tmp_path):
     assert tables.read_files(spark, str(tmp_path), limit=0).count() == 3 and tables.read_files(spark, str(tmp_path), limit=2).count() == 2
 
 
+def test_files_without_a_hash_are_kept(spark):
+    files = spark.createDataFrame([(1, None), (2, "h1"), (3, None), (4, "h2"), (5, "h3")], "n long, sha256 string")
+    known = spark.createDataFrame([("h3", "DOC-000001"), (None, "DOC-000009")], "sha256 string, document_id string")
+    got = sorted(tuple(r) for r in identity.register(files, known, order_col="n").select("n", "sha256", "document_id", "known").collect())
+    assert got == [(1, None, None, False), (2, "h1", "DOC-000003", False), (3, None, None, False), (4, "h2", "DOC-000004", False), (5, "h3", "DOC-000001", True)]
+
+
 def test_memory(spark):
     entries = spark.createDataFrame([("User feedback: Positive", {"a": "x"}), ("note", {"k": "FEEDBACK"}), ("other", {"k": "True"}), ("none", None)], "content string, context map<string,string>")
     assert memory.remembered(entries, "Feedback").count() == 2 and memory.remembered(entries, "true").count() == 1 and memory.remembered(entries, "").count() == 4
