@@ -149,11 +149,12 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits the model to about `sample` labelled documents at most, in one task, which the sample bounds.
 
-    An id whose labels differ, or are null, teaches nothing; of an id's repeated texts the smallest counts.
+    An id whose labels differ, or are null, teaches nothing; of an id's repeated texts the smallest counts. Only ids
+    that teach and have a document count for the share that is drawn.
     """
     taught = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high"))
     taught = taught.filter("label = high and label in (0, 1)").drop("high")
-    known = labels.count()
+    known = taught.join(docs.select(F.col(id_col).alias("id")).distinct(), "id").count()
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(known, 1)) * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).filter(drawn)
     rows = texts.join(taught.filter(drawn), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from marlpit.llm.quality import dual_coordinate_descent, features, fit_rows, form, score_quality
+from marlpit.llm.quality import dual_coordinate_descent, features, fit, fit_rows, form, score_quality
 
 rng = random.Random(8)
 WORDS = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
@@ -56,3 +56,12 @@ def test_held_out_accuracy_and_edge_rows(spark):
     assert sorted(map(str, same)) == sorted(map(str, got))
     assert {r.score for r in score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_unusable_labels_do_not_thin_the_sample(spark):
+    docs = spark.createDataFrame([(i, good_text() if i % 3 else bad_text()) for i in range(300)], "doc_id long, text string")
+    usable = [(i, int(i % 3 > 0)) for i in range(200)]
+    unusable = [(i, None) for i in range(1000)] + [(i, q) for i in range(200, 300) for q in (0, 1)] + [(i, 1) for i in range(5000, 9000)] + usable * 3
+    want = fit(docs, spark.createDataFrame(usable, "doc_id long, quality int"), sample=200)
+    got = fit(docs, spark.createDataFrame(usable + unusable, "doc_id long, quality int"), sample=200)
+    assert np.array_equal(got.weights, want.weights) and np.count_nonzero(got.weights) and (got.slope, got.intercept) == (want.slope, want.intercept)
