@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -106,21 +105,25 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def packed(items: DataFrame, number: int, parts: int, capacity: int) -> DataFrame:
     """One round: items with sequence_id, offset, certified and open (to be exchanged in the next round)."""
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("item", kind="stable")
-        lengths = group["length"].to_numpy(np.int64)
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("item")
+        lengths = group.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
         certified = len(room) == lower_bound(lengths, capacity)
         gaps = sorted((b for b in range(len(room)) if room[b]), key=lambda b: (-room[b], b))
         opened = np.zeros(len(room), bool)
         opened[gaps[:2] if certified else gaps] = True
-        part = int(group["part"].iloc[0])
-        return group.drop(columns="part").assign(sequence_id=(number << 56 | part << 24) + bins, offset=offsets, certified=certified, open=opened[bins])
+        part = group.column("part")[0].as_py()
+        more = {"sequence_id": (number << 56 | part << 24) + bins, "offset": offsets, "certified": np.full(len(bins), certified), "open": opened[bins]}
+        group = group.drop_columns("part")
+        for name, values in more.items():
+            group = group.append_column(name, pa.array(values))
+        return group
 
     kind = items.schema["id"].dataType.simpleString()
     schema = f"item long, id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, certified boolean, open boolean"
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(pack, schema)
+    return dealt.groupBy("part").applyInArrow(pack, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:

@@ -70,3 +70,11 @@ def test_pack_documents(spark, monkeypatch):
         assert sum(n for _, n in inside) <= 64
     assert len(sequences) <= 2 + -(-sum(n for *_, n, _ in want) // 64)
     assert pack_documents(docs.limit(0)).count() == 0
+
+
+def test_ids_stay_exact_beside_null_ones(spark):
+    ids = [2**60 + 1, 2**60 + 3, 2**60 + 5, None]
+    docs = spark.createDataFrame([(i, "word") for i in ids], "doc_id long, text string")
+    assert sorted((r.doc_id for r in pack_documents(docs).collect()), key=str) == sorted(ids, key=str)
+    named = spark.createDataFrame([("a", "word"), (None, "word")], "doc_id string, text string")
+    assert {r.doc_id for r in pack_documents(named).collect()} == {"a", None}
