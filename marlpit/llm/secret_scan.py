@@ -13,10 +13,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect
-from collections import Counter
+from bisect import bisect, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,14 +57,19 @@ ONE_CASE = re.compile(r"[0-9a-z]+|[0-9A-Z]+")
 #: Words and numbers beside a key, as in paths, aren't parts of it; + joins no words.
 PLAIN = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z]{4,}|[0-9]{4,}")
 UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
-#: Candidates, and parts and runs of them, that are public by their form: UUIDs, paths and hyphenated words without digits, long repeats, samples.
+#: Candidates, and parts and runs of them, that are public by their form: UUIDs, numbers, long repeats, samples. So are
+#: paths and hyphenated words without digits.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z+/_=-]*[+/_=-][A-Za-z+/_=-]*"),
     re.compile(r"[0-9+/_=-]+"),
     re.compile(r"(.{1,4})\1{4,}.{0,3}"),
-    re.compile(r".*(?:EXAMPLE|example|XXXX|xxxx|0123456789|abcdefghij|ABCDEFGHIJ).*"),
 )
+SAMPLE = re.compile(r"EXAMPLE|example|XXXX|xxxx|0123456789|abcdefghij|ABCDEFGHIJ")
+DIGIT = re.compile(r"[0-9]")
+#: c * log2(c) in units of 2**-40, so that sums are whole numbers and don't depend on their order.
+UNIT = 2.0**40
+WEIGHTS = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 1)]
+STEPS = [b - a for a, b in zip(WEIGHTS, WEIGHTS[1:], strict=False)]
 
 
 def base_spans(text: str, candidates: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -80,26 +86,55 @@ def base_spans(text: str, candidates: list[tuple[int, int]]) -> Iterator[tuple[s
             yield "hex", found.start(), found.end()
 
 
-def window_entropies(text: str, width: int = WINDOW) -> list[float]:
-    """Shannon entropy in bits of each window of a string, by incremental counts."""
-    counts: Counter[str] = Counter()
-    weight, found = 0.0, []  # sum of c * log2(c) over the counts
-    for k, new in enumerate(text):
-        for char, step in ((new, 1), (text[k - width], -1)) if k >= width else ((new, 1),):
-            before, after = counts[char], counts[char] + step
-            weight += (after * math.log2(after) if after else 0.0) - (before * math.log2(before) if before else 0.0)
-            counts[char] = after
-        if k >= width - 1:
-            found.append(math.log2(width) - weight / width)
-    return found
+def window_entropies(text: str) -> np.ndarray:
+    """Shannon entropy in bits of each window of an ASCII string, by incremental counts: one in and one out a step."""
+    codes, counts, weight = text.encode("ascii"), [0] * 128, 0
+    for code in codes[: WINDOW - 1]:
+        weight += STEPS[counts[code]]
+        counts[code] += 1
+    found = []
+    for new, old in zip(codes[WINDOW - 1 :], codes, strict=False):
+        count = counts[new]
+        weight += STEPS[count]
+        counts[new] = count + 1
+        found.append(weight)
+        count = counts[old] - 1
+        weight -= STEPS[count]
+        counts[old] = count
+    return math.log2(WINDOW) - np.array(found, np.float64) / (UNIT * WINDOW)
 
 
 def least_bits(string: str) -> float:
     return next(least for _, form, least in CLASSES if form.fullmatch(string))
 
 
+def window_least(text: str) -> np.ndarray:
+    """least_bits of each window of a string of letters and digits, from running counts of kinds of characters."""
+    codes = np.frombuffer(text.encode("ascii"), np.uint8)
+
+    def number(kind: np.ndarray, width: int = WINDOW) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(kind)])
+        return total[width:] - total[:-width]
+
+    digit, lower = codes < 58, codes >= 97
+    upper, beyond = ~digit & ~lower, (codes & 31) > 6  # of the alphabet, beyond F
+    digits, lowers, uppers = number(digit), number(lower), number(upper)
+    one_case = (lowers == 0) | (uppers == 0)
+    word = (digits == 0) & ((lowers == 0) | (number(upper, WINDOW - 1)[1:] == 0))
+    tests = {
+        "digits": digits == WINDOW,
+        "word": word,
+        "hex": one_case & (number(beyond & ~digit) == 0),
+        "letters": digits == 0,
+        "lower_alnum": one_case,
+    }
+    bits = {name: least for name, _, least in CLASSES}
+    return np.select(list(tests.values()), [bits[name] for name in tests], bits["alnum"])
+
+
 def allowed(string: str) -> bool:
-    return any(form.fullmatch(string) for form in ALLOWED)
+    wordy = not DIGIT.search(string) and SEPARATOR.search(string)
+    return bool(wordy or SAMPLE.search(string) or any(form.fullmatch(string) for form in ALLOWED))
 
 
 def key_part(string: str) -> bool:
@@ -108,7 +143,7 @@ def key_part(string: str) -> bool:
     if own == math.inf or allowed(string):
         return False
     bits = window_entropies(string)
-    return any(x >= own or x >= LEAST and x >= least_bits(string[k : k + WINDOW]) for k, x in enumerate(bits))
+    return bool((bits >= own).any() or (bits >= LEAST).any() and (bits >= window_least(string)).any())
 
 
 def mixed_windows(text: str, start: int, end: int, separator: re.Pattern[str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -118,13 +153,15 @@ def mixed_windows(text: str, start: int, end: int, separator: re.Pattern[str], t
     marks = [found.start() for found in separator.finditer(text, start, end)]
     if not marks:
         return
-    least, mark, other, reach = least_bits(text[start:end]), 0, 0, None
-    for at, bits in enumerate(window_entropies(text[start:end]), start):
+    least, mark, reach = least_bits(text[start:end]), 0, None
+    other = bisect_right(taken, start, key=lambda x: x[1])
+    bits = window_entropies(text[start:end])
+    for at in (start + np.flatnonzero(bits >= least)).tolist():
         while mark < len(marks) and marks[mark] < at:
             mark += 1
         while other < len(taken) and taken[other][1] <= at:
             other += 1
-        if bits < least or mark == len(marks) or marks[mark] >= at + WINDOW or other < len(taken) and taken[other][0] < at + WINDOW:
+        if mark == len(marks) or marks[mark] >= at + WINDOW or other < len(taken) and taken[other][0] < at + WINDOW:
             continue
         if reach and at <= reach[1]:
             reach = (reach[0], at + WINDOW)
@@ -185,10 +222,14 @@ def entropy_spans(text: str, candidates: list[tuple[int, int]]) -> Iterator[tupl
         runs = [found.span() for found in RUN.finditer(text, low, high)]
         taken = merged(taken)
         spans += [(*x, True) for start, end in runs for x in mixed_windows(text, start, end, SEPARATOR, taken)]
-        known = []
-        for start, end, across in spans:
+        known: list[tuple[int, int]] = []
+        wide = False
+        for start, end, across in sorted(spans):
+            if known and end <= known[-1][1] and (wide or not across):
+                continue  # it lies in one that was widened as far
             first, last = runs[bisect(runs, start, key=lambda x: x[0]) - 1]
             known.append(widened(text, first, last, start, end, across))
+            wide = across
         rest = mixed_windows(text, low, high, EQUALS, merged(known + public)) if len(runs) > 1 else ()
         known += [widened(text, low, high, *x, False) for x in rest]
         for span in merged(known):
@@ -198,9 +239,11 @@ def entropy_spans(text: str, candidates: list[tuple[int, int]]) -> Iterator[tupl
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind. An entropy span within one base span adds nothing and goes."""
     candidates = [found.span() for found in CANDIDATE.finditer(text)]
-    spans = list(base_spans(text, candidates))
-    added = [x for x in entropy_spans(text, candidates) if not any(a <= x[1] and x[2] <= b for _, a, b in spans)]
-    return sorted(spans + added, key=lambda x: (x[1], KINDS.index(x[0])))
+    order = lambda x: (x[1], KINDS.index(x[0]))
+    spans = sorted(base_spans(text, candidates), key=order)
+    starts, ends = [x[1] for x in spans], list(accumulate((x[2] for x in spans), max))  # how far spans reach so far
+    covered = lambda start, end: (k := bisect_right(starts, start)) > 0 and ends[k - 1] >= end
+    return sorted(spans + [x for x in entropy_spans(text, candidates) if not covered(x[1], x[2])], key=order)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
