@@ -1,133 +1,221 @@
-"""Document fingerprints: a Merkle tree over clauses, paragraphs and sections.
+"""Document fingerprints: a Merkle tree over paragraphs and sections, with marks of each paragraph's runs.
 
-Lines are paragraphs. A section ends before a blank line or a heading, and after a paragraph whose digest ends in
-three zero bits, so that text without any of these has sections too and an edit moves no other section. Below a
-paragraph are clauses, runs of words that end after a word whose hash ends in three zero bits, twelve words at most; in
-paragraphs of up to twelve words each word is a clause, in texts of up to 24 characters each character. Digests of paragraphs, sections and the root are hashes of their parts' digests.
+Lines are paragraphs, the leaves of the tree; their digests are hashes of their texts. A section ends before a blank line
+or a heading, and after a paragraph whose digest ends in three zero bits, so that text without any of these has sections
+too and an edit moves no other section. Digests of sections and of the root are hashes of their parts' digests; each
+level has a sign of its own in front. So equal roots mean equal texts, as surely as the hash keeps texts apart.
 
-A fingerprint is the root, then the clauses: root:clauses,clauses;clauses... with paragraphs apart by commas and
-sections by semicolons. Equal roots mean equal texts. Where they differ, equal subtrees are passed over and the other
-branches hold the edits. Likeness is the share of equal clauses, twice their number over the clauses of both.
+Below a paragraph are runs of characters, by which likeness sees edits inside of a paragraph. Runs of level j end where
+a hash of the last four characters has j zero bits, after 2 ** j characters on average, and at the paragraph's end. A
+text is marked at the two levels next to that of about AIM runs, the highest level at most, and each counts by its
+nearness: there is no length at which the marks of two almost equal texts have little in common.
+
+A fingerprint is root:characters:sections, with sections apart by semicolons. A section is its digest, a slash, and its
+paragraphs apart by commas; a paragraph is its digest and, of each level at which it has several runs, a mark for each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.llm.common import text_or_empty
 
-WORDS_KEPT = 600_000
-#: Words of a paragraph that are clauses each, most words of a clause, and characters of a text that are clauses each.
-SHORT, LONG, SPELLED = 12, 12, 24
+#: Runs that a text has about, the highest level, and how many times the average a run's length may be.
+AIM, HIGHEST, LONGEST = 32, 7, 2
+#: Hexadecimal digits of a digest of a paragraph or section in a fingerprint.
+DIGEST = 6
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Rows that are sorted and compared in one range of ids, and most ranges.
+#: Rows that are sorted and compared in one range of ids, and most ranges, about.
 RANGE_ROWS, RANGES_MOST = 2_000, 16_384
 
 
-class Hashes(dict):
-    """64-bit hashes of words; beyond a number of words it starts anew."""
+@lru_cache(maxsize=1)
+def powers() -> np.ndarray:
+    return np.cumprod(np.full(LONGEST << HIGHEST, ODD, np.uint64))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return found
 
+def digest(parts: bytes) -> bytes:
+    return hashlib.blake2b(parts, digest_size=16).digest()
 
-@lru_cache(maxsize=1)
-def word_hashes() -> Hashes:
-    return Hashes()
 
+def levels(n: int) -> dict[int, float]:
+    """The levels at which a text of n characters is marked, with their shares of its likeness."""
+    at = min(max(math.log2((n + 1) / AIM), 0.0), float(HIGHEST))
+    low = int(at)
+    return {low: 1 - at + low} | ({low + 1: at - low} if at > low else {})
 
-@lru_cache(maxsize=1)
-def powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, ODD, np.uint64))
 
+def digits(n: int) -> int:
+    """Hexadecimal digits of a mark: so many that a hundredth of a text's runs, about, are like another run by chance."""
+    return min(DIGEST, math.ceil(math.log(100 * max(AIM, n >> HIGHEST), 16)))
 
-def digest(parts: bytes) -> bytes:
-    return hashlib.blake2b(parts, digest_size=16).digest()
+
+def signs(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each character and the three before it in its paragraph."""
+    own = codes * np.uint32(0x9E3779B1)
+    found = own.copy()
+    for k, factor in ((1, 0x85EBCA6B), (2, 0xC2B2AE35), (3, 0x27D4EB2F)):
+        before = np.zeros_like(own)
+        before[k:] = own[:-k]
+        starts = ends[:-1] + 1
+        for first in range(k):
+            before[np.minimum(starts + first, len(own) - 1)] = 0
+        found += before * np.uint32(factor)
+    found ^= found >> np.uint32(15)
+    found *= np.uint32(0x2C1B3C6D)
+    return found ^ (found >> np.uint32(13))
 
 
 class Tree:
-    """The tree of one text. clauses: 64-bit digests in order; paragraphs, sections: digests with their first clauses."""
+    """The tree of one text. paragraphs: digests; sections: (digest, first paragraph, end); marks: numbers by level."""
 
     def __init__(self, text: str):
-        if len(text) <= SPELLED:
-            lines = [["\0" + char for char in line] or [""] for line in text.split("\n")]
-        else:
-            lines = [line.split(" ") for line in text.split("\n")]
-        sizes = np.array([len(x) for x in lines])
-        words = np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        last = (words & np.uint64(7)) == 0
-        last[ends - 1] = True
-        last |= np.repeat(sizes <= SHORT, sizes)
-        for _ in range(2):  # the second time with the ends that long runs get
+        self.n, self.digits = len(text), digits(len(text))
+        self.paragraphs = [digest(b"\0" + line.encode()) for line in text.split("\n")]
+        starts = [0]
+        for k, line in enumerate(text.split("\n")):
+            if k and (not line or line[0] == "#" or self.paragraphs[k - 1][-1] & 7 == 0):
+                starts.append(k)
+        self.sections = [(digest(b"\1" + b"".join(self.paragraphs[a:b])), a, b) for a, b in zip(starts, [*starts[1:], len(self.paragraphs)], strict=True)]
+        self.root = digest(b"\2" + b"".join(name for name, *_ in self.sections))
+        codes = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.flatnonzero(codes == 10)
+        names = np.frombuffer(b"".join(name[:4] for name in self.paragraphs), ">u4").astype(np.uint32) >> np.uint32(32 - 4 * self.digits)
+        mixed = (codes + np.uint64(1)) * ODD
+        mixed ^= mixed >> np.uint64(29)
+        mixed[ends] = 0  # of no weight: a run at a paragraph's end is marked like one inside
+        signed = signs(codes, ends)
+        self.marks: dict[int, np.ndarray] = {}
+        self.borders: dict[int, np.ndarray] = {}  # of paragraphs, as numbers of runs
+        for level in levels(self.n):
+            last = (signed & np.uint32((1 << level) - 1)) == 0
+            last[np.maximum(ends - 1, 0)] = False  # a paragraph's end alone is no run
+            last[ends] = True
             stops = np.flatnonzero(last) + 1
-            starts = np.concatenate([[0], stops[:-1]])
-            within = np.arange(len(words)) - np.repeat(starts, stops - starts)
-            last |= within % LONG == LONG - 1
-        weighted = (words ^ (words >> np.uint64(29))) * powers(LONG)[within]
-        mixed = np.add.reduceat(weighted, starts) + (stops - starts).astype(np.uint64)
-        self.clauses = (mixed ^ (mixed >> np.uint64(32))) * ODD
-        raw, borders = self.clauses.tobytes(), np.searchsorted(stops, ends, "left") + 1
-        borders = [0, *borders.tolist()]
-        self.paragraphs = [(digest(raw[8 * a : 8 * b]), a) for a, b in zip(borders, borders[1:], strict=False)]
-        self.sections: list[list[tuple[bytes, int]]] = [[]]
-        for (name, at), line in zip(self.paragraphs, lines, strict=True):
-            if self.sections[-1] and (line == [""] or line[0].lstrip("\0").startswith("#") or self.sections[-1][-1][0][-1] & 7 == 0):
-                self.sections.append([])
-            self.sections[-1].append((name, at))
-        self.root = digest(b"".join(digest(b"".join(name for name, _ in section)) for section in self.sections))
-
-    @property
-    def leaves(self) -> np.ndarray:
-        """The clauses as a fingerprint holds them: 32 bits each."""
-        return (self.clauses >> np.uint64(32)).astype(">u4")
+            sizes = np.diff(stops, prepend=0)
+            within = np.arange(len(codes)) - np.repeat(stops - sizes, sizes)
+            if sizes.max() > LONGEST << level:
+                within %= LONGEST << level
+                stops = np.flatnonzero(last | (within == (LONGEST << level) - 1)) + 1
+            runs = np.add.reduceat(mixed * powers()[within], np.concatenate([[0], stops[:-1]]))
+            marks = ((runs ^ (runs >> np.uint64(32))) * ODD >> np.uint64(64 - 4 * self.digits)).astype(np.uint32)
+            borders = np.concatenate([[0], np.searchsorted(stops, ends + 1) + 1])
+            alone = np.diff(borders) == 1
+            marks[borders[:-1][alone]] = names[alone]  # the paragraph's digest is the mark of its only run
+            self.marks[level], self.borders[level] = marks, borders
 
     def fingerprint(self) -> str:
-        hexed, k, out = self.leaves.tobytes().hex(), 0, []
-        ends = [*(at for _, at in self.paragraphs[1:]), len(self.clauses)]
-        for section in self.sections:
-            out.append(",".join(hexed[8 * at : 8 * end] for (_, at), end in zip(section, ends[k:], strict=False)))
-            k += len(section)
-        return f"{self.root.hex()}:{';'.join(out)}"
+        width, names = self.digits, []
+        kept = [("".join([f"{x:0{width}x}" for x in self.marks[k].tolist()]), self.borders[k].tolist()) for k in self.marks]
+        for p, name in enumerate(self.paragraphs):
+            runs = [hexed[width * at[p] : width * at[p + 1]] for hexed, at in kept if at[p + 1] - at[p] > 1]
+            names.append("=".join([name.hex()[:DIGEST], *runs]))
+        return f"{self.root.hex()}:{self.n}:" + ";".join(f"{name.hex()[:DIGEST]}/{','.join(names[a:b])}" for name, a, b in self.sections)
 
 
 def equal_share(a: np.ndarray, b: np.ndarray) -> float:
-    """Twice the clauses that both hold, as often as both hold them, over the clauses of both."""
+    """Twice the marks that both hold, as often as both hold them, over the marks of both."""
     x, n = np.unique(a, return_counts=True)
     y, m = np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     return 2.0 * float(np.minimum(n[i], m[j]).sum()) / (len(a) + len(b))
 
 
+def alike(n: int, m: int, one: dict[int, np.ndarray], other: dict[int, np.ndarray]) -> float:
+    """The mean share of equal marks over levels at which texts of n and of m characters are both marked, of the digits
+    that both have."""
+    weights = {k: min(w, levels(m)[k]) for k, w in levels(n).items() if k in levels(m)}
+    less = min(digits(n), digits(m))
+    shares = (w * equal_share(one[k] >> 4 * (digits(n) - less), other[k] >> 4 * (digits(m) - less)) for k, w in weights.items())
+    return sum(shares) / sum(weights.values())
+
+
+def tree_likeness(one: Tree, other: Tree) -> float:
+    if one.root == other.root:
+        return 1.0
+    common = one.marks.keys() & other.marks.keys()
+    if not common:
+        return equal_share(*(np.frombuffer(b"".join(x[:4] for x in tree.paragraphs), np.uint32) for tree in (one, other)))
+    return alike(one.n, other.n, one.marks, other.marks)
+
+
+def parsed(fingerprint: str) -> tuple[str, int, list[tuple[str, list[list[str]]]]]:
+    """The root, the number of characters, and of each section its digest and its paragraphs as digest and marks."""
+    root, n, body = fingerprint.split(":")
+    sections = [x.partition("/") for x in body.split(";")]
+    return root, int(n), [(name, [p.split("=") for p in paragraphs.split(",")]) for name, _, paragraphs in sections]
+
+
+def marks_of(paragraphs: list[list[str]], n: int) -> dict[int, np.ndarray]:
+    """The marks of a fingerprint by level."""
+    width, out = digits(n), {}
+    for place, level in enumerate(levels(n), 1):
+        found = "".join(p[place] if len(p) > place else p[0][:width] for p in paragraphs)
+        out[level] = np.array([int(found[k : k + width], 16) for k in range(0, len(found), width)])
+    return out
+
+
 def likeness(one: str, other: str) -> float:
-    """How alike two fingerprints are, from 0 to 1; 1 for equal roots."""
-    (root, _, a), (other_root, _, b) = one.partition(":"), other.partition(":")
+    """How alike two fingerprints are, from 0 to 1; 1 for equal roots.
+
+    It is the share of equal marks, or of equal paragraphs where sizes are so far apart that no level is in common.
+    """
+    (root, n, a), (other_root, m, b) = parsed(one), parsed(other)
     if root == other_root:
         return 1.0
-    leaves = [np.frombuffer(bytes.fromhex(x.replace(",", "").replace(";", "")), ">u4") for x in (a, b)]
-    return equal_share(*leaves)
+    a, b = ([p for _, section in x for p in section] for x in (a, b))
+    if not levels(n).keys() & levels(m).keys():
+        return equal_share(*(np.array([p[0] for p in x]) for x in (a, b)))
+    return alike(n, m, marks_of(a, n), marks_of(b, m))
+
+
+def unmatched(own: list, other: list) -> list[int]:
+    """Places of what other doesn't hold as often."""
+    left, found = Counter(other), []
+    for k, x in enumerate(own):
+        if left[x] > 0:
+            left[x] -= 1
+        else:
+            found.append(k)
+    return found
+
+
+def differing(own: list[tuple[object, list]], other: list[tuple[object, list]]) -> list[tuple[int, int]]:
+    """(section, paragraph) of what the other tree doesn't hold: sections with a partner are passed over on both sides,
+    and only the other ones' paragraphs are compared."""
+    one, two = [name for name, _ in own], [name for name, _ in other]
+    mine, theirs = unmatched(one, two), unmatched(two, one)
+    places = [(s, p) for s in mine for p in range(len(own[s][1]))]
+    odd = unmatched([own[s][1][p] for s, p in places], [x for s in theirs for x in other[s][1]])
+    return [places[k] for k in odd]
 
 
 def edits(one: str, other: str) -> list[tuple[int, int]]:
     """(section, paragraph) of each paragraph of one fingerprint, counted from 0, that the other doesn't hold."""
-    if one.partition(":")[0] == other.partition(":")[0]:
+    (root, _, a), (other_root, _, b) = parsed(one), parsed(other)
+    if root == other_root:
         return []
-    a, b = ([section.split(",") for section in x.partition(":")[2].split(";")] for x in (one, other))
-    sections, paragraphs = {tuple(x) for x in b}, {p for x in b for p in x}
-    return [(s, p) for s, x in enumerate(a) if tuple(x) not in sections for p, leaves in enumerate(x) if leaves not in paragraphs]
+    return differing(*([(name, [p[0] for p in section]) for name, section in x] for x in (a, b)))
+
+
+def number_of_edits(tree: Tree, edited: Tree) -> int:
+    if tree.root == edited.root:
+        return 0
+    return len(differing(*([(name, x.paragraphs[a:b]) for name, a, b in x.sections] for x in (edited, tree))))
+
+
+def held(values: list[int]) -> Column:
+    """A constant array; as text it stays short in plans."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def range_of(column: str, bounds: list[int]) -> Column:
@@ -135,62 +223,82 @@ def range_of(column: str, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
-    held = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
     coarse = F.size(F.filter(held(bounds[::step]), lambda b: b <= F.col(column)))
     first = F.greatest(coarse - 1, F.lit(0)) * step
     fine = F.size(F.filter(F.slice(held(bounds), first + 1, F.lit(step)), lambda b: b <= F.col(column)))
     return F.when(F.col(column).isNull(), 0).otherwise(first + fine)
 
 
+def place_of(rows: int, nulls: int, cuts: list[int], ranges: int) -> tuple[Column, int]:
+    """The number of a row's range, in the order of rows, by id and key, and how many ranges there are.
+
+    cuts are quantiles of ids. An id that is several of them is hot: it has as many ranges to itself, and one more, by
+    the key. So have null ids, by their number.
+    """
+    hot = {x: n + 1 for x, n in Counter(cuts).items() if n > 1}
+    bounds = sorted({*cuts, *(x + 1 for x in hot)})
+    parts = [1] + [hot.get(x, 1) for x in bounds]
+    starts = [sum(parts[k + 1 :]) for k in range(len(parts))]
+    of_null = max(1, math.ceil(nulls * ranges / max(rows, 1)))
+    share = F.col("key").cast("double") / float(2**64) + 0.5
+
+    def spread(start: Column, number: Column) -> Column:
+        return (start + F.least(F.floor(share * number), number - 1)).cast("long")
+
+    at = range_of("id", bounds) + 1
+    known = spread(F.element_at(held(starts), at), F.element_at(held(parts), at))
+    return F.when(F.col("id").isNull(), spread(F.lit(sum(parts)), F.lit(of_null))).otherwise(known), sum(parts) + of_null
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Of (id, text): rows in ranges of ids, each range followed by the first row of the next lower one (edge).
+    """Of (id, text): rows in ranges of the order, each range followed by the first row of the next one (edge).
 
-    The result is dealt out by range and sorted, so that in each task a row's next document is the next row. Bounds of
-    the ranges are approximate quantiles; whatever they are, equal ids share a range.
+    The order is by falling id, then by a hash of the text, then by the text. The result is dealt out by range and
+    sorted, so that in each task a row's next document is the next row.
     """
-    rows = docs.count()
+    rows, known = docs.agg(F.count("*"), F.count("id")).first()
     ranges = min(RANGES_MOST, max(1, math.ceil(rows / RANGE_ROWS)))
-    ids = docs.select("id").dropna()
-    cuts = ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.5 / ranges) if ranges > 1 else []
-    dealt = docs.withColumn("range", range_of("id", sorted({math.floor(x) for x in cuts}))).withColumn("edge", F.lit(0))
-    tops = dealt.groupBy("range").agg(F.max("id").alias("top"))  # a row for each range
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = docs.agg(F.percentile_approx(F.col("id").cast("long"), shares, 4 * ranges)).first()[0] if shares and known else []
+    place, number = place_of(rows, rows - known, cuts, ranges)
+    dealt = docs.withColumn("key", F.xxhash64("text")).withColumn("range", place).withColumn("edge", F.lit(0))
+    tops = dealt.groupBy("range").agg(F.max(F.struct("id", F.bitwise_not("key").alias("key"))).alias("top"))  # a row for each range
     around = Window.orderBy("range")
-    goal = F.coalesce(F.lead("range").over(around), F.first("range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = tops.select(F.col("range").alias("its"), "top", goal.alias("goal"))
-    edges = dealt.join(F.broadcast(tops), (F.col("range") == F.col("its")) & F.col("id").eqNullSafe(F.col("top")))
-    edges = edges.groupBy("goal", "top").agg(F.min("text").alias("text"))
-    edges = edges.select(F.lit(None).cast(docs.schema["id"].dataType).alias("id"), "text", F.col("goal").alias("range"), F.lit(1).alias("edge"))
-    return dealt.unionByName(edges).repartition(ranges, "range").sortWithinPartitions("range", "edge", F.col("id").desc_nulls_last(), "text")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tops = tops.select(F.col("range").alias("its"), F.col("top.id").alias("top_id"), F.bitwise_not("top.key").alias("top_key"), F.coalesce(F.lag("range").over(around), F.last("range").over(whole)).alias("goal"))
+    first = (F.col("range") == F.col("its")) & F.col("id").eqNullSafe(F.col("top_id")) & (F.col("key") == F.col("top_key"))
+    edges = dealt.join(F.broadcast(tops), first).groupBy("goal").agg(F.min("text").alias("text"))
+    edges = edges.select(F.lit(None).cast(docs.schema["id"].dataType).alias("id"), "text", F.lit(None).cast("long").alias("key"), F.col("goal").alias("range"), F.lit(1).alias("edge"))
+    return dealt.unionByName(edges).repartition(number, "range").sortWithinPartitions("range", "edge", F.col("id").desc_nulls_last(), "key", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_edits).
 
     Each text is compared with itself after an edit, its last third replaced by the beginning of the next document, and
-    with that document. Order is by falling id, then by text, null ids last; after the last comes the first. n_edits is
-    the number of paragraphs of the edited text that the text doesn't hold. A null text counts as empty: one empty
-    paragraph. Repeated rows follow each other, each with a row of its own; other columns are ignored, whatever their
-    names. An empty table gives an empty result; a single row is its own next one. Ids must be integers. Memory is
-    bounded by a batch of rows and the longest text.
+    with that document. Order is by falling id, then by a hash of the text, null ids last; after the last comes the
+    first. n_edits is the number of paragraphs of the edited text that the text doesn't hold. A null text counts as
+    empty: one empty paragraph. Repeated rows follow each other, each with a row of its own; other columns are ignored,
+    whatever their names. An empty table gives an empty result; a single row is its own next one. Ids must be integers.
+    Memory is bounded by a batch of rows and the longest text. An id that a third of all rows have, or null, is split.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # id, text and tree of the row that awaits its next one
+        waits: tuple | None = None  # id, text and tree of the row that awaits its next one
         for batch in batches:
             out: dict[str, list] = {name: [] for name in ("id", *kinds)}
             for i, text, edge in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("edge").to_pylist(), strict=True):
                 tree = Tree(text)
-                if held:
-                    held_id, own, own_tree = held
+                if waits:
+                    held_id, own, own_tree = waits
                     part = len(own) // 3
                     edited = own[: len(own) - part] + text[:part]
                     edited_tree = Tree(edited) if edited != own else own_tree
-                    alike = [1.0 if x.root == own_tree.root else equal_share(own_tree.leaves, x.leaves) for x in (edited_tree, tree)]
-                    names = {name for name, _ in own_tree.paragraphs}
-                    row = (held_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_tree.fingerprint(), edited_tree.fingerprint(), *alike, sum(name not in names for name, _ in edited_tree.paragraphs))
+                    near = [tree_likeness(own_tree, x) for x in (edited_tree, tree)]
+                    row = (held_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_tree.fingerprint(), edited_tree.fingerprint(), *near, number_of_edits(own_tree, edited_tree))
                     for column, x in zip(out.values(), row, strict=True):
                         column.append(x)
-                held = None if edge else (i, text, tree)
+                waits = None if edge else (i, text, tree)
             if out["id"]:
                 yield pa.RecordBatch.from_arrays([pa.array(out["id"], batch.schema.field("id").type), *[pa.array(out[k], t) for k, t in kinds.items()]], names=list(out))
 
