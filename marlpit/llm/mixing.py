@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Sources share a budget by weight, none beyond a multiple of its own size. Within a source, documents are counted by
-exact size. Whole passes over the source come first; the rest of its budget goes to as many documents of each size as
-are due in proportion, and a bounded knapsack over sizes closes what rounding leaves. Which documents of a size are
-taken follows from a seeded hash of their ids.
+exact size. Whole passes over the source come first; of the rest of its budget each size gets its part, from the
+smallest size up, so that what rounding leaves goes on to the next size. Less than the largest document is left then,
+and a bounded knapsack over sizes closes it. Which documents of a size are taken follows from a seeded hash of their ids.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from marlpit.llm.common import text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-#: Words that the knapsack closes; before it, sizes are taken from the largest down.
-KNAPSACK = 20_000
 #: Rows of a size and source are ranked in buckets of about so many, 16 at least.
 BUCKET_ROWS = 100_000
 
@@ -56,21 +54,19 @@ def closest_subset(sizes: Sequence[int], counts: Sequence[int], budget: int) ->
 
 
 def fit(sizes: Sequence[int], counts: Sequence[int], target: float, most: int) -> tuple[int, list[int]]:
-    """Whole passes over a source, and how many documents of each size are taken once more."""
+    """Whole passes over a source, and how many documents of each size, in rising order, are taken once more."""
     total = sum(s * n for s, n in zip(sizes, counts, strict=True))
     goal = math.floor(target + 0.5)
     if not total:
         return 0, [0] * len(sizes)
     passes = min(goal // total, most)
     budget = goal - passes * total if passes < most else 0
-    taken = [n * budget // total for n in counts]
-    rest = budget - sum(s * k for s, k in zip(sizes, taken, strict=True))
-    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
-        if sizes[k] and rest > KNAPSACK:
-            more = min(counts[k] - taken[k], (rest - KNAPSACK) // sizes[k])
-            taken[k] += more
-            rest -= more * sizes[k]
-    more = closest_subset(sizes, [n - k for n, k in zip(counts, taken, strict=True)], rest)
+    taken, due, done = [], 0, 0
+    for size, n in zip(sizes, counts, strict=True):
+        due += size * n
+        taken.append(min(n, (budget * due // total - done) // size) if size else 0)
+        done += size * taken[-1]
+    more = closest_subset(sizes, [n - k for n, k in zip(counts, taken, strict=True)], budget - done)
     return passes, [a + b for a, b in zip(taken, more, strict=True)]
 
 
