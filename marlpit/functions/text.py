@@ -18,7 +18,7 @@ BOILERPLATE = (
     r"All Articles.*",
     r"Select Category",
     r"Categories",
-    "\U0001f4dd",
+    "📝",
 )
 # Routes in the order of their priority, with the words that choose them.
 ROUTES = (
@@ -29,7 +29,27 @@ ROUTES = (
 NO_ROUTE = ("knowledge_search", "knowledge", 0.90, "General SOP / documentation query.")
 # Document types by extension; MIME types by extension.
 DOCUMENT_TYPES = {".pdf": "report", ".docx": "project", ".doc": "project", ".txt": "meeting_notes"}
-MIME_TYPES = {".pdf": "application/pdf", ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".json": "application/json", ".csv": "text/csv", ".doc": "application/msword"}
+MIME_TYPES = {
+    ".pdf": "application/pdf",
+    ".txt": "text/plain",
+    ".md": "text/markdown",
+    ".html": "text/html",
+    ".htm": "text/html",
+    ".xml": "text/xml",
+    ".json": "application/json",
+    ".csv": "text/csv",
+    ".tsv": "text/tab-separated-values",
+    ".doc": "application/msword",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".xls": "application/vnd.ms-excel",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".ppt": "application/vnd.ms-powerpoint",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    ".png": "image/png",
+    ".jpg": "image/jpeg",
+    ".jpeg": "image/jpeg",
+    ".zip": "application/zip",
+}
 UNKNOWN_MIME = "application/octet-stream"
 #: Case-blind in all alphabets; only a newline ends what a dot matches.
 FLAGS = "(?iud)"
@@ -62,8 +82,24 @@ def base_name(path: str | Column) -> Column:
 
 
 def extension(path: str | Column) -> Column:
-    """The last extension of a path's name in lower case, with its dot; empty if there is none."""
-    return F.lower(F.regexp_extract(base_name(path), r"[^.](\.[^.]+)$", 1))
+    """From the last dot of a path's name on, in lower case; empty without a dot. Dots that a name begins with don't count."""
+    return F.lower(F.regexp_extract(base_name(path), r"(?s)^\.*[^.].*?(\.[^.]*)\z", 1))
+
+
+def prefix(text: str | Column, length: int) -> Column:
+    """The first characters of a text, all of a shorter one."""
+    return F.substring(_column(text), 1, length)
+
+
+def utc_stamp(moment: Column | None = None) -> Column:
+    """A moment, by default that of the query, as text like 2024-02-29T12:00:00Z."""
+    at = F.current_timestamp() if moment is None else moment
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def new_id() -> Column:
+    """A random id for each row. Write the rows before they are read twice: each reading draws anew."""
+    return F.uuid()
 
 
 def _looked_up(key: Column, values: dict[str, str], default: str) -> Column:

@@ -22,10 +22,11 @@ def add_knowledge(known: DataFrame, documents: DataFrame) -> DataFrame:
 def update_scores(known: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Known documents with new scores (document_id, score), and the level each score gave: 0 for unknown documents.
 
-    Levels of updates are rounded, halves to even, and keep what lies outside 0 to 10.
+    Levels of updates are rounded, halves to even, and keep what lies outside 0 to 10. Of several scores of one document
+    the highest counts.
     """
     level = F.bround(F.col("new") * 10.0, 0).cast("int")
-    asked = scores.select("document_id", F.col("score").alias("new"))
+    asked = scores.groupBy("document_id").agg(F.max("score").alias("new"))
     after = known.join(asked, "document_id", "left").select(
         "document_id", "content", F.coalesce("new", "score").alias("score"), F.when(F.col("new").isNotNull(), level).otherwise(F.col("confidence_level")).alias("confidence_level")
     )

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.text import document_id
 
+#: Rows that are ranked in one task, about; most slices; sampled values for each slice.
+SLICE_ROWS, SLICES_MOST, SAMPLED = 100_000, 16_384, 16
+
 
 def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", order_col: str = "path") -> DataFrame:
     """(order, sha256, document_id, known) of every file.
@@ -25,15 +30,29 @@ def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", or
     return own.join(ids.unionByName(old), "sha256").unionByName(unread)
 
 
-def positions(rows: DataFrame, by: str, slices: int = 128) -> DataFrame:
-    """Rows with their position, from 1, in the order of a numeric column without repeats.
+def slice_of(column: Column, bounds: list) -> Column:
+    """How many of the sorted bounds a value reaches, by two searches of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    held = lambda xs: F.array(*[F.lit(x) for x in xs])
+    first = F.greatest(F.size(F.filter(held(bounds[::step]), lambda b: b <= column)) - 1, F.lit(0)) * step
+    return first + F.size(F.filter(F.slice(held(bounds), first + 1, F.lit(step)), lambda b: b <= column))
+
+
+def positions(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with their position, from 1, in the order of a column without repeats or nulls, of any type with an order.
 
-    Approximate quantiles cut the rows into slices of about equal size, whatever the column's values. A slice's rows
-    are ranked in one task, and the slices' counts are summed up.
+    Sampled values, drawn by hash, cut the rows into slices of about equal size, as many as the rows' number asks for.
+    A slice's rows are ranked in one task, and the slices' counts are summed up.
     """
-    cuts = sorted(set(rows.approxQuantile(by, [k / slices for k in range(1, slices)], 0.25 / slices)))
-    bounds = F.array(*[F.lit(x) for x in cuts]).cast("array<double>")
-    sliced = rows.withColumn("_slice", F.size(F.filter(bounds, lambda b: b <= F.col(by).cast("double"))))
+    slices = min(SLICES_MOST, math.ceil(rows.count() / SLICE_ROWS))
+    bounds: list = []
+    if slices > 1:
+        drawn = rows.select(F.col(by).alias("x")).orderBy(F.xxhash64(by)).limit(slices * SAMPLED)
+        values = sorted(r.x for r in drawn.collect())
+        bounds = sorted({values[k * len(values) // slices] for k in range(1, slices)})
+    sliced = rows.withColumn("_slice", slice_of(F.col(by), bounds))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("n")).select("_slice", before.alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy(by))

@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit.functions.text import new_id, utc_stamp
+from marlpit.sources.tables import store
+
 STORED_CONFIDENCE = 0.85
+#: Most rows of short texts that are broadcast at once.
+BROADCAST_ROWS = 50_000
+
+
+def holds(content: Column, context: Column, asked: Column) -> Column:
+    """True if a text in lower case is part of a memory's content or of a value of its context, whatever their case."""
+    in_context = F.exists(F.map_values(context), lambda v: F.lower(v).contains(asked))
+    return F.coalesce(F.lower(content).contains(asked), F.lit(False)) | F.coalesce(in_context, F.lit(False))
 
 
 def remembered(entries: DataFrame, query: str) -> DataFrame:
     """Entries with the query in their content or in a value of their context, whatever the case."""
-    asked = query.lower()
-    in_context = F.exists(F.map_values("context"), lambda v: F.lower(v).contains(asked))
-    return entries.filter(F.lower("content").contains(asked) | F.coalesce(in_context, F.lit(False)))
+    return entries.filter(holds(F.col("content"), F.col("context"), F.lit(query.lower())))
+
+
+def new_memory(content: Column, context: Column) -> list[Column]:
+    """Columns of a new entry of the memory table; a null context is empty. Write them before they are read twice."""
+    none = F.create_map().cast("map<string,string>")
+    return [new_id().alias("memory_id"), content.alias("content"), F.coalesce(context, none).alias("context"), utc_stamp().alias("created_at"), F.lit(STORED_CONFIDENCE).alias("confidence")]
+
+
+def store_memory(spark: SparkSession, folder: str, rows: DataFrame) -> None:
+    """Appends rows (content, context) to the stored memory."""
+    store(spark, folder, "memory", rows.select(*new_memory(F.col("content"), F.col("context"))))
 
 
 def eligible(rules: DataFrame) -> DataFrame:
@@ -23,8 +45,8 @@ def eligible(rules: DataFrame) -> DataFrame:
 
 
 def rule_keywords(rules: DataFrame) -> DataFrame:
-    """Distinct (pattern_id, name, keyword) in lower case."""
-    return rules.select("pattern_id", "name", F.explode("keyword_list").alias("keyword")).withColumn("keyword", F.lower("keyword")).distinct()
+    """Distinct (pattern_id, name, keyword), as written: case tells keywords apart."""
+    return rules.select("pattern_id", "name", F.explode("keyword_list").alias("keyword")).distinct()
 
 
 def matches(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
@@ -34,27 +56,49 @@ def matches(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
     return F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")
 
 
+def memories_of(queries: DataFrame, memory: DataFrame) -> DataFrame:
+    """(asked, memories): in how many entries each text (asked, in lower case, distinct) is remembered.
+
+    No key expresses containment, so every text meets every entry. The smaller side is broadcast, by its count: memory
+    as a whole, or else the texts, block by block of a fixed size, so that no side has to fit anywhere.
+    """
+    entries = memory.select("content", "context")
+    matched = holds(F.col("content"), F.col("context"), F.col("asked"))
+    if entries.count() <= BROADCAST_ROWS:
+        return queries.join(F.broadcast(entries), matched).groupBy("asked").agg(F.count("*").alias("memories"))
+    blocks = max(1, math.ceil(queries.count() / BROADCAST_ROWS))
+    block = F.pmod(F.xxhash64("asked"), F.lit(blocks))
+    found = [entries.join(F.broadcast(queries.filter(block == k)), matched).groupBy("asked").agg(F.count("*").alias("memories")) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def thoughts(queries: DataFrame, text: str, memory: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], id_col: str) -> DataFrame:
-    """(id, memories, patterns, confidence) of every query: HIGH with any memory or pattern, else MEDIUM.
+    """(id, memories, patterns, confidence, final_reasoning) of every query: HIGH with any memory or pattern, else MEDIUM.
 
-    Queries and memories meet by containment, which no key expresses. Each distinct query is compared once; memory is
-    small by its nature, feedback and notes of one session, and Spark broadcasts it if its size allows.
+    Memories (content, context) count as `remembered` finds them. Each distinct query is compared once. A null query
+    remembers nothing.
     """
-    asked = queries.select(F.lower(text).alias("asked")).distinct()
-    found = asked.join(memory.select(F.lower("content").alias("content")), F.col("content").contains(F.col("asked")))
-    counts = found.groupBy("asked").agg(F.count("*").alias("memories"))
-    named = queries.select(id_col, F.lower(text).alias("asked"), matches(F.col(text), rules).alias("_names"))
+    counts = memories_of(queries.select(F.lower(text).alias("asked")).distinct(), memory)
+    named = queries.select(id_col, F.col(text).alias("_text"), F.lower(text).alias("asked"), matches(F.col(text), rules).alias("_names"))
     joined = named.join(counts, "asked", "left").withColumn("memories", F.coalesce("memories", F.lit(0)).cast("long"))
     patterns = F.when(F.size("_names") > 0, F.concat_ws(", ", "_names")).otherwise("none")
-    return joined.select(id_col, "memories", patterns.alias("patterns"), F.when((F.col("memories") > 0) | (F.size("_names") > 0), "HIGH").otherwise("MEDIUM").alias("confidence"))
+    reasoning = F.format_string("Based on %d relevant memories and %d pattern matches, I can provide a confident response about '%s'", "memories", F.greatest(F.size("_names"), F.lit(0)), "_text")
+    level = F.when((F.col("memories") > 0) | (F.size("_names") > 0), "HIGH").otherwise("MEDIUM")
+    return joined.select(id_col, "memories", patterns.alias("patterns"), level.alias("confidence"), reasoning.alias("final_reasoning"))
 
 
 def feedback_memory(feedback: DataFrame) -> DataFrame:
-    """Memory entries of (doc_id, user_id, is_correct, comments); context holds only what is given."""
+    """Memory entries of (doc_id, user_id, is_correct, comments, and suggested_tags if there is such a column).
+
+    Context says of each whose feedback it is; comments and tags stand in it only where they are given.
+    """
     said = F.when(F.col("is_correct"), "Positive").otherwise("Negative")
-    pairs = F.array(
-        F.struct(F.lit("feedback_type").alias("key"), F.lower(said).alias("value")), F.struct(F.lit("doc_id").alias("key"), F.col("doc_id").cast("string").alias("value")), F.struct(F.lit("comments").alias("key"), F.col("comments").alias("value"))
-    )
+    truth = F.when(F.col("is_correct"), "True").otherwise("False")
+    values = {"feedback_type": F.lit("user_feedback"), "is_correct": truth, "doc_id": F.col("doc_id").cast("string"), "user_id": F.col("user_id")}
+    if "suggested_tags" in feedback.columns:
+        values["suggested_tags"] = F.concat_ws(", ", "suggested_tags")
+    values["comments"] = F.col("comments")
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
     context = F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
     content = F.format_string("User feedback: %s for document %s", said, F.col("doc_id").cast("string"))
     return feedback.select("doc_id", content.alias("content"), context.alias("context"), F.lit(STORED_CONFIDENCE).alias("confidence"))

@@ -37,12 +37,13 @@ def fuse(words: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def hybrid_search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], top: int = 5) -> DataFrame:
-    """Ten candidates of each kind, fused. Only vectors of the ten best are joined with their chunks' texts."""
+    """Ten candidates of each kind, fused. The ten nearest vectors are taken of chunks that are there, and named to the
+    chunks' table as constants, so that it is read once for the words, once for names and once for ten texts."""
     words = lexical.search(chunks, query, CANDIDATES).select("chunk_id", "document_id", "sequence", "text", "score")
-    keys = chunks.select("chunk_id")
-    near = dense_search(vectors.join(keys, "chunk_id", "left_semi"), query_vector, CANDIDATES).select("chunk_id", "score")
-    near = chunks.join(F.broadcast(near), "chunk_id").select("chunk_id", "document_id", "sequence", "text", "score")  # ten rows
-    return fuse(words, near).orderBy(F.desc("score"), "document_id", "sequence").limit(top)
+    near = dense_search(vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), query_vector, CANDIDATES).select("chunk_id", "score").collect()
+    scores = chunks.sparkSession.createDataFrame([(r.chunk_id, r.score) for r in near], "chunk_id string, score double")
+    texts = chunks.filter(F.col("chunk_id").isin([r.chunk_id for r in near])).select("chunk_id", "document_id", "sequence", "text")
+    return fuse(words, texts.join(F.broadcast(scores), "chunk_id")).orderBy(F.desc("score"), "document_id", "sequence").limit(top)
 
 
 def keyword_reranker(query: str) -> Callable[[Column], Column]:
@@ -57,7 +58,7 @@ def rerank(results: DataFrame, score: Callable[[Column], Column], top: int = 3)
 def answer(results: DataFrame, documents: DataFrame) -> DataFrame:
     """The best result with its document's title, null for an unknown document; a row that says so if there is none."""
     best = results.orderBy(F.desc("score"), "chunk_id").limit(1)
-    named = documents.select("document_id", "title").join(F.broadcast(best), "document_id", "right").select(F.lit(True).alias("success"), F.col("text").alias("answer"), "title", "document_id", "score")
+    named = documents.select("document_id", "title").join(F.broadcast(best), "document_id", "right").select(F.lit(True).alias("success"), F.col("text").alias("answer"), "title", "document_id", "chunk_id", "score")
     anything = best.agg(F.count("*").alias("n")).filter("n = 0")
-    void = anything.select(F.lit(False).alias("success"), F.lit(NOTHING).alias("answer"), *[F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("document_id", "string"), ("score", "double"))])
+    void = anything.select(F.lit(False).alias("success"), F.lit(NOTHING).alias("answer"), *[F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("document_id", "string"), ("chunk_id", "string"), ("score", "double"))])
     return named.unionByName(void)

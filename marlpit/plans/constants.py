@@ -10,10 +10,14 @@ PROBE = 7
 KNOWN = 50
 NODE = "nation-3"
 DOCUMENT = "DOC-000042"
+UNRULED_FORMS = (None, None, None)
+FORMS = ("x", None, "x")
 FRAME_HEAD = " \tCARE Knowledge  Base\nrecent posts\nEnter a search term and go\n\n\n"
-FRAME_TAIL = "\n\nAll categories Search\t \U0001f4dd CATEGORIES end \n"
+FRAME_TAIL = "\n\nAll categories Search\t 📝 CATEGORIES end \n"
 PREFIXES = ("", "Show the logs: ", "update tracker and logs ", "Which HOTEL ")
 EXTENSIONS = ("", ".PDF", ".docx", ".txt", ".tar.gz", ".html")
+#: Questions besides the benchmark's texts, of which memory holds some only in its context.
+ASKED_OF_MEMORY = ((-1, "USER_FEEDBACK"), (-2, "document 7"), (-3, "toxic"), (-4, "true"), (-5, "no such thing"))
 RULES = (
     ("Process", ("the and", "process", "ment")),
     ("Upload", ("full upload", "ingre")),

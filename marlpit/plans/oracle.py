@@ -14,7 +14,7 @@ def doc_id(number: str) -> str:
     return f"printf('DOC-%06d', {number})"
 
 
-DOCUMENTS = f"docs AS (SELECT doc_id, {doc_id('doc_id + 1')} AS document_id, source AS title, text, sha256(text) AS sha256 FROM documents)"
+DOCUMENTS = f"docs AS (SELECT doc_id, {doc_id('doc_id + 1')} AS document_id, source AS title, text, sha256(text) AS sha256, source || '/' || doc_id || '.txt' AS source_path FROM documents)"
 
 
 def chunked(text: str = "text", name: str = "chunks", of: str = "docs") -> str:
@@ -135,7 +135,11 @@ def mapped(values: dict[str, str], default: str) -> str:
     return "CASE extension " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in values.items()) + f" ELSE {quoted(default)} END"
 
 
-FEEDBACK = "SELECT doc_id, 'User feedback: ' || CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END || ' for document ' || doc_id AS content, toxic FROM labels"
+FEEDBACK = """SELECT doc_id, 'User feedback: ' || CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END || ' for document ' || doc_id AS content,
+    CASE WHEN quality = 1 THEN 'True' ELSE 'False' END AS is_correct, CASE WHEN toxic = 1 THEN 'toxic' END AS comments FROM labels"""
+#: A memory is found by its content or by any value of its context.
+REMEMBERED = "(contains(lower(f.content), asked) OR contains('user_feedback', asked) OR contains(lower(f.is_correct), asked) OR contains(f.doc_id::VARCHAR, asked) OR contains('u1', asked) OR coalesce(contains(f.comments, asked), false))"
+ASKED = "SELECT item_id::BIGINT AS item_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {quoted(t)})" for i, t in C.ASKED_OF_MEMORY) + ") AS v(item_id, text)"
 
 
 def node(name: str, key: str, label: str, kind: str, owner: str) -> str:
@@ -148,7 +152,16 @@ EDGES = """edges AS (
     UNION ALL SELECT 'supplier-' || s_suppkey, 'nation-' || s_nationkey, 'related_to', 1.0::DOUBLE FROM supplier)"""
 WORDED = f"lower({picked(C.PREFIXES, 'conv_id')} || text)"
 NAME = "list_last(string_split(path, '/'))"
-RULE_WORDS = sorted({k.lower() for _, ks in C.RULES for k in ks})
+EXTENSION = f"lower(regexp_extract({NAME}, '^[.]*[^.].*?([.][^.]*)$', 1))"
+ELIGIBLE = [(name, words) for (name, words), form in zip(C.RULES, C.FORMS, strict=True) if form and words]
+RULE_WORDS = list(dict.fromkeys(k for _, ks in ELIGIBLE for k in ks))
+KNOWN = f"known AS (SELECT sha256, min(document_id) AS document_id FROM docs WHERE document_id <= {doc_id(str(C.KNOWN))} GROUP BY 1)"
+
+
+def registered(order: str) -> str:
+    """ids: document ids of all contents, new ones numbered on in the order of the first file that has them."""
+    return f"""{KNOWN}, fresh AS (SELECT sha256, min({order}) AS first FROM docs WHERE sha256 NOT IN (SELECT sha256 FROM known) GROUP BY 1),
+        ids AS (SELECT sha256, {doc_id('(SELECT count(*) FROM known) + row_number() OVER (ORDER BY first)')} AS document_id, false AS known FROM fresh UNION ALL SELECT sha256, document_id, true FROM known)"""
 
 
 def phrase_frequency(text: str, phrases: list[str]) -> str:
@@ -162,16 +175,35 @@ def phrase_frequency(text: str, phrases: list[str]) -> str:
     return f"least(1.0::DOUBLE, {total(hits)}::DOUBLE / ({len(phrases)} * greatest(1.0::DOUBLE, sqrt(len({words(text)})::DOUBLE))))"
 
 
+def processed(eligible: bool) -> str:
+    """What is said of each document, of which every hundredth can't be read."""
+    path = f"(source || '/' || doc_id || {picked(C.EXTENSIONS, 'doc_id')})"
+    s = f"({blast('text', RULE_WORDS)} * 0.4::DOUBLE + {phrase_frequency('text', RULE_WORDS)} * 0.3::DOUBLE + 0.5::DOUBLE * 0.3::DOUBLE)"
+    scores = (f"{level(f'round({s}, 9)')} / 10.0::DOUBLE", f"round({blast('text', RULE_WORDS)}, 6)", f"round({phrase_frequency('text', RULE_WORDS)}, 6)") if eligible else ("0.85::DOUBLE", "0.5::DOUBLE", "0.5::DOUBLE")
+    names = "|".join(name for name, _ in ELIGIBLE) if eligible else ""
+    unread = "doc_id % 100 = 0"
+    values = [f"CASE WHEN {unread} THEN 0.0::DOUBLE ELSE {x} END AS {name}" for name, x in zip(("confidence_score", "blast_radius", "term_frequency", "metadata_confidence"), (*scores, "0.85::DOUBLE"), strict=True)]
+    return f"""SELECT doc_id, {NAME} AS title, 'unknown' AS author, CASE WHEN {unread} THEN 'other' ELSE {mapped(T.DOCUMENT_TYPES, 'other')} END AS document_type, 'indexed' AS status,
+        CASE WHEN {unread} THEN '' ELSE {quoted(names)} END AS patterns_found, {', '.join(values)} FROM (SELECT *, {EXTENSION} AS extension FROM (SELECT *, {path} AS path FROM documents))"""
+
+
 ORACLE_SQL = {
     "chunk_documents": f"WITH {CHUNKS} SELECT * FROM chunks",
     "chunk_load_order": f"WITH {CHUNKS} SELECT chunk_id, document_id, sequence, char_start, char_end FROM chunks ORDER BY document_id, sequence",
     "clean_text": f"SELECT doc_id, {cleaned(f'({literal(C.FRAME_HEAD)} || text || {literal(C.FRAME_TAIL)})')} AS cleaned FROM documents",
     "fingerprint_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-    "register_dedup": f"""WITH {DOCUMENTS}, known AS (SELECT sha256, min(document_id) AS document_id FROM docs WHERE document_id <= {doc_id(str(C.KNOWN))} GROUP BY 1),
-        fresh AS (SELECT sha256, min(doc_id) AS first FROM docs WHERE sha256 NOT IN (SELECT sha256 FROM known) GROUP BY 1),
-        ids AS (SELECT sha256, {doc_id('(SELECT count(*) FROM known) + row_number() OVER (ORDER BY first)')} AS document_id, false AS known FROM fresh UNION ALL SELECT sha256, document_id, true FROM known)
-        SELECT doc_id, sha256, ids.document_id, ids.known FROM docs JOIN ids USING (sha256)""",
-    "document_rows": f"WITH {DOCUMENTS} SELECT document_id, title, sha256, 'UNKNOWN' AS team_owner, 'UNKNOWN' AS document_type, 'Internal' AS visibility, '1.0.0' AS version FROM docs",
+    "register_dedup": f"""WITH {DOCUMENTS}, {registered('doc_id')}
+        SELECT doc_id, sha256, ids.document_id, coalesce(ids.known, false) AS known FROM docs LEFT JOIN ids USING (sha256)""",
+    "register_paths": f"""WITH {DOCUMENTS}, {registered('source_path')}
+        SELECT source_path AS path, sha256, ids.document_id, coalesce(ids.known, false) AS known FROM docs LEFT JOIN ids USING (sha256)""",
+    "ingest_documents": f"""WITH {DOCUMENTS}, {registered('source_path')}, rows AS (
+            SELECT ids.document_id, min(source_path) AS source_path, sha256, {cleaned('arg_min(docs.text, source_path)')} AS text FROM docs JOIN ids USING (sha256) WHERE NOT known GROUP BY ids.document_id, sha256
+        ), {chunked(of='rows')}, n AS (SELECT document_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM chunks GROUP BY 1)
+        SELECT document_id, list_last(string_split(source_path, '/')) AS title, 'UNKNOWN' AS team_owner, 'UNKNOWN' AS document_type, 'Internal' AS visibility, '1.0.0' AS version, sha256, source_path,
+            coalesce(n_chunks, 0) AS n_chunks, coalesce(n_chars, 0) AS n_chars FROM rows LEFT JOIN n USING (document_id)""",
+    "index_vectors": f"""WITH {CHUNKS}, {VECTORS} SELECT chunk_id, concat_ws(',', {', '.join(f"length(text) - length(replace(lower(text), '{v}', ''))" for v in 'aeiou')}) AS embedding
+        FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM vectors)""",
+    "document_rows": f"WITH {DOCUMENTS} SELECT document_id, title, sha256, source_path, 'UNKNOWN' AS team_owner, 'UNKNOWN' AS document_type, 'Internal' AS visibility, '1.0.0' AS version FROM docs",
     "doc_term_frequency": f"WITH {CHUNKS}, {POSTINGS} SELECT term, df::BIGINT AS df, cf::BIGINT AS cf FROM frequency",
     "corpus_stats": f"WITH {CHUNKS}, {POSTINGS} SELECT n::BIGINT AS n_chunks, round(mean, 6) AS avg_tokens FROM stats",
     "bm25_topk": f"WITH {CHUNKS}, {bm25(10)} SELECT chunk_id, document_id, score FROM lexical",
@@ -185,23 +217,26 @@ ORACLE_SQL = {
     "hybrid_topk": f"WITH {HYBRID} SELECT chunk_id, document_id, score FROM ({top_fused(5)})",
     "rerank_topk": f"WITH {HYBRID} SELECT chunk_id, document_id, round({score('text', C.QUERY.split()[:10])}, 6) AS score FROM ({top_fused(10)}) ORDER BY score DESC, chunk_id LIMIT 3",
     "answer_best": f"""WITH {HYBRID}, best AS (SELECT document_id, text, chunk_id, round({score('text', C.QUERY.split()[:10])}, 6) AS s FROM ({top_fused(10)}) ORDER BY s DESC, chunk_id LIMIT 1)
-        SELECT true AS success, best.text AS answer, title, best.document_id, s AS score FROM best LEFT JOIN docs USING (document_id)""",
+        SELECT true AS success, best.text AS answer, title, best.document_id, best.chunk_id, s AS score FROM best LEFT JOIN docs USING (document_id)""",
     "blast_radius": f"SELECT doc_id, round({blast('text', C.KEYWORDS)}, 6) AS blast_radius FROM documents",
     "term_frequency_score": f"SELECT doc_id, round({frequency('text', C.KEYWORDS)}, 6) AS term_frequency FROM documents",
     "contextual_relevance": f"SELECT doc_id, round({relevance('text', C.KNOWN_TERMS)}, 6) AS relevance FROM documents",
     "matching_keywords": f"SELECT doc_id, array_to_string({matching('text', C.KEYWORDS)}, '|') AS keywords FROM documents",
     "score_documents": f"SELECT doc_id, round(s, 6) AS score, {level('round(s, 9)')} AS confidence_level, n::INT AS n_matching FROM (SELECT doc_id, {score('text', C.KEYWORDS, C.KNOWN_TERMS)} AS s, len({matching('text', C.KEYWORDS)}) AS n FROM documents)",
-    "query_documents": f"SELECT doc_id, score, {level('score')} / 10.0::DOUBLE AS confidence FROM (SELECT doc_id, round({score('text', C.QUERY.split()[:10])}, 6) AS score FROM documents) ORDER BY score DESC, doc_id LIMIT 5",
+    "query_documents": f"""SELECT doc_id, title, level / 10.0::DOUBLE AS score, level AS confidence_level, blast_radius, term_frequency, type, matching_keywords FROM (
+        SELECT doc_id, source AS title, lang AS type, {level('round(s, 9)')} AS level, round(s, 6) AS place, round({blast('text', C.QUERY.split()[:10])}, 6) AS blast_radius, round({frequency('text', C.QUERY.split()[:10])}, 6) AS term_frequency,
+            array_to_string({matching('text', C.QUERY.split()[:10])}, '|') AS matching_keywords FROM (SELECT *, {score('text', C.QUERY.split()[:10])} AS s FROM documents)) ORDER BY place DESC, doc_id LIMIT 5""",
     "agent_confidence": f"SELECT 'SPM Agent' AS agent, {level('round(coalesce(avg(quality), 0)::DOUBLE, 9)')} AS confidence FROM labels",
     "confidence_labels": f"""SELECT vec_id, CASE WHEN score >= 0.08 THEN 'HIGH' WHEN score >= 0.03 THEN 'MEDIUM' ELSE 'LOW' END AS label, CASE WHEN score * 10 >= 7 THEN 'success' WHEN score * 10 >= 5 THEN 'primary' ELSE 'warning' END AS chip
         FROM (SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings AS e, (SELECT embedding FROM embeddings WHERE vec_id = {C.PROBE} LIMIT 1) AS p)""",
     "intent_route": f"SELECT conv_id, turn, {', '.join(routed(c, WORDED) for c in ('intent', 'tool', 'confidence', 'reason'))} FROM conversations",
     "memory_search": f"SELECT conv_id, turn FROM conversations WHERE contains(lower(text), {quoted(C.MEMORY_QUERY.lower())}) OR contains(lower(role), {quoted(C.MEMORY_QUERY.lower())})",
     "rule_match": f"SELECT conv_id, turn, array_to_string(names, ', ') AS patterns FROM (SELECT conv_id, turn, {rule_names('text')} AS names FROM conversations) WHERE len(names) > 0",
-    "think_summary": f"""SELECT item_id, memories, CASE WHEN len(names) > 0 THEN array_to_string(names, ', ') ELSE 'none' END AS patterns, CASE WHEN memories > 0 OR len(names) > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence
-        FROM (SELECT item_id, {rule_names('text')} AS names, (SELECT count(*) FROM ({FEEDBACK}) AS f WHERE contains(lower(f.content), lower(b.text))) AS memories FROM benchmark AS b)""",
-    "feedback_memory": f"SELECT doc_id, content, CASE WHEN toxic = 1 THEN 'toxic' ELSE '-' END AS comments, (2 + (toxic = 1)::INT)::INT AS n_context, 0.85::DOUBLE AS confidence FROM ({FEEDBACK})",
-    "rules_eligible": "SELECT * FROM (VALUES " + ", ".join(f"('p{k}', {quoted(w.lower())})" for k, (_, ws) in enumerate(C.RULES) if not k % 2 for w in ws) + ") AS v(pattern_id, keyword)",
+    "think_summary": f"""SELECT item_id, memories, CASE WHEN len(names) > 0 THEN array_to_string(names, ', ') ELSE 'none' END AS patterns, CASE WHEN memories > 0 OR len(names) > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+            'Based on ' || memories || ' relevant memories and ' || len(names) || ' pattern matches, I can provide a confident response about ' || chr(39) || text || chr(39) AS final_reasoning
+        FROM (SELECT item_id, text, {rule_names('text')} AS names, (SELECT count(*) FROM ({FEEDBACK}) AS f WHERE {REMEMBERED}) AS memories FROM (SELECT *, lower(text) AS asked FROM ({ASKED})) AS b)""",
+    "feedback_memory": f"SELECT doc_id, content, 'user_feedback' AS feedback_type, is_correct, 'u1' AS user_id, coalesce(comments, '-') AS comments, (4 + (comments IS NOT NULL)::INT)::INT AS n_context, 0.85::DOUBLE AS confidence FROM ({FEEDBACK})",
+    "rules_eligible": "SELECT * FROM (VALUES " + ", ".join(f"('p{k}', {quoted(w)})" for k, (_, ws) in enumerate(C.RULES) if C.FORMS[k] for w in dict.fromkeys([*ws, ws[0].upper()])) + ") AS v(pattern_id, keyword)",
     "graph_upsert": f"""WITH {NODES}, changed AS (SELECT 'nation-' || (n_nationkey + 3) AS id, n_name AS name, 'metric' AS entity_type, 'new' AS description, '-' AS owner, -1 AS n_metadata FROM nation WHERE n_nationkey >= 20)
         SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM changed) UNION ALL SELECT * FROM changed""",
     "graph_relationship_upsert": f"""WITH {EDGES} SELECT source_id, target_id, relation_type, CASE WHEN source_id LIKE 'nation-%' THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM edges
@@ -211,12 +246,12 @@ ORACLE_SQL = {
     "graph_entities_by_type": f"WITH {NODES} SELECT id, name FROM nodes WHERE entity_type = 'process'",
     "graph_entity": f"WITH {NODES} SELECT id, name, entity_type, n_metadata FROM nodes WHERE id = '{C.NODE}'",
     "classify_extension": f"""SELECT page_id, file_name, {mapped(T.DOCUMENT_TYPES, 'other')} AS document_type, {mapped(T.MIME_TYPES, T.UNKNOWN_MIME)} AS mime_type FROM (
-        SELECT page_id, {NAME} AS file_name, lower(regexp_extract({NAME}, '[^.](\\.[^.]+)$', 1)) AS extension FROM (SELECT page_id, regexp_replace(url, '[?#].*', '') || {picked(C.EXTENSIONS, 'page_id')} AS path FROM pages))""",
+        SELECT page_id, {NAME} AS file_name, {EXTENSION} AS extension FROM (SELECT page_id, regexp_replace(url, '[?#].*', '') || {picked(C.EXTENSIONS, 'page_id')} AS path FROM pages))""",
     "page_texts": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') <> '' GROUP BY conv_id",
-    "point_lookup_document": f"WITH {DOCUMENTS} SELECT document_id, title FROM docs WHERE document_id = '{C.DOCUMENT}'",
+    "point_lookup_document": f"WITH {DOCUMENTS} SELECT document_id, title, source_path FROM docs WHERE document_id = '{C.DOCUMENT}'",
     "chunk_upsert": f"""WITH {DOCUMENTS}, {chunked()}, {chunked("substring(text, 1, greatest(0, length(text) - 500))", "again")}
         SELECT chunk_id, char_end, length(text) AS n_chars FROM again UNION ALL SELECT chunk_id, char_end, length(text) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM again)""",
-    "process_documents": f"""SELECT doc_id, coalesce(round({blast('text', RULE_WORDS)} * 0.4::DOUBLE + {phrase_frequency('text', RULE_WORDS)} * 0.3::DOUBLE + 0.5::DOUBLE * 0.3::DOUBLE, 6), 0) AS score,
-        coalesce(len({matching('text', RULE_WORDS)}), 0)::INT AS n_keywords, 'indexed' AS status FROM documents""",
+    "process_documents": processed(True),
+    "process_documents_unruled": processed(False),
     "self_test": f"SELECT true AS passed, {int(len(C.RULES) < 5)}::INT AS n_issues, " + ", ".join(f"{v}::DOUBLE AS {k}" for k, v in C.SELF_TEST.items()),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, lexical, memory, retrieval
+from marlpit.operators import chunking, graph, identity, ingest, lexical, memory, processing, retrieval
 from marlpit.plans import constants as C
 from marlpit.sources import tables
 from marlpit.sources.tables import table
@@ -65,9 +65,40 @@ def register_dedup(spark, sf_dir):
     return identity.register(files, known, order_col="doc_id")
 
 
+def files(spark, sf_dir):
+    """The driver's documents as the texts of files."""
+    return documents(spark, sf_dir).select(F.col("source_path").alias("path"), "sha256", "text", F.lit(None).cast("string").alias("error"))
+
+
+def known_contents(spark, sf_dir):
+    """A registry that holds the contents of the first documents."""
+    first = documents(spark, sf_dir).filter(F.col("document_id") <= T.document_id(F.lit(C.KNOWN)))
+    return first.groupBy("sha256").agg(F.min("document_id").alias("document_id"))
+
+
+def register_paths(spark, sf_dir):
+    return identity.register(files(spark, sf_dir), known_contents(spark, sf_dir))
+
+
+def ingest_documents(spark, sf_dir):
+    """New rows of the documents table, with the number of chunks that each brings."""
+    _, rows, chunks = ingest.ingest_files(files(spark, sf_dir), known_contents(spark, sf_dir))
+    number = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("text")).alias("n_chars"))
+    return rows.drop("last_updated").join(number, "document_id", "left").fillna(0, ["n_chunks", "n_chars"])
+
+
+def vowels(text):
+    """A stand-in for a model: how often vowels stand in a text."""
+    return F.array(*[F.regexp_count(F.lower(text), F.lit(v)).cast("double") for v in "aeiou"])
+
+
+def index_vectors(spark, sf_dir):
+    found = ingest.index_vectors(chunks(spark, sf_dir), vectors(spark, sf_dir), vowels)
+    return found.select("chunk_id", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("long").cast("string"))).alias("embedding"))
+
+
 def document_rows(spark, sf_dir):
-    constant = {"team_owner": "UNKNOWN", "document_type": "UNKNOWN", "visibility": "Internal", "version": "1.0.0"}
-    return documents(spark, sf_dir).select("document_id", "title", "sha256", *[F.lit(v).alias(k) for k, v in constant.items()])
+    return documents(spark, sf_dir).select("document_id", "title", "sha256", "source_path", *[F.lit(v).alias(k) for k, v in ingest.UNKNOWN.items()])
 
 
 def doc_term_frequency(spark, sf_dir):
@@ -138,10 +169,10 @@ def score_documents(spark, sf_dir):
 
 
 def query_documents(spark, sf_dir):
-    """The best five documents for a query by score, with their confidence from 0 to 1."""
-    s = scoring.scored(F.col("text"), scoring.query_keywords(C.QUERY))
-    found = scored_documents(spark, sf_dir).select("doc_id", F.round(s["score"], 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(5)
-    return found.withColumn("confidence", scoring.confidence_level(F.col("score")) / 10.0)
+    """The best five documents for a query with all that is said of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = processing.query_documents(docs, C.QUERY, 5, ["doc_id"], "source", kind="lang")
+    return rounded(found, "blast_radius", "term_frequency").withColumn("matching_keywords", F.concat_ws("|", "matching_keywords"))
 
 
 def agent_confidence(spark, sf_dir):
@@ -173,7 +204,8 @@ def rule_match(spark, sf_dir):
 
 def think_summary(spark, sf_dir):
     notes = memory.feedback_memory(feedback(spark, sf_dir))
-    return memory.thoughts(table(spark, sf_dir, "benchmark"), "text", notes, C.RULES, "item_id")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame(list(C.ASKED_OF_MEMORY), "item_id long, text string"))
+    return memory.thoughts(asked, "text", notes, C.RULES, "item_id")
 
 
 def feedback(spark, sf_dir):
@@ -182,11 +214,12 @@ def feedback(spark, sf_dir):
 
 def feedback_memory(spark, sf_dir):
     found = memory.feedback_memory(feedback(spark, sf_dir))
-    return found.select("doc_id", "content", F.coalesce(F.try_element_at("context", F.lit("comments")), F.lit("-")).alias("comments"), F.size("context").alias("n_context"), "confidence")
+    values = {k: F.coalesce(F.try_element_at("context", F.lit(k)), F.lit("-")).alias(k) for k in ("feedback_type", "is_correct", "user_id", "comments")}
+    return found.select("doc_id", "content", *values.values(), F.size("context").alias("n_context"), "confidence")
 
 
 def rules_eligible(spark, sf_dir):
-    rows = [(f"p{k}", name, None if k % 2 else "x", list(words)) for k, (name, words) in enumerate(C.RULES)]
+    rows = [(f"p{k}", name, form, [*words, *words[:1], words[0].upper()]) for k, ((name, words), form) in enumerate(zip(C.RULES, C.FORMS, strict=True))]
     rules = spark.createDataFrame(rows, "pattern_id string, name string, regex string, keyword_list array<string>")
     return memory.rule_keywords(memory.eligible(rules)).select("pattern_id", "keyword")
 
@@ -249,7 +282,7 @@ def page_texts(spark, sf_dir):
 
 
 def point_lookup_document(spark, sf_dir):
-    return documents(spark, sf_dir).filter(F.col("document_id") == C.DOCUMENT).select("document_id", "title")
+    return documents(spark, sf_dir).filter(F.col("document_id") == C.DOCUMENT).select("document_id", "title", "source_path")
 
 
 def chunk_upsert(spark, sf_dir):
@@ -258,12 +291,23 @@ def chunk_upsert(spark, sf_dir):
     return tables.upsert(chunks(spark, sf_dir), again, ["chunk_id"]).select("chunk_id", "char_end", F.char_length("text").alias("n_chars"))
 
 
+def processed(spark, sf_dir, forms):
+    """Every hundredth text can't be read."""
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.element_at(F.array(*[F.lit(x) for x in C.EXTENSIONS]), (F.pmod("doc_id", F.lit(len(C.EXTENSIONS))) + 1).cast("int")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.when(F.pmod("doc_id", F.lit(100)) != 0, F.col("text")).alias("text"))
+    rules = [processing.Rule(name, form, words) for (name, words), form in zip(C.RULES, forms, strict=True)]
+    found = processing.process_documents(docs, rules, ["doc_id"])
+    return rounded(found, "blast_radius", "term_frequency").withColumn("patterns_found", F.concat_ws("|", "patterns_found"))
+
+
 def process_documents(spark, sf_dir):
-    """Texts with their type, keywords of eligible rules and scores; an unreadable text gives scores of 0."""
-    words = sorted({k.lower() for _, ws in C.RULES for k in ws})
-    s = scoring.scored(F.col("text"), words)
-    found = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.round(s["score"], 6), F.lit(0.0)).alias("score"), F.coalesce(F.size(s["matching_keywords"]), F.lit(0)).alias("n_keywords"))
-    return found.withColumn("status", F.lit("indexed"))
+    """Processing by the rules that are eligible."""
+    return processed(spark, sf_dir, C.FORMS)
+
+
+def process_documents_unruled(spark, sf_dir):
+    """Processing without an eligible rule."""
+    return processed(spark, sf_dir, C.UNRULED_FORMS)
 
 
 def self_test(spark, sf_dir):
@@ -275,8 +319,8 @@ def self_test(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, vector_topk, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
+        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, vector_topk, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
         blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, think_summary, feedback_memory, rules_eligible,
-        graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, point_lookup_document, chunk_upsert, process_documents, self_test,
+        graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )
 }

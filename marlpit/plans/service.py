@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlpit.functions import scoring
+from marlpit.operators import processing
 
 #: A response never has more results, whatever the request's limit.
 MOST_RESULTS = 5
@@ -48,7 +48,7 @@ def query_documents(documents: DataFrame, request: QueryRequest) -> QueryRespons
     for column, wanted in (("team_owner", request.team_id), ("document_type", request.doc_type)):
         if wanted is not None:
             documents = documents.filter(F.col(column) == wanted)
-    scored = documents.select("document_id", scoring.scored(F.col("text"), scoring.query_keywords(request.query)).alias("s"))
-    best = scored.orderBy(F.desc(F.round("s.score", 6)), "document_id").limit(min(request.limit, MOST_RESULTS))
-    rows = [{"document_id": r.document_id, "score": r.s.score, "confidence": r.s.confidence_level / 10.0, "matching_keywords": r.s.matching_keywords} for r in best.collect()]
+    kind, title = ("document_type" if "document_type" in documents.columns else None), ("title" if "title" in documents.columns else "document_id")
+    found = processing.query_documents(documents, request.query, min(request.limit, MOST_RESULTS), ["document_id"], title, kind=kind)
+    rows = [r.asDict() | {"confidence": r.confidence_level / 10.0} for r in found.collect()]
     return QueryResponse(request.query, len(rows), 1000 * (time.perf_counter() - began), rows)

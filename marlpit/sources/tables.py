@@ -2,34 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlpit.functions.text import base_name, document_id, document_type, mime_type
+from marlpit.functions.text import base_name, document_id, document_type, extension, mime_type
 
 SCHEMAS = {
     "documents": "document_id string, title string, team_owner string, document_type string, visibility string, version string, sha256 string, source_path string, last_updated timestamp_ntz",
     "agents": "agent_id string, name string, parent_agent string, role string, version string, status string",
     "chunks": "chunk_id string, document_id string, sequence int, text string, char_start int, char_end int",
     "vectors": "chunk_id string, embedding array<double>",
+    "files": "path string, file_name string, document_type string, mime_type string, file_size long, modified_at timestamp, sha256 string, text string, error string, run string",
+    "memory": "memory_id string, content string, context map<string,string>, created_at string, confidence double",
     "graph_entities": "id string, name string, entity_type string, description string, metadata string, owner string, visibility string",
     "graph_relationships": "source_id string, target_id string, relation_type string, description string, confidence double, metadata string",
 }
-KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "chunks": ["chunk_id"], "vectors": ["chunk_id"], "graph_entities": ["id"], "graph_relationships": ["source_id", "target_id", "relation_type"]}
+KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "chunks": ["chunk_id"], "vectors": ["chunk_id"], "files": ["path"], "memory": ["memory_id"], "graph_entities": ["id"], "graph_relationships": ["source_id", "target_id", "relation_type"]}
+
+
+#: Extensions whose files need a parser.
+PARSED = (".pdf", ".doc", ".docx")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Versions of a stored table that are read together before they are written as one.
+VERSIONS_MOST = 8
+VERSION = re.compile(r"(\d{8})-(full|part)")
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path and its file system, whatever store it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _files(spark, path)
+    return fs.exists(target)
+
+
+def _versions(spark: SparkSession, folder: str, name: str) -> list[tuple[int, str]]:
+    """(number, path) of complete versions, from the last full one on. Spark marks a folder when all of it is there."""
+    target, fs = _files(spark, f"{folder}/{name}")
+    if not fs.exists(target):
+        return []
+    found = sorted((int(m[1]), m[2], str(x.getPath())) for x in fs.listStatus(target) if (m := VERSION.fullmatch(x.getPath().getName())))
+    found = [x for x in found if exists(spark, f"{x[2]}/_SUCCESS")]
+    last = max((number for number, kind, _ in found if kind == "full"), default=0)
+    return [(number, path) for number, _, path in found if number >= last]
+
+
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stored table, or an empty one with its schema if it isn't there yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
-    return spark.createDataFrame([], SCHEMAS[name])
+    """A stored table: of each key the row of its last version. An empty one with its schema if it isn't there yet."""
+    versions = _versions(spark, folder, name)
+    if not versions:
+        return spark.createDataFrame([], SCHEMAS[name])
+    rows = spark.read.schema(f"{SCHEMAS[name]}, _version long").parquet(*[path for _, path in versions])
+    if len(versions) > 1:
+        columns = [c for c in rows.columns if c != "_version"]
+        return rows.groupBy(*KEYS[name]).agg(F.max_by(F.struct(*columns), "_version").alias("row")).select("row.*")
+    return rows.drop("_version")
+
+
+def store(spark: SparkSession, folder: str, name: str, incoming: DataFrame) -> None:
+    """Upserts into a stored table, by one writer at a time: incoming rows become its next version, nothing is rewritten.
+
+    A version counts once Spark has marked it as complete, so a crash leaves the table as it was, and a batch that is
+    stored again changes nothing. After some versions all rows are written as one, and older ones go.
+    """
+    versions = _versions(spark, folder, name)
+    _write(incoming, folder, name, versions[-1][0] + 1 if versions else 1, "part")
+    if len(versions) + 1 > VERSIONS_MOST:
+        compact(spark, folder, name)
+
+
+def _write(rows: DataFrame, folder: str, name: str, number: int, kind: str) -> None:
+    columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+    rows.select(*columns, F.lit(number).cast("long").alias("_version")).write.mode("overwrite").parquet(f"{folder}/{name}/{number:08d}-{kind}")
+
+
+def compact(spark: SparkSession, folder: str, name: str) -> None:
+    """All rows of a stored table as one full version; those before it go when it is complete."""
+    versions = _versions(spark, folder, name)
+    if not versions:
+        return
+    _write(stored(spark, folder, name), folder, name, versions[-1][0] + 1, "full")
+    for _, path in versions:
+        target, fs = _files(spark, path)
+        fs.delete(target, True)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,15 +105,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Dat
     return late.withColumn("_rank", latest).filter("_rank = 1").drop("_late", "_rank")
 
 
-def store(spark: SparkSession, folder: str, name: str, incoming: DataFrame) -> None:
-    """Upserts into a stored table and swaps the folder for a new one."""
-    jvm, target, fresh = spark._jvm.org.apache.hadoop.fs.Path, f"{folder}/{name}", f"{folder}/_{name}_new"
-    upsert(stored(spark, folder, name), incoming, KEYS[name]).write.mode("overwrite").parquet(fresh)
-    fs = jvm(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm(target), True)
-    fs.rename(jvm(fresh), jvm(target))
-
-
 def pages_text(pages: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """(by, text): texts of a document's pages that aren't blank, in order, a newline between them."""
     kept = pages.filter(F.regexp_replace(text, r"(?U)\s+", "") != "")
@@ -64,9 +121,29 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*", limit: int
     return found.limit(limit) if limit else found
 
 
+def read_texts(spark: SparkSession, folder: str, pattern: str = "*", limit: int | None = None, extractors: Mapping[str, Column] | None = None) -> DataFrame:
+    """read_files with (sha256, text, error) in place of the content: a file that can't be read gives a row, no failure.
+
+    Files are UTF-8 text, but for PDF and Word files, whose texts come from a column of `content` given for their
+    extension, such as a pandas UDF around a parser. text is null and error says why where there is no such column, the
+    parser gives null, or the bytes aren't UTF-8. A folder that isn't there is an error.
+    """
+    if not exists(spark, folder):
+        raise FileNotFoundError(folder)
+    files = read_files(spark, folder, pattern, limit)
+    kind, own = extension("path"), F.col("content").cast("string")
+    text = F.when(kind.isin(*PARSED), F.lit(None).cast("string")).when(F.is_valid_utf8(own), own)
+    error = F.when(kind.isin(*PARSED), F.concat(F.lit("no extractor for "), kind)).when(~F.is_valid_utf8(own), F.lit("not UTF-8"))
+    for name, column in (extractors or {}).items():
+        text = F.when(kind == name, column).otherwise(text)
+        error = F.when(kind == name, F.when(column.isNull(), F.concat(F.lit("no text in "), kind))).otherwise(error)
+    return files.select(*[c for c in files.columns if c != "content"], sha256(F.col("content")).alias("sha256"), text.alias("text"), error.alias("error"))
+
+
 def numbered(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The driver's documents as (document_id, title, text, sha256)."""
-    return docs.select(document_id(F.col("doc_id") + 1).alias("document_id"), F.col("source").alias("title"), F.col(text).alias("text"), sha256(F.col(text)).alias("sha256"))
+    """The driver's documents as (document_id, title, text, sha256, source_path)."""
+    path = F.format_string("%s/%d.txt", F.col("source"), F.col("doc_id"))
+    return docs.select(document_id(F.col("doc_id") + 1).alias("document_id"), F.col("source").alias("title"), F.col(text).alias("text"), sha256(F.col(text)).alias("sha256"), path.alias("source_path"))
 
 
 def sha256(content: Column) -> Column:

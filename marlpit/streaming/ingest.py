@@ -1,4 +1,4 @@
-"""Files as a stream: new texts are cleaned, cut into chunks and upserted, batch by batch."""
+"""Files as a stream: new texts are cleaned, cut into chunks and stored, batch by batch."""
 
 from __future__ import annotations
 
@@ -8,18 +8,33 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marlpit.functions.text import clean
 from marlpit.operators.chunking import chunk
-from marlpit.sources.tables import store
+from marlpit.operators.ingest import UNKNOWN
+from marlpit.sources.tables import store, stored
+
+
+def last_arrived(batch: DataFrame) -> DataFrame:
+    """Of each document the row that arrived last, by the file's time, then its name, then the text."""
+    columns = ["document_id", "text", "sha256", "path"]
+    return batch.groupBy("document_id").agg(F.max_by(F.struct(*columns), F.struct("arrived", "path", "text")).alias("row")).select("row.*")
 
 
 def ingest_stream(spark: SparkSession, source: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Parquet files of (document_id, text) in a folder, as they come; each content is taken once, by its hash.
+    """Parquet files of (document_id, text) in a folder, as they come; a content that a stored document has is skipped.
 
-    Chunks are upserted by id, so a batch that runs again after a failure changes nothing.
+    Known contents are those in the stored documents table, so the stream itself keeps no state. Of equal contents in a
+    batch the document of the smallest id is taken. Chunks are stored before their documents, both by key, so a batch
+    that runs again after a failure changes nothing that it has stored, and leaves nothing out.
     """
-    docs = spark.readStream.schema("document_id string, text string").parquet(source)
-    fresh = docs.withColumn("text", clean("text")).withColumn("sha256", F.sha2("text", 256)).dropDuplicates(["sha256"])
+    rows = spark.readStream.schema("document_id string, text string").parquet(source)
+    docs = rows.select("document_id", clean("text").alias("text"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("path")).withColumn("sha256", F.sha2("text", 256))
 
     def keep(batch: DataFrame, _: int) -> None:
-        store(batch.sparkSession, folder, "chunks", chunk(batch.dropDuplicates(["document_id"])))
-
-    return fresh.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        session = batch.sparkSession
+        known = stored(session, folder, "documents").select("sha256").distinct()
+        fresh = last_arrived(batch).join(known, "sha256", "left_anti")
+        first = fresh.groupBy("sha256").agg(F.min_by(F.struct("document_id", "text", "path"), "document_id").alias("row")).select("sha256", "row.*")
+        constant = [F.lit(v).alias(k) for k, v in UNKNOWN.items()]
+        store(session, folder, "chunks", chunk(first))
+        store(session, folder, "documents", first.select("document_id", F.col("document_id").alias("title"), *constant, "sha256", F.col("path").alias("source_path"), F.current_timestamp().cast("timestamp_ntz").alias("last_updated")))
+
+    return docs.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

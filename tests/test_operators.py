@@ -1,5 +1,7 @@
 import math
+import os
 import random
+from datetime import UTC, datetime
 import re
 
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, lexical, memory, retrieval
+from marlpit.operators import chunking, graph, identity, ingest, lexical, memory, processing, retrieval
 from marlpit.sources import tables
 from marlpit.streaming.ingest import ingest_stream
 
@@ -110,8 +112,11 @@ def test_halves_round_to_even(spark):
 def test_routes_types_and_ids(spark):
     got = spark.createDataFrame([("Show catalogs",), ("Tracker logs",), ("hotel",), ("x",), ("",)], "q string").select(T.route("q").alias("p")).collect()
     assert [r.p.tool for r in got] == ["datadog", "smartsheet", "sql", "knowledge", "knowledge"]
-    files = spark.createDataFrame([("/a.b/c.PDF",), ("x.docx",), ("n",), (".txt",), ("a.tar.gz",)], "p string").select(T.document_type("p").alias("t"), T.extension("p").alias("e"), T.mime_type("p").alias("m")).collect()
-    assert [r.t for r in files] == ["report", "project", "other", "other", "other"] and [r.e for r in files] == [".pdf", ".docx", "", "", ".gz"]
+    names = ["/a.b/c.PDF", "x.docx", "n", ".txt", "a.tar.gz", "a..txt", "..a.txt", "...", "a.", "/d.x/", "a\nb.doc"]
+    files = spark.createDataFrame([(x,) for x in names], "p string").select(T.document_type("p").alias("t"), T.extension("p").alias("e"), T.mime_type("p").alias("m")).collect()
+    assert [r.e for r in files] == [os.path.splitext(os.path.basename(x))[1].lower() for x in names]
+    assert [r.t for r in files] == ["report", "project", "other", "other", "other", "meeting_notes", "meeting_notes", "other", "other", "other", "project"]
+    assert files[1].m.endswith("wordprocessingml.document") and files[2].m == "application/octet-stream"
     ids = spark.createDataFrame([(1,), (999_999,), (1_234_567,)], "n long").select(T.document_id("n").alias("d")).collect()
     assert [r.d for r in ids] == ["DOC-000001", "DOC-999999", "DOC-1234567"]
     with pytest.raises(Exception, match="1 or more"):
@@ -177,14 +182,19 @@ def test_files_without_a_hash_are_kept(spark):
     assert got == [(1, None, None, False), (2, "h1", "DOC-000003", False), (3, None, None, False), (4, "h2", "DOC-000004", False), (5, "h3", "DOC-000001", True)]
 
 
-def test_memory(spark):
+def test_memory(spark, monkeypatch):
     entries = spark.createDataFrame([("User feedback: Positive", {"a": "x"}), ("note", {"k": "FEEDBACK"}), ("other", {"k": "True"}), ("none", None)], "content string, context map<string,string>")
     assert memory.remembered(entries, "Feedback").count() == 2 and memory.remembered(entries, "true").count() == 1 and memory.remembered(entries, "").count() == 4
     queries = spark.createDataFrame([(1, "What is the status of project documentation?"), (2, "nothing here"), (3, "note")], "id int, q string")
-    got = {r.id: (r.memories, r.patterns, r.confidence) for r in memory.thoughts(queries, "q", entries, [("Docs", ["documentation"]), ("None", [])], "id").collect()}
-    assert got == {1: (0, "Docs", "HIGH"), 2: (0, "none", "MEDIUM"), 3: (1, "none", "HIGH")}
+    queries = queries.unionByName(spark.createDataFrame([(4, "feedBACK"), (5, "tru"), (6, "feedBACK"), (7, None)], "id int, q string"))
+    want = {1: (0, "Docs", "HIGH"), 2: (0, "none", "MEDIUM"), 3: (1, "none", "HIGH"), 4: (2, "none", "HIGH"), 5: (1, "none", "HIGH"), 6: (2, "none", "HIGH"), 7: (0, "none", "MEDIUM")}
+    for most in (50_000, 2):  # memory as a whole, or texts in blocks
+        monkeypatch.setattr(memory, "BROADCAST_ROWS", most)
+        found = memory.thoughts(queries, "q", entries, [("Docs", ["documentation"]), ("None", [])], "id").collect()
+        assert {r.id: (r.memories, r.patterns, r.confidence) for r in found} == want
+    assert [r.final_reasoning for r in found if r.id == 3] == ["Based on 1 relevant memories and 0 pattern matches, I can provide a confident response about 'note'"]
     rules = spark.createDataFrame([("p1", "a", "x", ["K", "k", "l"]), ("p2", "b", None, ["m"]), ("p3", "c", "x", [])], "pattern_id string, name string, regex string, keyword_list array<string>")
-    assert sorted(r.keyword for r in memory.rule_keywords(memory.eligible(rules)).collect()) == ["k", "l"]
+    assert sorted(r.keyword for r in memory.rule_keywords(memory.eligible(rules)).collect()) == ["K", "k", "l"]
 
 
 def test_graph(spark):
@@ -215,3 +225,119 @@ def test_stream_of_files(spark, tmp_path):
     ingest_stream(spark, source, folder, str(tmp_path / "c")).awaitTermination()
     after = {r.chunk_id: r.text for r in tables.stored(spark, folder, "chunks").collect()}
     assert set(after) == first and after["d1-CH-000001"] == "y" and tables.stored(spark, folder, "agents").count() == 0
+    spark.createDataFrame([("d5", "late"), ("d5", "late too")], schema).write.mode("append").parquet(source)
+    ingest_stream(spark, source, folder, str(tmp_path / "c")).awaitTermination()
+    known = {r.document_id: r.sha256 for r in tables.stored(spark, folder, "documents").collect()}
+    assert set(known) >= {"d1", "d5"} and len(known) == 3 and len(set(known.values())) == 3
+
+
+def test_stored_tables_survive_crashes(spark, tmp_path):
+    folder, kind = str(tmp_path), tables.SCHEMAS["agents"]
+    agent = lambda i, name: spark.createDataFrame([(i, name, None, None, None, None)], kind)
+    tables.store(spark, folder, "agents", agent("a", "one"))
+    tables.store(spark, folder, "agents", agent("b", "two"))
+    before = sorted(map(tuple, tables.stored(spark, folder, "agents").collect()))
+    assert len(before) == 2
+    broken = agent("a", "bad").withColumn("name", F.raise_error(F.lit("disk full")).cast("string"))
+    with pytest.raises(Exception, match="disk full"):
+        tables.store(spark, folder, "agents", broken)
+    assert sorted(map(tuple, tables.stored(spark, folder, "agents").collect())) == before
+    os.makedirs(tmp_path / "agents" / "00000003-part", exist_ok=True)  # a version that was begun and never ended
+    assert sorted(map(tuple, tables.stored(spark, folder, "agents").collect())) == before
+    for k in range(tables.VERSIONS_MOST + 2):
+        tables.store(spark, folder, "agents", agent("a", f"name {k}"))
+    after = {r.agent_id: r.name for r in tables.stored(spark, folder, "agents").collect()}
+    assert after == {"a": f"name {tables.VERSIONS_MOST + 1}", "b": "two"}
+    assert len([x for x in os.listdir(tmp_path / "agents") if x.endswith("part")]) <= tables.VERSIONS_MOST
+
+
+@pytest.mark.parametrize("rows", [0, 1, 700])
+def test_positions_of_any_ordered_column(spark, monkeypatch, rows):
+    monkeypatch.setattr(identity, "SLICE_ROWS", 40)
+    values = [f"dir {k * 7919 % 1000:03d}/é{k}" for k in range(rows)]
+    got = {r.p: r.position for r in identity.positions(spark.createDataFrame([(v,) for v in values], "p string"), "p").collect()}
+    assert got == {v: k for k, v in enumerate(sorted(values, key=str.encode), 1)}
+
+
+def test_folder_is_ingested_indexed_and_searched(spark, tmp_path):
+    source, folder = tmp_path / "in", str(tmp_path / "store")
+    os.makedirs(source)
+    (source / "b.txt").write_text("Recent Posts the plan of the day " + "x" * 1200)
+    (source / "a.txt").write_text("the plan")
+    (source / "c.txt").write_text("the plan")
+    (source / "bad.txt").write_bytes(b"\xff\xfe\xff")
+    (source / "d.pdf").write_text("page one")
+    (source / "e.docx").write_text("word")
+    with pytest.raises(FileNotFoundError):
+        ingest.ingest_folder(spark, str(tmp_path / "nowhere"), folder)
+    extractors = {".pdf": F.upper(F.col("content").cast("string"))}
+    rows = {r.file_name: r for r in ingest.ingest_folder(spark, str(source), folder, extractors=extractors).collect()}
+    ids = {name: r.document_id for name, r in rows.items()}
+    assert ids == {"a.txt": "DOC-000001", "b.txt": "DOC-000002", "c.txt": "DOC-000001", "d.pdf": "DOC-000003", "bad.txt": None, "e.docx": None}
+    assert rows["bad.txt"].error == "not UTF-8" and rows["e.docx"].error == "no extractor for .docx" and rows["a.txt"].error is None
+    documents = {r.document_id: r for r in tables.stored(spark, folder, "documents").collect()}
+    assert set(documents) == {"DOC-000001", "DOC-000002", "DOC-000003"} and documents["DOC-000001"].title == "a.txt" and documents["DOC-000002"].team_owner == "UNKNOWN"
+    chunks = tables.stored(spark, folder, "chunks")
+    assert sorted(r.chunk_id for r in chunks.collect()) == ["DOC-000001-CH-000001", "DOC-000002-CH-000001", "DOC-000002-CH-000002", "DOC-000003-CH-000001"]
+    assert chunks.filter("document_id = 'DOC-000003'").first().text == "PAGE ONE" and not chunks.filter("text like '%Recent Posts%'").count()
+
+    (source / "f.txt").write_text("a new one")
+    ingest.ingest_folder(spark, str(source), folder, "*.txt").collect()
+    assert tables.stored(spark, folder, "documents").count() == 4 and tables.stored(spark, folder, "chunks").count() == 5
+
+    embed = lambda text: F.array(F.char_length(text), F.lit(1))
+    ingest.index_stored(spark, folder, embed)
+    assert ingest.index_vectors(tables.stored(spark, folder, "chunks"), tables.stored(spark, folder, "vectors"), embed).count() == 0
+    vectors = tables.stored(spark, folder, "vectors")
+    assert {r.chunk_id: r.embedding for r in ingest.from_json(ingest.to_json(vectors)).collect()} == {r.chunk_id: r.embedding for r in vectors.collect()}
+    best = retrieval.hybrid_search(tables.stored(spark, folder, "chunks"), vectors, "the plan", [8.0, 1.0], 1).first()
+    assert best.document_id == "DOC-000001"
+
+
+def test_memory_is_appended_with_context(spark, tmp_path):
+    rows = spark.createDataFrame([("one", {"k": "v"}), ("two", None)], "content string, context map<string,string>")
+    memory.store_memory(spark, str(tmp_path), rows)
+    memory.store_memory(spark, str(tmp_path), rows.limit(1))
+    got = tables.stored(spark, str(tmp_path), "memory").collect()
+    assert sorted((r.content, tuple(r.context.items())) for r in got) == [("one", (("k", "v"),)), ("one", (("k", "v"),)), ("two", ())]
+    assert len({r.memory_id for r in got}) == 3 and {r.confidence for r in got} == {0.85}
+    assert all(abs((datetime.now(UTC) - datetime.strptime(r.created_at + "+0000", "%Y-%m-%dT%H:%M:%SZ%z")).total_seconds()) < 300 for r in got)
+    assert spark.range(1).select(T.prefix(F.lit("abcdef"), 3).alias("p")).first().p == "abc"
+
+
+def test_feedback_context(spark):
+    said = spark.createDataFrame([(7, "u", True, None, ["x", "y"]), (8, None, False, "bad", None)], "doc_id long, user_id string, is_correct boolean, comments string, suggested_tags array<string>")
+    got = {r.doc_id: (r.content, r.context) for r in memory.feedback_memory(said).collect()}
+    assert got[7] == ("User feedback: Positive for document 7", {"feedback_type": "user_feedback", "is_correct": "True", "doc_id": "7", "user_id": "u", "suggested_tags": "x, y"})
+    assert got[8] == ("User feedback: Negative for document 8", {"feedback_type": "user_feedback", "is_correct": "False", "doc_id": "8", "comments": "bad"})
+
+
+def test_processing(spark):
+    docs = spark.createDataFrame([(1, "/a/x.PDF", "alpha beta alpha"), (2, "y.txt", None), (3, None, "beta")], "doc_id long, path string, text string")
+    rules = [processing.Rule("one", "x", ("alpha", "Alpha", "alpha")), processing.Rule("no form", None, ("beta",)), processing.Rule("no words", "x", ())]
+    got = {r.doc_id: r for r in processing.process_documents(docs, rules, ["doc_id"]).collect()}
+    assert (got[1].title, got[1].document_type, got[1].patterns_found, got[1].metadata_confidence) == ("x.PDF", "report", ["one"], 0.85)
+    words = ["alpha", "Alpha"]  # case tells keywords apart, so the score is that of two
+    s = docs.filter("doc_id = 1").select(scoring.scored(F.col("text"), words).alias("s")).first().s
+    assert (got[1].confidence_score, got[1].blast_radius, got[1].term_frequency) == (s.confidence_level / 10, s.blast_radius, s.term_frequency)
+    assert (got[2].document_type, got[2].patterns_found, got[2].confidence_score, got[2].blast_radius, got[2].status) == ("other", [], 0.0, 0.0, "indexed")
+    assert got[3].document_type == "other" and got[3].title is None
+    plain = {r.doc_id: r for r in processing.process_documents(docs, rules[1:], ["doc_id"]).collect()}
+    assert (plain[1].confidence_score, plain[1].blast_radius, plain[1].term_frequency, plain[2].confidence_score) == (0.85, 0.5, 0.5, 0.0)
+
+
+def test_batch_search_equals_brute_force_at_every_pilot(spark):
+    rng = random.Random(5)
+    words = ["the"] * 30 + ["of"] * 12 + ["plan"] * 4 + [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 30))) for _ in range(120)]
+    chunks = spark.createDataFrame([(f"D{i:03d}-1", f"D{i:03d}", 1, t) for i, t in enumerate(texts)], "chunk_id string, document_id string, sequence int, text string")
+    asked = [(0, "the of"), (1, "the the plan w3"), (2, "w1 w2 of the"), (3, "zz"), (4, ""), (5, "The OF plan " + " ".join(f"w{k}" for k in range(20))), (None, "w5 the")]
+    queries = spark.createDataFrame(asked, "q int, text string")
+    want = []
+    for q, text in asked:
+        if text:
+            found = lexical.search(chunks, text, 7).collect()
+            want += [(q, k + 1, r.chunk_id, r.score) for k, r in enumerate(found)]
+    for pilot in (1, 40, 10_000):
+        got = [tuple(r) for r in lexical.batch_search(chunks, queries.filter("q is not null"), "q", "text", 7, pilot).collect()]
+        assert sorted(got) == sorted(x for x in want if x[0] is not None)

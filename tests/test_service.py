@@ -23,7 +23,7 @@ def test_requests(spark):
 def test_agents(spark):
     known = agents.add_knowledge(spark.createDataFrame([("a", "old", 0.9, 9)], agents.KNOWLEDGE), spark.createDataFrame([("a", "new"), ("b", "b")], "document_id string, content string"))
     assert sorted(map(tuple, known.collect())) == [("a", "new", 0.0, 0), ("b", "b", 0.0, 0)]
-    after, said = agents.update_scores(known, spark.createDataFrame([("a", 1.25), ("z", 0.5)], "document_id string, score double"))
+    after, said = agents.update_scores(known, spark.createDataFrame([("a", 1.25), ("a", 0.5), ("z", 0.5)], "document_id string, score double"))
     assert sorted(map(tuple, after.collect())) == [("a", "new", 1.25, 12), ("b", "b", 0.0, 0)]
     assert sorted(map(tuple, said.collect())) == [("a", 12), ("z", 0)]
     assert agents.agent_level(after, "SPM Agent").first().confidence == 6 and agents.agent_level(after, "Other").first().confidence == 0
