@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +25,8 @@ def chunk(docs: DataFrame, id_col: str = "document_id", text_col: str = "text",
         F.least(start + size, F.char_length("text")).alias("char_end"),
         F.substring("text", start + 1, F.lit(size)).alias("text"),
     )
+
+
+def accumulated(parts: Iterable[DataFrame]) -> DataFrame:
+    """Chunks of several documents or runs as one table, each as often as it was added."""
+    return reduce(DataFrame.unionByName, parts)

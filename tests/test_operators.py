@@ -46,6 +46,8 @@ def test_chunks_match_a_loop(spark):
         assert got == sorted((f"DOC-{i:06d}", *c) for i, t in enumerate(texts) for c in loop_chunks(t, size, overlap))
     with pytest.raises(ValueError):
         chunking.chunk(docs, size=10, overlap=10)
+    parts = [chunking.chunk(docs.filter(f"document_id = 'DOC-00000{k}'")) for k in (1, 6, 6)]
+    assert chunking.accumulated(parts).count() == sum(p.count() for p in parts) == 5
 
 
 @settings(max_examples=60, deadline=None)
