@@ -3,7 +3,7 @@
 Sources share a budget by weight, none beyond a multiple of its own size. Within a source, documents are counted by
 exact size. Whole passes over the source come first; of the rest of its budget each size gets its part, from the
 smallest size up, so that what rounding leaves goes on to the next size. Less than the largest document is left then,
-and a bounded knapsack over sizes closes it. Which documents of a size are taken follows from a seeded hash of their ids.
+and a bounded knapsack over sizes closes it. Which documents of a size are taken follows from a seeded hash of their ids and texts.
 """
 
 from __future__ import annotations
@@ -95,7 +95,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Columns to carry come along in a struct, carried.
     A null text has size 0; null is a source of its own, the last. Documents without words are never counted. No
-    document is taken more than `most` times. Null ids are hashed like any; repeated rows are taken each by itself;
+    document is taken more than `most` times. Null ids are hashed like any, with the text; repeated rows are taken each
+    by itself;
     other columns are ignored, whatever their names. An empty table gives an empty result. Rows of one size and source
     are ranked in buckets, so no task holds a hot source; one task holds the distinct sizes of a source.
     """
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), source_col), F.lit("")).alias("key"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), id_col).alias("draw"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(text)).alias("draw"),
         F.crc32(text).alias("crc"),
         *([F.struct(*carry).alias("carried")] if carry else []),
     )

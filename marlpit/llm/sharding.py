@@ -3,7 +3,8 @@
 The ring has a fixed number of cells. Each shard owns virtual nodes at hashed cells, and a cell belongs to the first
 node from it on, clockwise. A shard takes the rows of its cells, in ring order, up to its capacity. What overflows
 goes on clockwise to the free room of shards that aren't full, room that each of those offers at its nodes in equal
-parts. Capacities add up to the number of rows and differ by one at most, so every shard ends exactly full.
+parts. So a full shard's overflow spreads over all others instead of filling its neighbour to the brim, whose own rows
+would be pushed on in turn; one more shard then moves fewer rows. Capacities add up to the number of rows and differ by one at most, so every shard ends exactly full.
 
 Rows in overflow meet free room in ring order, first come, first served. Seen from the point of the ring where no row
 is still under way, the k-th row in overflow takes the k-th free place, so two running sums decide it all. They run
