@@ -109,3 +109,28 @@ def test_run_gives_the_last_stage(spark, folder, stages):
     got = corpus_pipeline.run(spark, folder).collect()
     key = lambda rows: Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)
     assert key(got) == key(stages[4][1])
+
+
+CLASHING = ["row", "key", "its", "first", "carried", "copy", "copies", "size", "target", "id", "k", "component_id", "kept", "marlpit_id", "marlpit_text", "sequence_id", "score", "item", "part"]
+
+
+def test_columns_of_any_name_pass_all_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id is null or doc_id < 80 or doc_id > 1020")
+    docs = docs.selectExpr("*", *[f"concat('{name}', doc_id) AS {name}" for name in CLASHING])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns
+        rows = after.collect()
+        assert rows and all(r[name] == (None if r.doc_id is None else f"{name}{r.doc_id}") for r in rows for name in CLASHING)
+        docs = spark.createDataFrame(rows, after.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= docs.count()
+
+
+def test_empty_tables_pass_all_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == COLUMNS and after.count() == 0
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
