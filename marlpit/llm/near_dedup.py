@@ -1,15 +1,24 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 A document's set holds its distinct shingles. Documents with equal sets form a class, and classes are compared. Each
-class has a MinHash signature; classes that agree in a band of it share a bucket. In a first round each class of a
-bucket is compared with the bucket's first class. Comparing goes through a signature batch by batch: with m of n
-values equal, and any similarity as likely as another beforehand, the posterior chance of a similarity of the threshold
-or more is that of at most m hits in n + 1 draws at the threshold. A pair whose chance falls below the miss probability
-is dropped. Survivors are verified on their whole sets. Links make components.
+class has a MinHash signature; classes that agree in a band of it share a bucket. Comparing goes through a signature
+batch by batch: with m of n values equal, and any similarity as likely as another beforehand, the posterior chance of a
+similarity of the threshold or more is that of at most m hits in n + 1 draws at the threshold. A pair whose chance falls
+below the miss probability is dropped. Survivors are verified on their whole sets. Links make components.
 
-Buckets that now hold one component are done. In the others, pairs of different components remain. Their members are
-compared in blocks of bounded size, ordered by component, so that most blocks of one large component meet none of it. Each pair is looked at in its first common band; survivors are verified on whole
-sets in the same task, which gives back only links that join two components there. No pair in a bucket is left out.
+A bucket's pairs aren't all formed, as a bucket may hold a third of all classes. Three rounds look at them:
+
+1. Each class of a bucket is compared with the bucket's first class. Buckets that then hold one component are done.
+2. Classes of the other buckets, the open ones, order their shingles from the rarest among them. Sets as alike as the
+   threshold share a shingle within the first few of either (a prefix, an exact bound), and these few are rare. Each
+   class is compared with one pivot of each such shingle: the class with the fewest rarer shingles, which the copies of
+   one original are most alike to.
+3. Of what is left, pairs of different components share a prefix shingle, and sizes and places in the two orders leave
+   room for enough common shingles. Summaries by shingle and size say first which classes can have a partner at all, so
+   that pairs are formed of these alone.
+
+Rounds 1 and 2 are linear in the classes' places. No pair at the threshold that shares a bucket is left out: a pair
+that no round forms either lies in one component by then or can't reach the threshold.
 
 With 32 bands of 4 values two sets at the threshold of 0.8 meet in no bucket with a chance of 5e-8.
 """
@@ -21,21 +30,22 @@ from functools import lru_cache
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.llm.common import text_or_empty, written
+from marlpit.llm.common import discard, in_pieces, text_or_empty, written
 
 BANDS, BAND_ROWS = 32, 4
 VALUES = BANDS * BAND_ROWS
 #: Values of a signature that are compared at once, and the chance at which a pair is dropped.
 BATCH, MISS = 16, 1e-6
-#: Most members of a block in the second round, about, and most shingles, unless one document alone has more.
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
-WORDS_KEPT = 600_000
+#: Most rows of classes' names or of buckets that are broadcast, of 50 bytes at most each.
+BROADCAST_ROWS = 200_000
+#: Sizes of one bin of the third round differ by this factor at most.
+BIN = 1.05
+WORDS_KEPT = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,13 +119,14 @@ def signatures(batch: list) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n_shingles, set_key, signature) of (id, text); set_key is null for empty sets."""
+    """(id, text_key, n_shingles, set_key, signature) of (id, text_key, text); set_key is null for empty sets."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             sets = [shingles(text, width) for text in batch.column("text").to_pylist()]
             columns = {
                 "id": batch.column("id"),
+                "text_key": batch.column("text_key"),
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                 "set_key": pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                 "signature": pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
@@ -123,7 +134,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"id {kind}, n_shingles long, set_key binary, signature binary")
+    return docs.mapInArrow(describe, f"id {kind}, text_key long, n_shingles long, set_key binary, signature binary")
 
 
 def survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -140,25 +151,38 @@ def survivors(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast up to a number of rows; beyond it Spark deals out both sides of the join."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(k, members): the whole sets of classes (k), from texts that are read anew."""
+    """(k, members): the whole sets of classes (k), from texts that are read anew.
+
+    A class names one of its documents by id and hash of the text, so that a document meets one class at most, whatever
+    ids are null or repeated. The names are broadcast up to a number; beyond it the join deals out the texts.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = [shingles(text, width) for text in batch.column("text").to_pylist()]
             own = [k for k, (x, key) in enumerate(zip(found, batch.column("set_key").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(x.tobytes()) == key]
             yield pa.RecordBatch.from_pydict({"k": batch.column("k").take(pa.array(own, pa.int64())), "members": pa.array([found[k].tobytes() for k in own], pa.binary())})
 
-    keys = wanted.distinct().join(classes, "k").select("k", "cid", "set_key")
-    texts = docs.join(keys, docs["id"].eqNullSafe(keys["cid"])).select("k", "set_key", "text")
-    return written(texts.mapInArrow(sets, "k long, members binary").dropDuplicates(["k"]))
+    keys = written(wanted.distinct().join(classes, "k").select("k", "set_key", "named"))
+    texts = docs.join(broadcast_if_small(keys), (docs["text_key"] == keys["named"]["text_key"]) & docs["id"].eqNullSafe(keys["named"]["id"]))
+    return written(texts.select("k", "set_key", "text").mapInArrow(sets, "k long, members binary").dropDuplicates(["k"]))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("k"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links: pairs whose whole sets have percent / 100 or more of their union in common."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             linked = []
             for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
                 one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -166,9 +190,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 linked.append(100 * common >= percent * (len(one) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    found = class_sets(pairs.select(F.explode(F.array("a", "b")).alias("k")), classes, docs, width)
-    one = found.select(F.col("k").alias("a"), F.col("members").alias("xa"))
-    other = found.select(F.col("k").alias("b"), F.col("members").alias("xb"))
+    one = sets.select(F.col("k").alias("a"), F.col("members").alias("xa"))
+    other = sets.select(F.col("k").alias("b"), F.col("members").alias("xb"))
     return pairs.join(one, "a").join(other, "b").select("a", "b", "xa", "xb").mapInArrow(confirm, "a long, b long")
 
 
@@ -179,112 +202,98 @@ def components(links: DataFrame) -> DataFrame:
     halve; it ends when no label changes.
     """
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("b")).select("k", F.least("k", "b").alias("component")))
+    known = written(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("b")).select("k", F.least("k", "b").alias("component")))
     while True:
+        labels = known.select("k", "component")
         near = both.join(labels, both["b"] == labels["k"]).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["k"] == near["a"]).select("k", F.col("component").alias("was"), F.least("component", "near").alias("at"))
         jump = lower.select(F.col("k").alias("at"), F.col("at").alias("component"))
-        after = written(lower.join(jump, "at").select("k", "was", "component"))
-        labels = after.select("k", "component")
-        if not after.filter("component <> was").limit(1).count():
-            return labels
-
-
-class Joined:
-    """Components of a block's members, with the links that were found on the way."""
-
-    def __init__(self, components: np.ndarray):
-        self.to: dict[int, int] = {}
-        self.of = components
-
-    def root(self, i: int) -> int:
-        at = int(self.of[i])
-        while at in self.to:
-            at = self.to[at]
-        return at
-
-    def join(self, i: int, j: int) -> bool:
-        """True if the two were apart."""
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.to[max(a, b)] = min(a, b)
-        return a != b
-
-
-def open_pairs(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of pairs of a block, or of two, that no signature rules out: of different components, and whose
-    first common band is this one. side is 2 for a block with itself, else 0 and 1."""
-    mark, band = group["side"].to_numpy(), int(group["band"].iloc[0])
-    signed, component = signatures(list(group["signature"])), group["component"].to_numpy()
-    bands = signed.reshape(len(signed), BANDS, BAND_ROWS)
-    out = []
-    for i in np.flatnonzero(mark != 1):
-        j = np.flatnonzero(component != component[i])
-        j = j[j > i] if mark[i] == 2 else j[mark[j] == 1]
-        j = j[going_on(np.broadcast_to(signed[i], (len(j), VALUES)), signed[j], threshold)]
-        j = j[~(bands[j, :band] == bands[i, :band]).all(2).any(1)]
-        out.append(np.stack([np.full(len(j), i), j]))
-    found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-    return found[0], found[1]
-
-
-def block_links(group: pd.DataFrame, threshold: float, percent: int) -> list[tuple[int, int]]:
-    """Links between open pairs of a block by their whole sets, only those that join two components."""
-    left, right = open_pairs(group, threshold)
-    sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
-    sizes = np.array([len(x) for x in sets])
-    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    own = [numbers[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-    held = np.zeros(int(numbers.max()) + 1, np.int64)
-    k, joined, links = group["k"].to_numpy(), Joined(group["component"].to_numpy()), []
-    for i in np.unique(left):
-        others = [int(j) for j in right[left == i] if joined.root(i) != joined.root(j)]
-        if not others:
-            continue
-        held[own[i]] = 1
-        ends = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
-        common = np.add.reduceat(held[np.concatenate([own[j] for j in others])], ends)
-        held[own[i]] = 0
-        for j, both in zip(others, common.tolist(), strict=True):
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both) and joined.join(i, j):
-                links.append((min(k[i], k[j]), max(k[i], k[j])))
-    return links
-
-
-def second_round(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket.
-
-    Members of a bucket are compared in blocks. A first look at signatures says which members have an open pair; only
-    these come again with their sets. No pair leaves a task unless it joins two components there.
+        before, known = known, written(lower.join(jump, "at").select("k", "was", "component"))
+        discard(before)
+        if not known.filter("component <> was").limit(1).count():
+            discard(both)
+            return known.select("k", "component")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with a class (k) and its component, itself where it has no link."""
+    return rows.join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
+
+
+def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: these join components, of which only the linked ones are looked at."""
+    found = links.select(F.col("a").alias("k"), F.col("b").alias("other"))
+    found = labelled(found, labels).select(F.col("component").alias("a"), F.col("other").alias("k"))
+    edges = written(labelled(found, labels).select("a", F.col("component").alias("b")).filter("a <> b").distinct())
+    found = components(edges).select(F.col("k").alias("at"), F.col("component").alias("to"))
+    classes = labels.unionByName(ends(edges).distinct().join(labels, "k", "left_anti").withColumn("component", F.col("k")))
+    return written(classes.join(found, classes["component"] == found["at"], "left").select("k", F.coalesce("to", "component").alias("component")))
+
+
+def pair(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def shared_at_least(percent: int, n: Column | int) -> Column:
+    """The least number of common shingles of two linked sets with n shingles in all, counting common ones twice."""
+    return F.ceil(percent * n / F.lit(100 + percent))
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(k, shingle, n, at): the first shingles of each open class, by rarity among open classes, with their places.
+
+    A linked set has percent / 100 of its shingles or more in common with the other, so that the first common one stands
+    before the rest. Shingles of one class alone are counted, not listed.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, members in zip(batch.column("k").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                found = np.frombuffer(members, np.int64)
+                yield pa.RecordBatch.from_pydict({"k": np.full(len(found), k), "n": np.full(len(found), len(found)), "shingle": found})
+
+    rows = sets.mapInArrow(each, "k long, n long, shingle long")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("classes")).filter("classes > 1")
+    own = Window.partitionBy("k")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("classes", "shingle")) - 1
+    placed = rows.join(common, "shingle").withColumn("at", place)
+    return placed.filter(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / F.lit(100))).select("k", "shingle", "n", "at")
+
+
+def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a class with its shingles' pivots, of different components, that may reach the threshold if nothing rarer
+    is common. Others are left to the third round."""
+    pivots = places.groupBy("shingle").agg(F.min(F.struct("at", "n", "k", "component")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
+    met = places.join(pivots.filter("low < high"), "shingle").filter("component <> pivot.component")
+    rest = F.least(F.col("n") - F.col("at"), F.col("pivot.n") - F.col("pivot.at"))
+    return met.filter(rest >= shared_at_least(percent, F.col("n") + F.col("pivot.n"))).select(*pair("k", "pivot.k")).distinct()
+
+
+def open_pairs(places: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle of their prefixes and may reach the threshold.
+
+    The larger set of a pair has the shared shingle in its prefix, the smaller one in the beginning of it. Both have
+    enough shingles from there on. Places of larger sets meet, by shingle and bin of sizes, a summary of the smaller ones
+    first, and those the summary of the larger ones that are left.
     """
-    threshold, place = percent / 100, ["bucket", "low", "high"]
-
-    def look(group: pd.DataFrame) -> pd.DataFrame:
-        found = np.unique(np.concatenate(open_pairs(group, threshold)))
-        return group.iloc[found].drop(columns="signature")
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(block_links(group, threshold, percent), columns=["a", "b"], dtype="int64")
-
-    labelled = buckets.join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.filter("low < high and n > 2").select("bucket")  # the one pair of two members has been compared
-    sized = labelled.join(mixed, "bucket").join(classes.select("k", (1 + F.col("n_shingles") / BLOCK_SHINGLES * BLOCK).alias("weight")), "k")
-    order = Window.partitionBy("bucket").orderBy("component", "k").rowsBetween(Window.unboundedPreceding, 0)
-    members = written(sized.select("bucket", "band", "k", "component", F.floor(F.sum("weight").over(order) / BLOCK).alias("block")))
-    # two blocks that hold one component alone, and the same, have no open pair
-    spans = members.groupBy("bucket", "block").agg(F.min("component").alias("from"), F.max("component").alias("to"))
-    ends = spans.groupBy("bucket").agg(F.collect_list(F.struct("block", "from", "to")).alias("others"))
-    meet = spans.join(ends, "bucket").select("bucket", "block", F.filter("others", lambda x: (x["from"] < F.col("to")) | (F.col("from") < x["to"]))["block"].alias("blocks"))
-    dealt = members.join(meet, ["bucket", "block"]).withColumn("with", F.explode("blocks"))
-    side = F.when(F.col("block") == F.col("with"), 2).otherwise((F.col("block") > F.col("with")).cast("int"))
-    dealt = dealt.select("bucket", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "band", "k", "component", side.alias("side"))
-    kind = "bucket long, low long, high long, band int, k long, component long, side int"
-    signed = classes.select("k", "signature")
-    left = written(dealt.join(signed, "k").groupBy(*place).applyInPandas(look, kind))
-    sets = class_sets(left.select("k"), classes, docs, width)
-    return left.join(signed, "k").join(sets, "k").groupBy(*place).applyInPandas(link, "a long, b long").distinct()
+    size_bin = lambda n: F.floor(F.log(n) / F.log(F.lit(BIN)))
+    n, rest = F.col("n"), F.col("n") - F.col("at")
+    small = places.filter(F.col("at") <= n - shared_at_least(percent, 2 * n)).select("shingle", size_bin(n).alias("bin"), "k", "component", "n", rest.alias("rest"))
+    most = F.least(n, F.floor((100 + percent) * rest / F.lit(percent)) - n)  # shingles of a smaller set, by the place
+    least = F.ceil(percent * n / F.lit(100))
+    large = places.withColumn("most", most).withColumn("least", least).filter("least <= most")
+    large = large.select("shingle", F.explode(F.sequence(size_bin(F.col("least")), size_bin(F.col("most")))).alias("bin"), F.col("k").alias("k2"), F.col("component").alias("component2"), F.col("n").alias("n2"), rest.alias("rest2"), "least", "most")
+    enough = lambda a, b, n: F.least(a, b) >= shared_at_least(percent, n)
+    other = lambda c: (F.col("low") != F.col(c)) | (F.col("high") != F.col(c))
+
+    known = small.groupBy("shingle", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("from"), F.max("n").alias("to"), F.max("rest").alias("rest"))
+    reach = F.greatest("from", "least")
+    large = large.join(known, ["shingle", "bin"]).filter(other("component2") & (reach <= F.least("to", "most")) & enough("rest", "rest2", F.col("n2") + reach)).drop("low", "high", "from", "to", "rest")
+    large = written(large)
+    known = large.groupBy("shingle", "bin").agg(F.min("component2").alias("low"), F.max("component2").alias("high"), F.min("least").alias("from"), F.max("most").alias("to"), F.max("rest2").alias("rest2"))
+    small = small.join(known, ["shingle", "bin"]).filter(other("component") & F.col("n").between(F.col("from"), F.col("to")) & enough("rest", "rest2", 2 * n)).drop("low", "high", "from", "to", "rest2")
+    met = large.join(small, ["shingle", "bin"]).filter((F.col("component") != F.col("component2")) & n.between(F.col("least"), F.col("most")) & enough("rest", "rest2", n + F.col("n2")))
+    return met.select(*pair("k", "k2")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,28 +302,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     Two documents are linked if their sets have percent / 100 or more of their union in common. component_id is the
     smallest id that links reach. A null or empty text, or one of white space alone, has an empty set and is linked with
     nothing, so it is kept. A class whose ids are all null has the component null; such rows count as kept. Repeated
-    rows have equal results. Other columns are ignored, whatever their names. An empty table gives an empty result.
-    A hot group of copies is one class from the first aggregation on.
+    rows have equal results. Other columns are ignored, whatever their names. An empty table gives an empty result. Ids
+    may be of any type that has an order. A hot group of copies is one class from the first aggregation on.
     """
-    threshold = percent / 100
-    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = written(described(own, width))
-    sets = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("cid"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    named = F.min(F.struct("id", "text_key")).alias("named")
+    sets = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("cid"), named, F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     classes = written(sets.select(F.monotonically_increasing_id().alias("k"), "*"))
+
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * BAND_ROWS * 4 + 1, F.lit(BAND_ROWS * 4))))
-    banded = classes.select("k", F.posexplode(keys).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).filter("n > 1").drop("n")
+    banded = classes.select("k", F.explode(keys).alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("first")).filter("n > 1")
     buckets = written(banded.join(shared, "bucket"))
     stars = buckets.filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
-    links = written(verified(written(survivors(stars, classes, threshold)), classes, own, width, percent))
-    labels = components(links)
-    more = written(second_round(buckets.drop("first"), classes, labels, own, width, percent))
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    joined = classes.select("k", "set_key", "cid").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    left = written(survivors(stars, classes, percent / 100))
+    labels = components(written(verified(left, class_sets(ends(left), classes, own, width), percent)))
+
+    wide = labelled(buckets.filter("n > 2"), labels)  # the one pair of two members has been compared
+    mixed = written(wide.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"))
+    opened = written(wide.join(broadcast_if_small(mixed), "bucket", "left_semi").select("k").distinct().join(classes, "k").select(*classes.columns))
+    sets = class_sets(opened.select("k"), opened, own, width)
+    places = written(prefixes(sets, percent))
+    for pairs in (pivot_pairs, open_pairs):
+        left = written(survivors(pairs(labelled(places, labels), percent), opened, percent / 100))
+        labels = joined_up(labels, written(verified(left, sets, percent)))
+
+    joined = labelled(classes.select("k", "set_key", "cid"), labels)
     lowest = joined.groupBy("component").agg(F.min("cid").alias("component_id"))
-    named = joined.join(lowest, "component").select("set_key", "component_id")
-    found = rows.drop("signature").join(named, "set_key", "left")
+    found = rows.select("id", "n_shingles", "set_key").join(joined.join(lowest, "component").select("set_key", "component_id"), "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
@@ -323,11 +339,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     """The documents, with all their columns, of which one of each component stays: that of the smallest id.
 
     Of repeated rows one stays. Null ids count as smaller than all others. Documents without words all stay, apart from
-    repeats of an id and text.
+    repeats of an id and text. Ids may be of any type that has an order, and columns may have any names.
     """
-    keys = ["marlpit_id", "marlpit_text"]
-    known = docs.withColumns({keys[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), keys[1]: F.xxhash64(text_or_empty(text_col))})
-    found = near_duplicates(known.select(F.struct(*keys).alias("key"), F.col(text_col).alias("text")), width, percent, "key", "text")
-    kept = found.filter("kept").select("key.*").distinct()
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return known.join(kept, keys, "left_semi").withColumn("marlpit_first", first).filter("marlpit_first = 1").drop(*keys, "marlpit_first")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_key")).alias("key"), text_or_empty(text_col).alias("text"))
+    found = near_duplicates(whole.select("key", "text"), width, percent, "key", "text")
+    kept = found.filter("kept").select(F.col("key").alias("its")).distinct()
+    same = (whole["key"]["text_key"] == kept["its"]["text_key"]) & whole["key"]["id"].eqNullSafe(kept["its"]["id"])
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return whole.drop("text").join(kept, same, "left_semi").withColumn("first", first).filter("first = 1").select("row.*")

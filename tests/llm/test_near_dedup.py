@@ -3,9 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marlpit.llm import near_dedup
-from marlpit.llm.near_dedup import VALUES, going_on, least_hits, near_duplicates, shingles, signature
+from marlpit.llm.near_dedup import VALUES, components, going_on, joined_up, least_hits, near_duplicates, one_of_each, open_pairs, shingles, signature
 
 rng = random.Random(11)
 WORDS = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
@@ -80,13 +80,78 @@ def test_signature_estimates_similarity():
     assert abs((signature(one) == signature(other)).mean() - 0.8) < 0.12
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_components_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize("width", [4, 2])
+def test_components_match_brute_force(spark, width):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, bucket string, k int")
-    got = near_duplicates(docs).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, 4)
+    got = near_duplicates(docs, width).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, width)
+
+
+def originals():
+    """Copies of one text with few and with many changes: many pairs are just below the threshold, few above it."""
+    base, rows = [rng.choice(WORDS) for _ in range(120)], []
+    for i in range(220):
+        words = changed(base, rng.choice([0, 1, 2, 3, 4, 5, 6, 8]))
+        rows.append((i, " ".join(words[: len(words) - rng.randrange(12)])))
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_copies_of_one_original_match_brute_force(spark, threshold):
+    rows = originals()
+    sets = [brute_set(t, 4) for _, t in rows]
+    want = {i: {i} for i, _ in rows}
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) and want[i] is not want[j]:
+                want[i] |= want[j]
+                for x in want[j]:
+                    want[x] = want[i]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, threshold).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: min(x) for i, x in want.items()}
+
+
+def test_open_pairs_hold_every_link(spark):
+    """Of sets that all stand in different components, each pair at the threshold is found, by the definition."""
+    random_sets = [frozenset(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(30)]
+    sets = random_sets + [frozenset(x ^ {next(iter(x))}) | {70 + k} for k, x in enumerate(random_sets)]
+    number = {s: sum(s in x for x in sets) for s in set().union(*sets)}
+    rows = []
+    for k, members in enumerate(sets):
+        order = sorted(members, key=lambda s: (number[s], s))
+        last = len(order) - -(-80 * len(order) // 100)
+        rows += [(k, s, len(order), at, k) for at, s in enumerate(order) if at <= last and number[s] > 1]
+    places = spark.createDataFrame(rows, "k long, shingle long, n long, at long, component long")
+    got = {(r.a, r.b) for r in open_pairs(places, 80).collect()}
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert linked <= got and len(got) < len(sets) * (len(sets) - 1) // 8
+
+
+def test_more_links_join_components(spark):
+    edge = "a long, b long"
+    labels = components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], edge))
+    after = joined_up(labels, spark.createDataFrame([(3, 8), (20, 21), (1, 3)], edge))
+    assert {r.k: r.component for r in after.collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 20: 20, 21: 20}
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_null_and_repeated_ids_stay_linear(spark, doc_id):
+    """2,000 rows of one id and 500 texts, each with near copies: what classes' texts are read by meets each row once."""
+    texts = [" ".join(f"w{k // 4}x{j}" for j in range(30)) + (f" tail{k}" if k % 4 else "") for k in range(2_000)]
+    docs = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")
+    got = near_duplicates(docs)
+    assert got.filter(F.col("component_id").eqNullSafe(F.lit(doc_id))).count() == 2_000 and got.filter("kept").count() == 2_000
+    assert one_of_each(docs).count() == 500  # texts tell rows of one id apart
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [("b", "one two three four five six", 1, "p"), ("a", "one two three four five six", 2, "q"), ("c", "other words stand here now", 3, None), (None, "", 4, "r"), (None, None, 5, "s"), ("c", "other words stand here now", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, row int, key string").withColumnRenamed("key", "marlpit_id")
+    got = one_of_each(docs)
+    assert got.columns == ["doc_id", "text", "row", "marlpit_id"]
+    assert sorted((r.doc_id or "", r.text or "", r.row, r.marlpit_id or "") for r in got.collect() if r.doc_id) == [("a", "one two three four five six", 2, "q"), ("c", "other words stand here now", 3, "")]
+    assert got.filter("doc_id is null").count() == 1  # null and empty texts of one id are repeats
 
 
 def test_repeats_nulls_and_empty_tables(spark):
