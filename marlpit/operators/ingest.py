@@ -50,18 +50,18 @@ def ingest_folder(spark: SparkSession, source: str, folder: str, pattern: str =
     """Reads, registers, cleans and cuts a folder's files and stores them, their documents and chunks.
 
     Gives the files' rows with their document_id, null where a file gave no text. Contents that are registered already
-    are left alone. Chunks are stored before their documents, so that what a failure interrupts is new when it comes
-    again.
+    keep their ids. Documents are stored first, then chunks of all documents at hand that have none: what a failure
+    leaves out comes with the next run, and no id changes its content.
     """
     run = uuid.uuid4().hex
     store(spark, folder, "files", read_texts(spark, source, pattern, limit, extractors).withColumn("run", F.lit(run)))
-    files = stored(spark, folder, "files").filter(F.col("run") == run)
-    _, documents, chunks = ingest_files(files, stored(spark, folder, "documents").select("document_id", "sha256"))
-    store(spark, folder, "chunks", chunks)
-    store(spark, folder, "documents", documents)
-    ids = stored(spark, folder, "documents").groupBy("sha256").agg(F.min("document_id").alias("document_id"))
-    found = files.join(ids.withColumnRenamed("sha256", "its"), (F.col("sha256") == F.col("its")) & F.col("error").isNull(), "left")
-    return found.drop("its", "text", "run")
+    files = stored(spark, folder, "files").filter(F.col("run") == run).drop("run")
+    registry = stored(spark, folder, "documents").select("document_id", "sha256")
+    store(spark, folder, "documents", document_rows(registered(files, registry)))
+    found = registered(files, stored(spark, folder, "documents").select("document_id", "sha256"))
+    cut = stored(spark, folder, "chunks").select("document_id").distinct()
+    store(spark, folder, "chunks", document_chunks(found.join(cut, "document_id", "left_anti")))
+    return found.drop("text", "known")
 
 
 def index_vectors(chunks: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:

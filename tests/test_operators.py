@@ -287,6 +287,14 @@ def test_folder_is_ingested_indexed_and_searched(spark, tmp_path):
     ingest.ingest_folder(spark, str(source), folder, "*.txt").collect()
     assert tables.stored(spark, folder, "documents").count() == 4 and tables.stored(spark, folder, "chunks").count() == 5
 
+    chunks = {r.chunk_id: r.text for r in tables.stored(spark, folder, "chunks").collect()}
+    for version in os.listdir(tmp_path / "store" / "chunks"):  # as if a run had failed before its chunks were complete
+        os.remove(tmp_path / "store" / "chunks" / version / "_SUCCESS")
+    (source / "0.txt").write_text("an earlier name")
+    ingest.ingest_folder(spark, str(source), folder, extractors=extractors).collect()
+    again = {r.chunk_id: r.text for r in tables.stored(spark, folder, "chunks").collect()}
+    assert again == chunks | {"DOC-000005-CH-000001": "an earlier name"}
+
     embed = lambda text: F.array(F.char_length(text), F.lit(1))
     ingest.index_stored(spark, folder, embed)
     assert ingest.index_vectors(tables.stored(spark, folder, "chunks"), tables.stored(spark, folder, "vectors"), embed).count() == 0
