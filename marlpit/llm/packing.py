@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlpit.llm.byte_bpe import byte_bpe
-from marlpit.llm.common import text_or_empty, written
+from marlpit.llm.common import in_pieces, text_or_empty, written
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Most sequences' worth of tokens, and most pieces, that are dealt to one partition.
@@ -39,7 +39,7 @@ def pieces_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, tokeni
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer_path)
         end = np.uint32(END_ID).tobytes()
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows, out = [], {"piece": [], "start": [], "length": [], "ids_crc32": []}
             for row, text in enumerate(batch.column("text").to_pylist()):
                 ids = encoder.ids(text) + end

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from marlpit.llm.common import text_or_empty
+from marlpit.llm.common import in_pieces, text_or_empty
 
 #: n-grams are hashed to so many numbers.
 DIMENSIONS = 1 << 20
 #: Most labelled documents, on average, that the model is fitted to. They are drawn by a hash of their ids.
 SAMPLE = 16_000
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 UPPER, LOWER, DIGITS, RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.DOTALL)
 
@@ -136,7 +136,7 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray) -> Model:
         own, labels = [rows[i] for i in part], good[part]
         ratios = log_count_ratios(own, labels)
         norms = [math.sqrt(float((ratios[x] ** 2).sum())) for x in own]
-        weights = dual_coordinate_descent(own, [ratios[x] / n for x, n in zip(own, norms, strict=True)], labels)
+        weights = dual_coordinate_descent(own, [(ratios[x] / n).astype(np.float32) for x, n in zip(own, norms, strict=True)], labels)
         return (weights * ratios).astype(np.float32), (ratios**2).astype(np.float32)
 
     turn = np.where(good, np.cumsum(good), np.cumsum(~good)) - 1  # a quarter of each label stays out for the sigmoid
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(taught.filter(drawn), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = [features(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "good": pa.array([x == 1 for x in batch.column("label").to_pylist()], pa.bool_()), "found": pa.array([x.tobytes() for x in found], pa.binary())})
 
@@ -189,7 +189,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.filter(~aside), id_col, text_col, label_col))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = pa.array([model.value.score(x) for x in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "held_out": batch.column("held_out"), "score": found})
 
@@ -206,8 +206,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
 
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(model.value.score)
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array((model.value.score(x.as_py()) for x in texts), pa.float64())
 
     return docs.filter(score(text_or_empty(text_col)) >= threshold)

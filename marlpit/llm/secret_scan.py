@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -288,7 +287,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(own, scan, schema).withColumnRenamed("id", id_col)
 
 
-@F.pandas_udf(StringType())
-def redact(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def redact(texts: pa.Array) -> pa.Array:
     """Column function: texts with their secrets replaced by a mark; null stays null."""
-    return texts.map(redacted, na_action="ignore")
+    return pa.array((None if (text := x.as_py()) is None else redacted(text) for x in texts), pa.string())
