@@ -269,7 +269,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = (F.col("range") == F.col("its")) & F.col("id").eqNullSafe(F.col("top_id")) & (F.col("key") == F.col("top_key"))
     edges = dealt.join(F.broadcast(tops), first).groupBy("goal").agg(F.min("text").alias("text"))
     edges = edges.select(F.lit(None).cast(docs.schema["id"].dataType).alias("id"), "text", F.lit(None).cast("long").alias("key"), F.col("goal").alias("range"), F.lit(1).alias("edge"))
-    return dealt.unionByName(edges).repartition(number, "range").sortWithinPartitions("range", "edge", F.col("id").desc_nulls_last(), "key", "text")
+    return dealt.unionByName(edges).repartitionById(number, F.col("range").cast("int")).sortWithinPartitions("range", "edge", F.col("id").desc_nulls_last(), "key", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
