@@ -41,7 +41,7 @@ BANDS, BAND_ROWS = 32, 4
 VALUES = BANDS * BAND_ROWS
 #: Values of a signature that are compared at once, and the chance at which a pair is dropped.
 BATCH, MISS = 16, 1e-6
-#: Most rows of classes' names or of buckets that are broadcast, of 50 bytes at most each.
+#: Most rows of classes' names, of buckets or of a shingle's summaries that are broadcast, of 60 bytes at most each.
 BROADCAST_ROWS = 200_000
 #: Sizes of one bin of the third round differ by this factor at most.
 BIN = 1.05
@@ -264,7 +264,8 @@ def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
     """Pairs of a class with its shingles' pivots, of different components, that may reach the threshold if nothing rarer
     is common. Others are left to the third round."""
     pivots = places.groupBy("shingle").agg(F.min(F.struct("at", "n", "k", "component")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
-    met = places.join(pivots.filter("low < high"), "shingle").filter("component <> pivot.component")
+    pivots = written(pivots.filter("low < high"))
+    met = places.join(broadcast_if_small(pivots), "shingle").filter("component <> pivot.component")
     rest = F.least(F.col("n") - F.col("at"), F.col("pivot.n") - F.col("pivot.at"))
     return met.filter(rest >= shared_at_least(percent, F.col("n") + F.col("pivot.n"))).select(*pair("k", "pivot.k")).distinct()
 
@@ -286,12 +287,12 @@ def open_pairs(places: DataFrame, percent: int) -> DataFrame:
     enough = lambda a, b, n: F.least(a, b) >= shared_at_least(percent, n)
     other = lambda c: (F.col("low") != F.col(c)) | (F.col("high") != F.col(c))
 
-    known = small.groupBy("shingle", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("from"), F.max("n").alias("to"), F.max("rest").alias("rest"))
+    known = written(small.groupBy("shingle", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("from"), F.max("n").alias("to"), F.max("rest").alias("rest")))
     reach = F.greatest("from", "least")
-    large = large.join(known, ["shingle", "bin"]).filter(other("component2") & (reach <= F.least("to", "most")) & enough("rest", "rest2", F.col("n2") + reach)).drop("low", "high", "from", "to", "rest")
-    large = written(large)
-    known = large.groupBy("shingle", "bin").agg(F.min("component2").alias("low"), F.max("component2").alias("high"), F.min("least").alias("from"), F.max("most").alias("to"), F.max("rest2").alias("rest2"))
-    small = small.join(known, ["shingle", "bin"]).filter(other("component") & F.col("n").between(F.col("from"), F.col("to")) & enough("rest", "rest2", 2 * n)).drop("low", "high", "from", "to", "rest2")
+    large = large.join(broadcast_if_small(known), ["shingle", "bin"]).filter(other("component2") & (reach <= F.least("to", "most")) & enough("rest", "rest2", F.col("n2") + reach))
+    large = written(large.drop("low", "high", "from", "to", "rest"))
+    known = written(large.groupBy("shingle", "bin").agg(F.min("component2").alias("low"), F.max("component2").alias("high"), F.min("least").alias("from"), F.max("most").alias("to"), F.max("rest2").alias("rest2")))
+    small = small.join(broadcast_if_small(known), ["shingle", "bin"]).filter(other("component") & F.col("n").between(F.col("from"), F.col("to")) & enough("rest", "rest2", 2 * n)).drop("low", "high", "from", "to", "rest2")
     met = large.join(small, ["shingle", "bin"]).filter((F.col("component") != F.col("component2")) & n.between(F.col("least"), F.col("most")) & enough("rest", "rest2", n + F.col("n2")))
     return met.select(*pair("k", "k2")).distinct()
 
