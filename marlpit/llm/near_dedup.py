@@ -132,6 +132,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 "signature": pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(columns)
+        word_hashes().clear()  # workers outlive tasks, and other stages need their memory
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(describe, f"id {kind}, text_key long, n_shingles long, set_key binary, signature binary")
@@ -168,6 +169,7 @@ def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: in
             found = [shingles(text, width) for text in batch.column("text").to_pylist()]
             own = [k for k, (x, key) in enumerate(zip(found, batch.column("set_key").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(x.tobytes()) == key]
             yield pa.RecordBatch.from_pydict({"k": batch.column("k").take(pa.array(own, pa.int64())), "members": pa.array([found[k].tobytes() for k in own], pa.binary())})
+        word_hashes().clear()
 
     keys = written(wanted.distinct().join(classes, "k").select("k", "set_key", "named"))
     texts = docs.join(broadcast_if_small(keys), (docs["text_key"] == keys["named"]["text_key"]) & docs["id"].eqNullSafe(keys["named"]["id"]))

@@ -49,6 +49,7 @@ def pieces_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, tokeni
                         out[name].append(x)
             arrays = {"piece": pa.array(out.pop("piece"), pa.int32())} | {k: pa.array(v, pa.int64()) for k, v in out.items()}
             yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(rows, pa.int64()))} | arrays)
+        encoder.known.clear()  # workers outlive tasks, and other stages need their memory
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

@@ -28,7 +28,7 @@ from marlpit.llm.common import in_pieces, text_or_empty
 DIMENSIONS = 1 << 20
 #: Most labelled documents, on average, that the model is fitted to. They are drawn by a hash of their ids.
 SAMPLE = 16_000
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 UPPER, LOWER, DIGITS, RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.DOTALL)
 
