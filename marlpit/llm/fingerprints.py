@@ -7,11 +7,13 @@ level has a sign of its own in front. So equal roots mean equal texts, as surely
 
 Below a paragraph are runs of characters, by which likeness sees edits inside of a paragraph. Runs of level j end where
 a hash of the last four characters has j zero bits, after 2 ** j characters on average, and at the paragraph's end. A
-text is marked at the two levels next to that of about AIM runs, the highest level at most, and each counts by its
-nearness: there is no length at which the marks of two almost equal texts have little in common.
+text is marked from the level of about AIM runs on up to the highest one. Two texts are compared at the two levels next
+to the longer one's, which both are marked at, and each counts by its nearness: whatever the lengths, likeness changes
+little where a length does.
 
 A fingerprint is root:characters:sections, with sections apart by semicolons. A section is its digest, a slash, and its
 paragraphs apart by commas; a paragraph is its digest and, of each level at which it has several runs, a mark for each.
+Higher levels have fewer runs, so that these marks cost little.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 from marlpit.llm.common import text_or_empty
 
 #: Runs that a text has about, the highest level, and how many times the average a run's length may be.
-AIM, HIGHEST, LONGEST = 32, 7, 2
-#: Hexadecimal digits of a digest of a paragraph or section in a fingerprint.
-DIGEST = 6
+AIM, HIGHEST, LONGEST = 44, 7, 2
+#: Letters, of six bits each, and how many of them a digest of a paragraph or section has in a fingerprint.
+DIGEST = 4
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows that are sorted and compared in one range of ids, and most ranges, about.
 RANGE_ROWS, RANGES_MOST = 2_000, 16_384
@@ -48,15 +51,38 @@ def digest(parts: bytes) -> bytes:
 
 
 def levels(n: int) -> dict[int, float]:
-    """The levels at which a text of n characters is marked, with their shares of its likeness."""
+    """The levels at which a text of n characters is compared with shorter ones, with their shares of the likeness."""
     at = min(max(math.log2((n + 1) / AIM), 0.0), float(HIGHEST))
     low = int(at)
     return {low: 1 - at + low} | ({low + 1: at - low} if at > low else {})
 
 
-def digits(n: int) -> int:
-    """Hexadecimal digits of a mark: so many that a hundredth of a text's runs, about, are like another run by chance."""
-    return min(DIGEST, math.ceil(math.log(100 * max(AIM, n >> HIGHEST), 16)))
+def marked(n: int) -> range:
+    """The levels at which a text of n characters is marked: its own and all that longer texts have."""
+    return range(min(levels(n)), HIGHEST + 1)
+
+
+def letters(n: int) -> int:
+    """Letters of a mark: so many that an eightieth of a text's runs, about, are like another run by chance."""
+    return min(DIGEST, math.ceil(math.log(80 * max(AIM, n >> HIGHEST), len(LETTERS))))
+
+
+def spelled(marks: np.ndarray, width: int) -> str:
+    """Marks as letters, so many each."""
+    codes = np.frombuffer(LETTERS.encode(), np.uint8)
+    return codes[marks[:, None] >> np.arange(6 * width - 6, -1, -6, np.uint32) & np.uint32(63)].tobytes().decode()
+
+
+def names_of(digests: list[bytes]) -> np.ndarray:
+    """The first bits of digests, as many as they have in a fingerprint."""
+    return np.frombuffer(b"".join(x[:4] for x in digests), ">u4").astype(np.uint32) >> np.uint32(32 - 6 * DIGEST)
+
+
+def number_of(mark: str) -> int:
+    found = 0
+    for letter in mark:
+        found = found << 6 | LETTERS.index(letter)
+    return found
 
 
 def signs(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -79,7 +105,7 @@ class Tree:
     """The tree of one text. paragraphs: digests; sections: (digest, first paragraph, end); marks: numbers by level."""
 
     def __init__(self, text: str):
-        self.n, self.digits = len(text), digits(len(text))
+        self.n, self.bits = len(text), 6 * letters(len(text))
         self.paragraphs = [digest(b"\0" + line.encode()) for line in text.split("\n")]
         starts = [0]
         for k, line in enumerate(text.split("\n")):
@@ -89,14 +115,14 @@ class Tree:
         self.root = digest(b"\2" + b"".join(name for name, *_ in self.sections))
         codes = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.flatnonzero(codes == 10)
-        names = np.frombuffer(b"".join(name[:4] for name in self.paragraphs), ">u4").astype(np.uint32) >> np.uint32(32 - 4 * self.digits)
+        names = names_of(self.paragraphs) >> np.uint32(6 * DIGEST - self.bits)
         mixed = (codes + np.uint64(1)) * ODD
         mixed ^= mixed >> np.uint64(29)
         mixed[ends] = 0  # of no weight: a run at a paragraph's end is marked like one inside
         signed = signs(codes, ends)
         self.marks: dict[int, np.ndarray] = {}
         self.borders: dict[int, np.ndarray] = {}  # of paragraphs, as numbers of runs
-        for level in levels(self.n):
+        for level in marked(self.n):
             last = (signed & np.uint32((1 << level) - 1)) == 0
             last[np.maximum(ends - 1, 0)] = False  # a paragraph's end alone is no run
             last[ends] = True
@@ -107,19 +133,20 @@ class Tree:
                 within %= LONGEST << level
                 stops = np.flatnonzero(last | (within == (LONGEST << level) - 1)) + 1
             runs = np.add.reduceat(mixed * powers()[within], np.concatenate([[0], stops[:-1]]))
-            marks = ((runs ^ (runs >> np.uint64(32))) * ODD >> np.uint64(64 - 4 * self.digits)).astype(np.uint32)
+            marks = ((runs ^ (runs >> np.uint64(32))) * ODD >> np.uint64(64 - self.bits)).astype(np.uint32)
             borders = np.concatenate([[0], np.searchsorted(stops, ends + 1) + 1])
             alone = np.diff(borders) == 1
             marks[borders[:-1][alone]] = names[alone]  # the paragraph's digest is the mark of its only run
             self.marks[level], self.borders[level] = marks, borders
 
     def fingerprint(self) -> str:
-        width, names = self.digits, []
-        kept = [("".join([f"{x:0{width}x}" for x in self.marks[k].tolist()]), self.borders[k].tolist()) for k in self.marks]
-        for p, name in enumerate(self.paragraphs):
-            runs = [hexed[width * at[p] : width * at[p + 1]] for hexed, at in kept if at[p + 1] - at[p] > 1]
-            names.append("=".join([name.hex()[:DIGEST], *runs]))
-        return f"{self.root.hex()}:{self.n}:" + ";".join(f"{name.hex()[:DIGEST]}/{','.join(names[a:b])}" for name, a, b in self.sections)
+        width, names = self.bits // 6, []
+        kept = [(spelled(self.marks[k], width), self.borders[k].tolist()) for k in self.marks]
+        own, sections = spelled(names_of(self.paragraphs), DIGEST), spelled(names_of([x[0] for x in self.sections]), DIGEST)
+        for p in range(len(self.paragraphs)):
+            runs = [marks[width * at[p] : width * at[p + 1]] for marks, at in kept if at[p + 1] - at[p] > 1]
+            names.append("=".join([own[DIGEST * p : DIGEST * p + DIGEST], *runs]))
+        return f"{self.root.hex()}:{self.n}:" + ";".join(f"{sections[DIGEST * k : DIGEST * k + DIGEST]}/{','.join(names[a:b])}" for k, (_, a, b) in enumerate(self.sections))
 
 
 def equal_share(a: np.ndarray, b: np.ndarray) -> float:
@@ -131,21 +158,15 @@ def equal_share(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def alike(n: int, m: int, one: dict[int, np.ndarray], other: dict[int, np.ndarray]) -> float:
-    """The mean share of equal marks over levels at which texts of n and of m characters are both marked, of the digits
-    that both have."""
-    weights = {k: min(w, levels(m)[k]) for k, w in levels(n).items() if k in levels(m)}
-    less = min(digits(n), digits(m))
-    shares = (w * equal_share(one[k] >> 4 * (digits(n) - less), other[k] >> 4 * (digits(m) - less)) for k, w in weights.items())
-    return sum(shares) / sum(weights.values())
+    """The mean share of equal marks, of the letters that both have, over the levels of the longer of two texts of n and
+    of m characters."""
+    less = min(letters(n), letters(m))
+    shares = (w * equal_share(one[k] >> 6 * (letters(n) - less), other[k] >> 6 * (letters(m) - less)) for k, w in levels(max(n, m)).items())
+    return sum(shares)
 
 
 def tree_likeness(one: Tree, other: Tree) -> float:
-    if one.root == other.root:
-        return 1.0
-    common = one.marks.keys() & other.marks.keys()
-    if not common:
-        return equal_share(*(np.frombuffer(b"".join(x[:4] for x in tree.paragraphs), np.uint32) for tree in (one, other)))
-    return alike(one.n, other.n, one.marks, other.marks)
+    return 1.0 if one.root == other.root else alike(one.n, other.n, one.marks, other.marks)
 
 
 def parsed(fingerprint: str) -> tuple[str, int, list[tuple[str, list[list[str]]]]]:
@@ -157,24 +178,19 @@ def parsed(fingerprint: str) -> tuple[str, int, list[tuple[str, list[list[str]]]
 
 def marks_of(paragraphs: list[list[str]], n: int) -> dict[int, np.ndarray]:
     """The marks of a fingerprint by level."""
-    width, out = digits(n), {}
-    for place, level in enumerate(levels(n), 1):
+    width, out = letters(n), {}
+    for place, level in enumerate(marked(n), 1):
         found = "".join(p[place] if len(p) > place else p[0][:width] for p in paragraphs)
-        out[level] = np.array([int(found[k : k + width], 16) for k in range(0, len(found), width)])
+        out[level] = np.array([number_of(found[k : k + width]) for k in range(0, len(found), width)])
     return out
 
 
 def likeness(one: str, other: str) -> float:
-    """How alike two fingerprints are, from 0 to 1; 1 for equal roots.
-
-    It is the share of equal marks, or of equal paragraphs where sizes are so far apart that no level is in common.
-    """
+    """How alike two fingerprints are, from 0 to 1: the share of equal marks, 1 for equal roots."""
     (root, n, a), (other_root, m, b) = parsed(one), parsed(other)
     if root == other_root:
         return 1.0
     a, b = ([p for _, section in x for p in section] for x in (a, b))
-    if not levels(n).keys() & levels(m).keys():
-        return equal_share(*(np.array([p[0] for p in x]) for x in (a, b)))
     return alike(n, m, marks_of(a, n), marks_of(b, m))
 
 

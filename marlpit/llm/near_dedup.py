@@ -15,10 +15,12 @@ A bucket's pairs aren't all formed, as a bucket may hold a third of all classes.
    one original are most alike to.
 3. Of what is left, pairs of different components share a prefix shingle, and sizes and places in the two orders leave
    room for enough common shingles. Summaries by shingle and size say first which classes can have a partner at all, so
-   that pairs are formed of these alone.
+   that pairs are formed of these alone. A shingle that would still form many pairs, such as one of a template's pages,
+   forms none: its classes meet in cells, each a pair of blocks of bounded bytes, where signatures and sets are compared
+   in place and components grow as links are found. Only links leave a cell.
 
-Rounds 1 and 2 are linear in the classes' places. No pair at the threshold that shares a bucket is left out: a pair
-that no round forms either lies in one component by then or can't reach the threshold.
+Rows are linear in the classes' places in rounds 1 and 2, and pairs in round 3 too. No pair at the threshold that shares
+a bucket is left out: a pair that no round looks at either lies in one component by then or can't reach the threshold.
 
 With 32 bands of 4 values two sets at the threshold of 0.8 meet in no bucket with a chance of 5e-8.
 """
@@ -45,6 +47,10 @@ BATCH, MISS = 16, 1e-6
 BROADCAST_ROWS = 200_000
 #: Sizes of one bin of the third round differ by this factor at most.
 BIN = 1.05
+#: A shingle forms pairs of its classes up to so many for each of them.
+PAIRS_EACH = 16
+#: Bytes of sets and signatures of one block of a cell, about.
+BLOCK_BYTES = 4 << 20
 WORDS_KEPT = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -272,12 +278,12 @@ def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
     return met.filter(rest >= shared_at_least(percent, F.col("n") + F.col("pivot.n"))).select(*pair("k", "pivot.k")).distinct()
 
 
-def open_pairs(places: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a shingle of their prefixes and may reach the threshold.
+def open_places(places: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Places of larger and of smaller sets that may be parts of a pair of different components, by shingle and bin of sizes.
 
     The larger set of a pair has the shared shingle in its prefix, the smaller one in the beginning of it. Both have
-    enough shingles from there on. Places of larger sets meet, by shingle and bin of sizes, a summary of the smaller ones
-    first, and those the summary of the larger ones that are left.
+    enough shingles from there on. Places of larger sets meet, by shingle and bin, a summary of the smaller ones first,
+    and those the summary of the larger ones that are left.
     """
     size_bin = lambda n: F.floor(F.log(n) / F.log(F.lit(BIN)))
     n, rest = F.col("n"), F.col("n") - F.col("at")
@@ -286,19 +292,90 @@ def open_pairs(places: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(percent * n / F.lit(100))
     large = places.withColumn("most", most).withColumn("least", least).filter("least <= most")
     large = large.select("shingle", F.explode(F.sequence(size_bin(F.col("least")), size_bin(F.col("most")))).alias("bin"), F.col("k").alias("k2"), F.col("component").alias("component2"), F.col("n").alias("n2"), rest.alias("rest2"), "least", "most")
-    enough = lambda a, b, n: F.least(a, b) >= shared_at_least(percent, n)
     other = lambda c: (F.col("low") != F.col(c)) | (F.col("high") != F.col(c))
 
     known = written(small.groupBy("shingle", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("from"), F.max("n").alias("to"), F.max("rest").alias("rest")))
     reach = F.greatest("from", "least")
-    large = large.join(broadcast_if_small(known), ["shingle", "bin"]).filter(other("component2") & (reach <= F.least("to", "most")) & enough("rest", "rest2", F.col("n2") + reach))
+    large = large.join(broadcast_if_small(known), ["shingle", "bin"]).filter(other("component2") & (reach <= F.least("to", "most")) & enough("rest", "rest2", F.col("n2") + reach, percent))
     large = written(large.drop("low", "high", "from", "to", "rest"))
     known = written(large.groupBy("shingle", "bin").agg(F.min("component2").alias("low"), F.max("component2").alias("high"), F.min("least").alias("from"), F.max("most").alias("to"), F.max("rest2").alias("rest2")))
-    small = small.join(broadcast_if_small(known), ["shingle", "bin"]).filter(other("component") & F.col("n").between(F.col("from"), F.col("to")) & enough("rest", "rest2", 2 * n)).drop("low", "high", "from", "to", "rest2")
-    met = large.join(small, ["shingle", "bin"]).filter((F.col("component") != F.col("component2")) & n.between(F.col("least"), F.col("most")) & enough("rest", "rest2", n + F.col("n2")))
+    small = small.join(broadcast_if_small(known), ["shingle", "bin"]).filter(other("component") & n.between(F.col("from"), F.col("to")) & enough("rest", "rest2", 2 * n, percent))
+    return large, written(small.drop("low", "high", "from", "to", "rest2"))
+
+
+def enough(a: str, b: str, n: Column, percent: int) -> Column:
+    return F.least(a, b) >= shared_at_least(percent, n)
+
+
+def crowded(large: DataFrame, small: DataFrame) -> DataFrame:
+    """(shingle, bin, crowd): those that would form many pairs, with the crowd that their classes meet in.
+
+    A crowd is one of these or, where that is less work, all that are linked by common classes: then a class that is in
+    many of them meets the others once.
+    """
+    of = ["shingle", "bin"]
+    amounts = large.groupBy(*of).agg(F.count("*").alias("a")).join(small.groupBy(*of).agg(F.count("*").alias("b")), of)
+    many = amounts.filter(F.col("a") * F.col("b") > PAIRS_EACH * (F.col("a") + F.col("b"))).select(*of, F.xxhash64(*of).alias("own"))
+    many = written(many)
+    members = written(large.select(*of, F.col("k2").alias("k")).unionByName(small.select(*of, "k")).join(broadcast_if_small(many), of).select("own", "k").distinct())
+    firsts = members.groupBy("own").agg(F.min("k").alias("a"))
+    families = components(written(members.join(firsts, "own").filter("k <> a").select("a", F.col("k").alias("b")).distinct()))
+    placed = written(members.join(families, "k").withColumnRenamed("component", "family"))
+    alone = placed.groupBy("family", "own").agg(F.count("*").cast("double").alias("n")).groupBy("family").agg(F.sum(F.col("n") * F.col("n")).alias("alone"))
+    together = placed.select("family", "k").distinct().groupBy("family").agg(F.count("*").cast("double").alias("n")).select("family", (F.col("n") * F.col("n")).alias("together"))
+    chosen = placed.select("own", "family").distinct().join(alone, "family").join(together, "family")
+    crowd = F.when(F.col("together") <= F.col("alone"), F.xxhash64("family")).otherwise(F.col("own"))
+    return written(many.join(chosen.select("own", crowd.alias("crowd")), "own").drop("own"))
+
+
+def open_pairs(large: DataFrame, small: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle of their prefixes and may reach the threshold, but for crowds'."""
+    few = [x.join(broadcast_if_small(crowds), ["shingle", "bin"], "left_anti") for x in (large, small)]
+    n = F.col("n")
+    met = few[0].join(few[1], ["shingle", "bin"]).filter((F.col("component") != F.col("component2")) & n.between(F.col("least"), F.col("most")) & enough("rest", "rest2", n + F.col("n2"), percent))
     return met.select(*pair("k", "k2")).distinct()
 
 
+def crowd_links(large: DataFrame, small: DataFrame, crowds: DataFrame, opened: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of a crowd's classes, one at least for each two that have one.
+
+    A crowd's classes are dealt to blocks by a hash, as many as their bytes ask for, and each two blocks, or one with
+    itself, make a cell.
+    """
+    of = ["shingle", "bin"]
+    met = large.select(*of, F.col("k2").alias("k")).unionByName(small.select(*of, "k")).join(broadcast_if_small(crowds), of).select("crowd", "k").distinct()
+    rows = labelled(met.join(opened.select("k", "signature"), "k").join(sets, "k"), labels)
+    rows = written(rows)
+    blocks = rows.groupBy("crowd").agg(F.ceil(F.sum(F.length("members") + F.length("signature")) / F.lit(BLOCK_BYTES)).alias("blocks"))
+    own = F.pmod(F.xxhash64("k"), F.col("blocks"))
+    dealt = rows.join(blocks, "crowd").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "component", "signature", "members")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("k")
+        ks, block = cell.column("k").to_numpy(), cell.column("own").to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in cell.column("members").to_pylist()]
+        signed, label = signatures(cell.column("signature").to_pylist()), cell.column("component").to_numpy().copy()
+        sizes = np.array([len(x) for x in found])
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        links = []
+        for at in np.flatnonzero(block == i).tolist():
+            open_ = (block == j) & (label != label[at]) & (100 * np.minimum(sizes, sizes[at]) >= percent * np.maximum(sizes, sizes[at]))
+            if i == j:
+                open_[: at + 1] = False
+            others = np.flatnonzero(open_)
+            others = others[going_on(np.broadcast_to(signed[at], (len(others), VALUES)), signed[others], percent / 100)]
+            for b in others.tolist():
+                if label[b] != label[at]:
+                    common = len(np.intersect1d(found[at], found[b], assume_unique=True))
+                    if 100 * common >= percent * (sizes[at] + sizes[b] - common):
+                        links.append((min(ks[at], ks[b]), max(ks[at], ks[b])))
+                        label[label == label[b]] = label[at]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return cells.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document.
 
@@ -327,9 +404,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     opened = written(wide.join(broadcast_if_small(mixed), "bucket", "left_semi").select("k").distinct().join(classes, "k").select(*classes.columns))
     sets = class_sets(opened.select("k"), opened, own, width)
     places = written(prefixes(sets, percent))
-    for pairs in (pivot_pairs, open_pairs):
-        left = written(survivors(pairs(labelled(places, labels), percent), opened, percent / 100))
-        labels = joined_up(labels, written(verified(left, sets, percent)))
+    left = written(survivors(pivot_pairs(labelled(places, labels), percent), opened, percent / 100))
+    labels = joined_up(labels, written(verified(left, sets, percent)))
+    large, small = open_places(labelled(places, labels), percent)
+    crowds = crowded(large, small)
+    left = written(survivors(open_pairs(large, small, crowds, percent), opened, percent / 100))
+    links = verified(left, sets, percent).unionByName(crowd_links(large, small, crowds, opened, labels, sets, percent))
+    labels = joined_up(labels, written(links))
 
     joined = labelled(classes.select("k", "set_key", "cid"), labels)
     lowest = joined.groupBy("component").agg(F.min("cid").alias("component_id"))
@@ -341,12 +422,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, of which one of each component stays: that of the smallest id.
 
-    Of repeated rows one stays. Null ids count as smaller than all others. Documents without words all stay, apart from
-    repeats of an id and text. Ids may be of any type that has an order, and columns may have any names.
+    Of rows with one id and text the one stays whose other columns have the smallest hash, whatever the order of the
+    rows; of wholly equal rows one. Null ids count as smaller than all others. Documents without words all stay, apart
+    from repeats of an id and text. Ids may be of any type that has an order, and columns may have any names.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_key")).alias("key"), text_or_empty(text_col).alias("text"))
-    found = near_duplicates(whole.select("key", "text"), width, percent, "key", "text")
+    more = F.struct(*[c for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias("always"))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), F.col(text_col).isNull().alias("none"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.xxhash64(F.to_json(more)).alias("rank"), text_or_empty(text_col).alias("text"))
+    found = near_duplicates(whole.select(F.col("key").dropFields("none").alias("key"), "text"), width, percent, "key", "text")
     kept = found.filter("kept").select(F.col("key").alias("its")).distinct()
-    same = (whole["key"]["text_key"] == kept["its"]["text_key"]) & whole["key"]["id"].eqNullSafe(kept["its"]["id"])
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
-    return whole.drop("text").join(kept, same, "left_semi").withColumn("first", first).filter("first = 1").select("row.*")
+    same = lambda a, b: (a["text_key"] == b["text_key"]) & a["id"].eqNullSafe(b["id"])
+    narrow = whole.select("key", "rank").join(kept, same(whole["key"], kept["its"])).groupBy("its", "rank", F.col("key.none").alias("none")).agg(F.count("*").alias("n"))
+    chosen = written(narrow.groupBy("its").agg(F.min(F.struct("none", "rank", "n")).alias("first")))
+    picked = whole.join(chosen, same(whole["key"], chosen["its"]) & (whole["rank"] == chosen["first"]["rank"]) & (whole["key"]["none"] == chosen["first"]["none"]))
+    if not chosen.filter("first.n > 1").limit(1).count():
+        return picked.select("row.*")
+    repeated = picked.filter("first.n > 1").groupBy("its").agg(F.first("row").alias("row"))  # equal rows
+    return picked.filter("first.n = 1").select("row").unionByName(repeated.select("row")).select("row.*")

@@ -51,6 +51,20 @@ def test_likeness_has_no_step_at_any_length():
         assert likeness(Tree(text[:n]).fingerprint(), Tree(text[: n + 1]).fingerprint()) > (0.75 if n < 10 else 0.85), n
 
 
+@pytest.mark.parametrize("n", [100, 300, 1000, 3000])
+def test_likeness_follows_the_overlap_of_unlike_lengths(n):
+    """A text against itself with more after it, from 1.1 to 8 times as long: near the share that they have in common."""
+    ratios, near = [k / 10 for k in range(11, 81)], []
+    for trial in range(10):
+        text = (" " if trial % 2 else "\n").join(words(rng.randrange(2, 12)) for _ in range(n))
+        near.append([likeness(Tree(text[:n]).fingerprint(), Tree(text[: int(n * r)]).fingerprint()) for r in ratios])
+    for row in near:
+        assert max(abs(x - 2 / (1 + r)) for x, r in zip(row, ratios, strict=True)) < 0.2
+        assert max(abs(a - b) for a, b in zip(row, row[1:])) <= 0.11
+    means = np.mean(near, 0)
+    assert max(abs(x - 2 / (1 + r)) for x, r in zip(means, ratios, strict=True)) < 0.1
+
+
 def test_trees_and_fingerprints_have_one_likeness():
     texts = ["", "a", "\n\n", words(3), words(40), "\n".join(words(6) for _ in range(50)), words(3000), "on " * 400, "x" * 9000, "é🎉" * 30]
     for one in texts:

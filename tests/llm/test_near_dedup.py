@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlpit.llm.near_dedup import VALUES, components, going_on, joined_up, least_hits, near_duplicates, one_of_each, open_pairs, shingles, signature
+from marlpit.llm import near_dedup
+from marlpit.llm.near_dedup import VALUES, components, crowded, going_on, joined_up, least_hits, near_duplicates, one_of_each, open_pairs, open_places, shingles, signature
 
 rng = random.Random(11)
 WORDS = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
@@ -123,7 +124,10 @@ def test_open_pairs_hold_every_link(spark):
         last = len(order) - -(-80 * len(order) // 100)
         rows += [(k, s, len(order), at, k) for at, s in enumerate(order) if at <= last and number[s] > 1]
     places = spark.createDataFrame(rows, "k long, shingle long, n long, at long, component long")
-    got = {(r.a, r.b) for r in open_pairs(places, 80).collect()}
+    large, small = open_places(places, 80)
+    crowds = crowded(large, small)
+    got = {(r.a, r.b) for r in open_pairs(large, small, crowds, 80).collect()}
+    assert crowds.count() == 0
     linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert linked <= got and len(got) < len(sets) * (len(sets) - 1) // 8
 
@@ -160,3 +164,42 @@ def test_repeats_nulls_and_empty_tables(spark):
     want = [(5, 4, 4, False), (5, 4, 4, False), (4, 4, 4, True), (None, 4, 4, False), (None, 3, None, True), (5, 3, 5, True)]
     assert got == sorted(want, key=str)
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def pages(n, words=8, seed=1):
+    """Pages of one template: 33 of its 40 lines each. Most pairs are alike, but not enough; few are linked."""
+    own = random.Random(seed)
+    lines = [" ".join(f"l{i}w{k}" for k in range(words)) for i in range(40)]
+    return [(i, "\n".join(lines[k] for k in sorted(own.sample(range(40), 33)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("words,block", [(8, 4 << 20), (8, 100_000), (20, 200_000)])
+def test_pages_of_a_template_match_brute_force(spark, monkeypatch, words, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
+    rows = pages(260, words) + [(1000 + i, t) for i, t in corpus()[:60]]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, 4)
+
+
+def test_pages_of_a_template_form_few_pairs(spark, monkeypatch):
+    formed = []
+    kept = near_dedup.survivors
+    monkeypatch.setattr(near_dedup, "survivors", lambda pairs, *more: (formed.append(pairs.count()), kept(pairs, *more))[1])
+    for n in (200, 800):
+        near_duplicates(spark.createDataFrame(pages(n), "doc_id long, text string"), 4)
+    assert sum(formed[3:]) < 6 * sum(formed[:3]), formed
+
+
+def test_one_of_each_follows_no_order_of_rows(spark):
+    text = "one text of more than five words"
+    rows = [(1, text, f"s{k:02d}", k) for k in range(40)] + [(1, text, "s05", 5)] * 3 + [(2, "", "x", 1), (2, None, "y", 2), (2, None, "y", 2)]
+    found = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(seed + 1)
+        got = sorted(map(tuple, one_of_each(docs).collect()), key=str)
+        assert len(got) == 2
+        found.add(str(got))
+    assert len(found) == 1
+    equal = spark.createDataFrame([(1, text, "s", 1)] * 5, "doc_id long, text string, source string, n long")
+    assert one_of_each(equal).count() == 1
