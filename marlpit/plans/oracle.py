@@ -211,6 +211,9 @@ ORACLE_SQL = {
         scored AS (SELECT item_id, chunk_id, document_id, sequence, round(sum(times * {idf('n', 'df')} * {saturated('tf', 'len(tokens)', 'mean')}), 6) AS score
             FROM asked JOIN frequency USING (term) JOIN postings USING (term) JOIN tokens USING (chunk_id), stats GROUP BY ALL)
         SELECT item_id, rank, chunk_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, document_id, sequence))::INT AS rank FROM scored WHERE score > 0) WHERE rank <= 5""",
+    "index_search_topk": f"WITH {CHUNKS}, {bm25(10)} SELECT chunk_id, document_id, score FROM lexical",
+    "index_statistics": f"""WITH {DOCUMENTS}, {chunked(name="old")}, {chunked("substring(text, 1, greatest(0, length(text) - 500))", "again")},
+        chunks AS (SELECT * FROM (SELECT * FROM again UNION ALL SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM again)) WHERE sequence <> 2), {POSTINGS} SELECT term, df::BIGINT AS df, cf::BIGINT AS cf FROM frequency""",
     "vector_topk": f"WITH {VECTORS} SELECT chunk_id, {COSINE} AS score FROM vectors, probe WHERE NOT isnan({COSINE}) ORDER BY score DESC, chunk_id LIMIT 5",
     "vector_chunk_join": f"WITH {CHUNKS}, {VECTORS} SELECT chunk_id, document_id, len(embedding)::INT AS dimensions, text FROM vectors JOIN chunks USING (chunk_id)",
     "vector_json": f"WITH {VECTORS} SELECT chunk_id, len(embedding)::INT AS dimensions, round(list_sum(embedding), 4) AS total FROM vectors",

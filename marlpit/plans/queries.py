@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, ingest, lexical, memory, processing, retrieval
+from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval
 from marlpit.plans import constants as C
 from marlpit.sources import tables
+from marlpit.sources.scratch import scratch_folder
 from marlpit.sources.tables import table
 
 
@@ -114,7 +115,28 @@ def bm25_topk(spark, sf_dir):
 
 
 def batch_search_topk(spark, sf_dir):
-    return lexical.batch_search(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", 5)
+    found = index.batch_search(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", 5)
+    return found.select("item_id", "rank", "chunk_id", "score")
+
+
+def index_search_topk(spark, sf_dir):
+    """One query over a stored index, of which half of the chunks came in by an update and some were replaced."""
+    folder, own = scratch_folder(spark), chunks(spark, sf_dir)
+    late = F.pmod(F.xxhash64("document_id"), F.lit(2)) == 0
+    index.update_index(spark, folder, own.filter(~late).withColumn("text", F.when(F.col("sequence") == 1, F.lit("the old text of the first chunk")).otherwise(F.col("text"))))
+    index.update_index(spark, folder, own.filter(late | (F.col("sequence") == 1)))
+    asked = spark.createDataFrame([(1, C.QUERY)], "query_id int, query string")
+    return index.search_index(spark, folder, asked, "query_id", "query", 10).select("chunk_id", "document_id", "score")
+
+
+def index_statistics(spark, sf_dir):
+    """Statistics of a stored index by its differences, after documents were cut anew and some chunks dropped."""
+    folder = scratch_folder(spark)
+    index.update_index(spark, folder, chunks(spark, sf_dir))
+    again = chunking.chunk(documents(spark, sf_dir).withColumn("text", F.substring("text", F.lit(1), F.char_length("text") - 500)))
+    index.update_index(spark, folder, again)
+    index.update_index(spark, folder, dropped=chunks(spark, sf_dir).filter("sequence = 2"))
+    return index.index_terms(spark, folder)
 
 
 def vector_topk(spark, sf_dir):
@@ -319,7 +341,7 @@ def self_test(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, vector_topk, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
+        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
         blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, think_summary, feedback_memory, rules_eligible,
         graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )

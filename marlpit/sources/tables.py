@@ -47,7 +47,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _versions(spark: SparkSession, folder: str, name: str) -> list[tuple[int, str]]:
+def versions_of(spark: SparkSession, folder: str, name: str) -> list[tuple[int, str]]:
     """(number, path) of complete versions, from the last full one on. Spark marks a folder when all of it is there."""
     target, fs = _files(spark, f"{folder}/{name}")
     if not fs.exists(target):
@@ -58,9 +58,15 @@ def _versions(spark: SparkSession, folder: str, name: str) -> list[tuple[int, st
     return [(number, path) for number, _, path in found if number >= last]
 
 
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Marks a version that has several tables, as Spark marks those of one."""
+    target, fs = _files(spark, f"{path}/_SUCCESS")
+    fs.create(target, True).close()
+
+
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored table: of each key the row of its last version. An empty one with its schema if it isn't there yet."""
-    versions = _versions(spark, folder, name)
+    versions = versions_of(spark, folder, name)
     if not versions:
         return spark.createDataFrame([], SCHEMAS[name])
     rows = spark.read.schema(f"{SCHEMAS[name]}, _version long").parquet(*[path for _, path in versions])
@@ -76,7 +82,7 @@ def store(spark: SparkSession, folder: str, name: str, incoming: DataFrame) -> N
     A version counts once Spark has marked it as complete, so a crash leaves the table as it was, and a batch that is
     stored again changes nothing. After some versions all rows are written as one, and older ones go.
     """
-    versions = _versions(spark, folder, name)
+    versions = versions_of(spark, folder, name)
     _write(incoming, folder, name, versions[-1][0] + 1 if versions else 1, "part")
     if len(versions) + 1 > VERSIONS_MOST:
         compact(spark, folder, name)
@@ -89,7 +95,7 @@ def _write(rows: DataFrame, folder: str, name: str, number: int, kind: str) -> N
 
 def compact(spark: SparkSession, folder: str, name: str) -> None:
     """All rows of a stored table as one full version; those before it go when it is complete."""
-    versions = _versions(spark, folder, name)
+    versions = versions_of(spark, folder, name)
     if not versions:
         return
     _write(stored(spark, folder, name), folder, name, versions[-1][0] + 1, "full")

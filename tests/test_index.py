@@ -1,0 +1,131 @@
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from marlpit.operators import index, lexical
+from marlpit.sources import tables
+
+CHUNK = "chunk_id string, document_id string, sequence int, text string"
+WORDS = ["the"] * 30 + ["of"] * 12 + ["plan"] * 4 + [f"w{k}" for k in range(40)]
+ASKED = [(0, "the of"), (1, "the the plan w3"), (2, "w1 w2 of the"), (3, "zz"), (4, ""), (5, "The OF plan " + " ".join(f"w{k}" for k in range(20))), (6, None)]
+
+
+def rows(rng, ids):
+    return [(f"D{i:03d}-1", f"D{i:03d}", 1, " ".join(rng.choices(WORDS, k=rng.randrange(0, 30)))) for i in ids]
+
+
+def state(spark, held):
+    return spark.createDataFrame(sorted(held.values()), CHUNK)
+
+
+def check(spark, folder, held, pilot=index.PILOT):
+    """Search and statistics of the index beside those of all chunks."""
+    chunks = state(spark, held)
+    want = []
+    for q, text in ASKED:
+        if text:
+            want += [(q, k + 1, r.chunk_id, r.document_id, r.score) for k, r in enumerate(lexical.search(chunks, text, 7).collect())]
+    queries = spark.createDataFrame(ASKED, "q int, text string")
+    assert sorted(tuple(r) for r in index.search_index(spark, folder, queries, "q", "text", 7, pilot).collect()) == sorted(want)
+    number, mean = lexical.corpus_statistics(chunks).first()
+    n, size = index.index_totals(spark, folder)
+    assert (n, size / max(1, n)) == (number, pytest.approx(mean))
+    terms = lambda df: sorted((r.term, r.df, r.cf) for r in df.collect())
+    assert terms(index.index_terms(spark, folder)) == terms(lexical.term_statistics(lexical.term_counts(chunks)))
+
+
+@pytest.fixture
+def small(monkeypatch):
+    """Blocks and slices of a few postings, several buckets, and early compaction."""
+    for name, value in (("BLOCK", 3), ("SLICE", 20), ("BUCKET", 200), ("PAGE_ROWS", 4)):
+        monkeypatch.setattr(index, name, value)
+
+
+@pytest.mark.parametrize("pilot", [1, 40, 10_000])
+def test_search_equals_a_full_scan(spark, tmp_path, small, pilot):
+    rng = random.Random(5)
+    held = {r[0]: r for r in rows(rng, range(120))}
+    index.update_index(spark, str(tmp_path), state(spark, held))
+    check(spark, str(tmp_path), held, pilot)
+
+
+def test_updates_drops_compaction_and_crashes(spark, tmp_path, small, monkeypatch):
+    monkeypatch.setattr(tables, "VERSIONS_MOST", 3)
+    rng, folder = random.Random(6), str(tmp_path)
+    held = {r[0]: r for r in rows(rng, range(60))}
+    index.update_index(spark, folder, state(spark, held))
+    for step in range(4):
+        late = {r[0]: r for r in rows(rng, [rng.randrange(90) for _ in range(20)])}
+        gone = rng.sample(sorted(held), 5)
+        index.update_index(spark, folder, state(spark, late), spark.createDataFrame([(x,) for x in gone], "chunk_id string"))
+        held = {k: v for k, v in held.items() if k not in gone} | late
+        if step in (0, 2):
+            check(spark, folder, held)
+    assert len(index.versions(spark, folder)) <= 3
+    with pytest.raises(Exception, match="disk full"):  # a crash in the middle of a version
+        broken = state(spark, held).withColumn("text", F.when(F.col("chunk_id") > "D05", F.raise_error(F.lit("disk full")).cast("string")).otherwise("new"))
+        index.update_index(spark, folder, broken)
+    monkeypatch.setattr(tables, "mark_complete", lambda *x: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):  # all is written, but for the mark
+        index.update_index(spark, folder, state(spark, held).withColumn("text", F.lit("the new")))
+    monkeypatch.undo()
+    check(spark, folder, held)
+    index.update_index(spark, folder, state(spark, late).withColumn("text", F.lit("the plan")))
+    held |= {k: (*v[:3], "the plan") for k, v in late.items()}
+    index.compact_index(spark, folder)
+    assert len(index.versions(spark, folder)) == 1
+    check(spark, folder, held)
+
+
+def test_index_follows_stored_chunks(spark, tmp_path, small):
+    rng, folder = random.Random(7), str(tmp_path)
+    held = {r[0]: r for r in rows(rng, range(40))}
+    stored = lambda r: state(spark, r).withColumn("char_start", F.lit(0)).withColumn("char_end", F.lit(0))
+    tables.store(spark, folder, "chunks", stored(held))
+    index.refresh_index(spark, folder)
+    check(spark, folder, held)
+    before = len(os.listdir(tmp_path / "index"))
+    index.refresh_index(spark, folder)
+    assert len(os.listdir(tmp_path / "index")) == before  # nothing differs, nothing is written
+    late = {r[0]: r for r in rows(rng, range(30, 50))}
+    tables.store(spark, folder, "chunks", stored(late))
+    tables.compact(spark, folder, "chunks")
+    index.refresh_index(spark, folder)
+    check(spark, folder, held | late)
+
+
+def test_empty_index(spark, tmp_path):
+    queries = spark.createDataFrame(ASKED, "q int, text string")
+    assert index.search_index(spark, str(tmp_path), queries, "q", "text").count() == 0
+    index.update_index(spark, str(tmp_path), spark.createDataFrame([], CHUNK))
+    assert index.search_index(spark, str(tmp_path), queries, "q", "text").count() == 0
+    assert index.index_totals(spark, str(tmp_path)) == (0, 0) and index.index_terms(spark, str(tmp_path)).count() == 0
+
+
+def scanned(df):
+    """Rows that the readers of a plan without shuffles gave, and files that they opened."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    found = [leaves.apply(k).metrics() for k in range(leaves.size())]
+    return tuple(sum(m.get(name).get().value() for m in found if m.contains(name)) for name in ("numOutputRows", "numFiles"))
+
+
+def test_a_search_reads_its_terms_blocks_alone(spark, tmp_path, small):
+    rng, folder = random.Random(8), str(tmp_path)
+    held = {r[0]: r for r in rows(rng, range(300))}
+    index.update_index(spark, folder, state(spark, held))
+    found = index.versions(spark, folder)
+    rows_all, files_all = scanned(index._postings(spark, found, None))
+    own = index._postings(spark, found, ["w7"])
+    rows_read, files_read = scanned(own)
+    assert own.count() <= rows_read < rows_all / 10 and files_read < files_all / 2
+
+
+def test_nothing_is_cached(spark, tmp_path):
+    held = {r[0]: r for r in rows(random.Random(9), range(30))}
+    queries = spark.createDataFrame(ASKED, "q int, text string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    index.batch_search(state(spark, held), queries, "q", "text").collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, ingest, lexical, memory, processing, retrieval
+from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval
 from marlpit.sources import tables
 from marlpit.streaming.ingest import ingest_stream
 
@@ -143,7 +143,7 @@ def test_search_repeats_absent_terms_and_ties(spark):
         got = [(r.chunk_id, r.score) for r in lexical.search(chunks, query, 10).collect()]
         want = sorted(((f"D{i}-1", round(score(w, query.lower()), 6)) for i, w in enumerate(words) if score(w, query.lower()) > 0), key=lambda x: (-x[1], x[0]))
         assert got == want
-        batch = lexical.batch_search(chunks, spark.createDataFrame([(1, query)], "q int, text string"), "q", "text", 10).collect()
+        batch = index.batch_search(chunks, spark.createDataFrame([(1, query)], "q int, text string"), "q", "text", 10).collect()
         assert sorted((r.rank, r.chunk_id, r.score) for r in batch) == [(k + 1, *w) for k, w in enumerate(want)]
     assert lexical.search(chunks, " ", 3).count() == 0 and lexical.search(chunks.limit(0), "a", 3).count() == 0
 
@@ -334,20 +334,3 @@ def test_processing(spark):
     assert got[3].document_type == "other" and got[3].title is None
     plain = {r.doc_id: r for r in processing.process_documents(docs, rules[1:], ["doc_id"]).collect()}
     assert (plain[1].confidence_score, plain[1].blast_radius, plain[1].term_frequency, plain[2].confidence_score) == (0.85, 0.5, 0.5, 0.0)
-
-
-def test_batch_search_equals_brute_force_at_every_pilot(spark):
-    rng = random.Random(5)
-    words = ["the"] * 30 + ["of"] * 12 + ["plan"] * 4 + [f"w{k}" for k in range(40)]
-    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 30))) for _ in range(120)]
-    chunks = spark.createDataFrame([(f"D{i:03d}-1", f"D{i:03d}", 1, t) for i, t in enumerate(texts)], "chunk_id string, document_id string, sequence int, text string")
-    asked = [(0, "the of"), (1, "the the plan w3"), (2, "w1 w2 of the"), (3, "zz"), (4, ""), (5, "The OF plan " + " ".join(f"w{k}" for k in range(20))), (None, "w5 the")]
-    queries = spark.createDataFrame(asked, "q int, text string")
-    want = []
-    for q, text in asked:
-        if text:
-            found = lexical.search(chunks, text, 7).collect()
-            want += [(q, k + 1, r.chunk_id, r.score) for k, r in enumerate(found)]
-    for pilot in (1, 40, 10_000):
-        got = [tuple(r) for r in lexical.batch_search(chunks, queries.filter("q is not null"), "q", "text", 7, pilot).collect()]
-        assert sorted(got) == sorted(x for x in want if x[0] is not None)
