@@ -307,8 +307,8 @@ def enough(a: str, b: str, n: Column, percent: int) -> Column:
     return F.least(a, b) >= shared_at_least(percent, n)
 
 
-def crowded(large: DataFrame, small: DataFrame) -> DataFrame:
-    """(shingle, bin, crowd): those that would form many pairs, with the crowd that their classes meet in.
+def crowded(large: DataFrame, small: DataFrame) -> DataFrame | None:
+    """(shingle, bin, crowd): those that would form many pairs, with the crowd that their classes meet in; None if none.
 
     A crowd is one of these or, where that is less work, all that are linked by common classes: then a class that is in
     many of them meets the others once.
@@ -317,6 +317,8 @@ def crowded(large: DataFrame, small: DataFrame) -> DataFrame:
     amounts = large.groupBy(*of).agg(F.count("*").alias("a")).join(small.groupBy(*of).agg(F.count("*").alias("b")), of)
     many = amounts.filter(F.col("a") * F.col("b") > PAIRS_EACH * (F.col("a") + F.col("b"))).select(*of, F.xxhash64(*of).alias("own"))
     many = written(many)
+    if not many.limit(1).count():
+        return None
     members = written(large.select(*of, F.col("k2").alias("k")).unionByName(small.select(*of, "k")).join(broadcast_if_small(many), of).select("own", "k").distinct())
     firsts = members.groupBy("own").agg(F.min("k").alias("a"))
     families = components(written(members.join(firsts, "own").filter("k <> a").select("a", F.col("k").alias("b")).distinct()))
@@ -328,9 +330,9 @@ def crowded(large: DataFrame, small: DataFrame) -> DataFrame:
     return written(many.join(chosen.select("own", crowd.alias("crowd")), "own").drop("own"))
 
 
-def open_pairs(large: DataFrame, small: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
+def open_pairs(large: DataFrame, small: DataFrame, crowds: DataFrame | None, percent: int) -> DataFrame:
     """Pairs of different components that share a shingle of their prefixes and may reach the threshold, but for crowds'."""
-    few = [x.join(broadcast_if_small(crowds), ["shingle", "bin"], "left_anti") for x in (large, small)]
+    few = [x.join(broadcast_if_small(crowds), ["shingle", "bin"], "left_anti") if crowds is not None else x for x in (large, small)]
     n = F.col("n")
     met = few[0].join(few[1], ["shingle", "bin"]).filter((F.col("component") != F.col("component2")) & n.between(F.col("least"), F.col("most")) & enough("rest", "rest2", n + F.col("n2"), percent))
     return met.select(*pair("k", "k2")).distinct()
@@ -409,7 +411,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     large, small = open_places(labelled(places, labels), percent)
     crowds = crowded(large, small)
     left = written(survivors(open_pairs(large, small, crowds, percent), opened, percent / 100))
-    links = verified(left, sets, percent).unionByName(crowd_links(large, small, crowds, opened, labels, sets, percent))
+    links = verified(left, sets, percent)
+    if crowds is not None:
+        links = links.unionByName(crowd_links(large, small, crowds, opened, labels, sets, percent))
     labels = joined_up(labels, written(links))
 
     joined = labelled(classes.select("k", "set_key", "cid"), labels)
