@@ -43,8 +43,8 @@ def agent_level(known: DataFrame, agent: str, of: str = "SPM Agent") -> DataFram
 
 def without_repeats(rows: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     """Rows as they are; reading them fails if a key comes twice."""
-    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys, F.lit(True).alias("_repeated"))
-    found = rows.join(repeated, list(keys), "left")
-    named: Column = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
-    failing = F.when(F.col("_repeated"), F.raise_error(F.concat(F.lit(f"{what} exists already: "), named)).cast("boolean")).otherwise(F.lit(True))
-    return found.filter(failing).drop("_repeated")
+    own = rows.select(F.struct(*rows.columns).alias("row"), F.struct(*keys).alias("key"))
+    repeated = own.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("repeated"))
+    named: Column = F.concat_ws(", ", *[F.col(f"key.{k}").cast("string") for k in keys])
+    failing = F.when(F.col("repeated"), F.raise_error(F.concat(F.lit(f"{what} exists already: "), named)).cast("boolean")).otherwise(F.lit(True))
+    return own.join(repeated, "key", "left").filter(failing).select("row.*")

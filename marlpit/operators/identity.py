@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.text import document_id
+from marlpit.sources.scratch import written
 
 #: Rows that are ranked in one task, about; most slices; sampled values for each slice.
 SLICE_ROWS, SLICES_MOST, SAMPLED = 100_000, 16_384, 16
@@ -20,12 +21,12 @@ def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", or
     order of the first file that has them. Numbers come from counts by slices of the order, so no task sees all files.
     A file without a hash has no document id and isn't known; it takes no number.
     """
-    first = files.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("sha256")).agg(F.min(order_col).alias("first"))
-    fresh = first.join(registry.select("sha256").distinct(), "sha256", "left_anti")
+    own = written(files.select(F.col(order_col), F.col(hash_col).alias("sha256")))
+    first = own.filter("sha256 is not null").groupBy("sha256").agg(F.min(order_col).alias("first"))
+    fresh = written(first.join(registry.select("sha256").distinct(), "sha256", "left_anti"))
     numbered = positions(fresh, "first").crossJoin(F.broadcast(registry.agg(F.count("*").alias("count"))))
     ids = numbered.select("sha256", document_id(F.col("count") + F.col("position")).alias("document_id"), F.lit(False).alias("known"))
-    old = registry.join(first.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.min("document_id").alias("document_id")).withColumn("known", F.lit(True))
-    own = files.select(F.col(order_col), F.col(hash_col).alias("sha256"))
+    old = registry.join(own.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.min("document_id").alias("document_id")).withColumn("known", F.lit(True))
     unread = own.filter("sha256 is null").select("sha256", order_col, F.lit(None).cast("string").alias("document_id"), F.lit(False).alias("known"))
     return own.join(ids.unionByName(old), "sha256").unionByName(unread)
 
@@ -52,8 +53,8 @@ def positions(rows: DataFrame, by: str) -> DataFrame:
         drawn = rows.select(F.col(by).alias("x")).orderBy(F.xxhash64(by)).limit(slices * SAMPLED)
         values = sorted(r.x for r in drawn.collect())
         bounds = sorted({values[k * len(values) // slices] for k in range(1, slices)})
-    sliced = rows.withColumn("_slice", slice_of(F.col(by), bounds))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("n")).select("_slice", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_slice").orderBy(by))
-    return sliced.withColumn("_rank", rank).join(F.broadcast(counts), "_slice").withColumn("position", F.col("_before") + F.col("_rank")).drop("_slice", "_rank", "_before")
+    sliced = rows.select(F.struct(*rows.columns).alias("row"), F.col(by).alias("by"), slice_of(F.col(by), bounds).alias("slice"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = sliced.groupBy("slice").agg(F.count("*").alias("n")).select("slice", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("slice").orderBy("by"))
+    return sliced.withColumn("rank", rank).join(F.broadcast(counts), "slice").select("row.*", (F.col("before") + F.col("rank")).alias("position"))

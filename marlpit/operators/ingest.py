@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from marlpit.functions.text import base_name, clean
 from marlpit.operators.chunking import chunk
 from marlpit.operators.identity import register
+from marlpit.sources.pages import Parser
+from marlpit.sources.scratch import written
 from marlpit.sources.tables import read_texts, store, stored
 
 # What a registration says of a document that nothing more is known of.
@@ -18,13 +20,12 @@ UNKNOWN = {"team_owner": "UNKNOWN", "document_type": "UNKNOWN", "visibility": "I
 
 
 def registered(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """Files (path, sha256, text, error) with their document_id and whether it was known.
+    """(path, sha256, document_id, known) of files (path, sha256, error), written once, without texts.
 
-    A file that gave no text isn't registered: it has no document id and keeps its error.
+    A file that gave no text isn't registered: it has no hash here and no document id.
     """
-    readable = files.withColumn("sha256", F.when(F.col("error").isNull(), F.col("sha256")))
-    ids = register(readable, registry).select(F.col("path").alias("its_path"), "document_id", "known")
-    return files.join(ids, files["path"] == ids["its_path"]).drop("its_path")
+    readable = files.select("path", F.when(F.col("error").isNull(), F.col("sha256")).alias("sha256"))
+    return written(register(readable, registry))
 
 
 def document_rows(found: DataFrame) -> DataFrame:
@@ -34,34 +35,39 @@ def document_rows(found: DataFrame) -> DataFrame:
     return fresh.select("document_id", base_name("source_path").alias("title"), *constant, "sha256", "source_path", F.current_timestamp().cast("timestamp_ntz").alias("last_updated"))
 
 
-def document_chunks(found: DataFrame) -> DataFrame:
-    """Chunks of the cleaned texts of registered files, each content once."""
-    texts = found.filter("document_id is not null").groupBy("document_id").agg(F.min_by("text", "path").alias("text"))
-    return chunk(texts.withColumn("text", clean("text")))
+def document_chunks(contents: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks of the cleaned texts of documents, read from one file of each (document_id, path)."""
+    named = contents.groupBy("document_id").agg(F.min("path").alias("its"))
+    texts = files.join(named, files["path"] == named["its"]).select("document_id", clean("text").alias("text"))
+    return chunk(texts)
 
 
 def ingest_files(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of files (path, sha256, text, error): these with document ids, new rows of documents, and chunks of new ones."""
+    """Of files (path, sha256, text, error): their document ids, new rows of documents, and chunks of new ones.
+
+    Registration moves paths and hashes alone; texts are read once more, and only those of new contents.
+    """
     found = registered(files, registry)
-    return found, document_rows(found), document_chunks(found.filter("not known"))
+    return found, document_rows(found), document_chunks(found.filter("document_id is not null and not known"), files)
 
 
-def ingest_folder(spark: SparkSession, source: str, folder: str, pattern: str = "*", limit: int | None = None, extractors: Mapping[str, Column] | None = None) -> DataFrame:
+def ingest_folder(spark: SparkSession, source: str, folder: str, pattern: str = "*", limit: int | None = None, extractors: Mapping[str, Column | Parser] | None = None) -> DataFrame:
     """Reads, registers, cleans and cuts a folder's files and stores them, their documents and chunks.
 
     Gives the files' rows with their document_id, null where a file gave no text. Contents that are registered already
-    keep their ids. Documents are stored first, then chunks of all documents at hand that have none: what a failure
-    leaves out comes with the next run, and no id changes its content.
+    keep their ids. Documents are stored first, then chunks of all stored documents that have none, from the stored
+    files: what a failure leaves out comes with the next run, of whatever folder, and no id changes its content.
     """
     run = uuid.uuid4().hex
     store(spark, folder, "files", read_texts(spark, source, pattern, limit, extractors).withColumn("run", F.lit(run)))
-    files = stored(spark, folder, "files").filter(F.col("run") == run).drop("run")
-    registry = stored(spark, folder, "documents").select("document_id", "sha256")
-    store(spark, folder, "documents", document_rows(registered(files, registry)))
-    found = registered(files, stored(spark, folder, "documents").select("document_id", "sha256"))
-    cut = stored(spark, folder, "chunks").select("document_id").distinct()
-    store(spark, folder, "chunks", document_chunks(found.join(cut, "document_id", "left_anti")))
-    return found.drop("text", "known")
+    files = stored(spark, folder, "files")
+    own = files.filter(F.col("run") == run).drop("run")
+    found = registered(own, stored(spark, folder, "documents").select("document_id", "sha256"))
+    store(spark, folder, "documents", document_rows(found))
+    uncut = stored(spark, folder, "documents").select("document_id", "sha256").join(stored(spark, folder, "chunks").select("document_id"), "document_id", "left_anti")
+    paths = files.filter("error is null").select("path", "sha256").join(uncut, "sha256").select("document_id", "path")
+    store(spark, folder, "chunks", document_chunks(written(paths), files))
+    return own.drop("text").join(found.select(F.col("path").alias("its"), "document_id"), own["path"] == F.col("its")).drop("its")
 
 
 def index_vectors(chunks: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:

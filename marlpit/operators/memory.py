@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.functions.text import new_id, utc_stamp
+from marlpit.operators.substrings import containing, fields, index_memory, postings
+from marlpit.sources.scratch import written
 from marlpit.sources.tables import store
 
 STORED_CONFIDENCE = 0.85
-#: Most rows of short texts that are broadcast at once.
-BROADCAST_ROWS = 50_000
 
 
 def holds(content: Column, context: Column, asked: Column) -> Column:
@@ -35,8 +33,9 @@ def new_memory(content: Column, context: Column) -> list[Column]:
 
 
 def store_memory(spark: SparkSession, folder: str, rows: DataFrame) -> None:
-    """Appends rows (content, context) to the stored memory."""
+    """Appends rows (content, context) to the stored memory and its index."""
     store(spark, folder, "memory", rows.select(*new_memory(F.col("content"), F.col("context"))))
+    index_memory(spark, folder)
 
 
 def eligible(rules: DataFrame) -> DataFrame:
@@ -59,32 +58,40 @@ def matches(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
 def memories_of(queries: DataFrame, memory: DataFrame) -> DataFrame:
     """(asked, memories): in how many entries each text (asked, in lower case, distinct) is remembered.
 
-    No key expresses containment, so every text meets every entry. The smaller side is broadcast, by its count: memory
-    as a whole, or else the texts, block by block of a fixed size, so that no side has to fit anywhere.
+    Entries (content, context) are indexed by what they contain, so that a text meets only those that may contain it.
     """
-    entries = memory.select("content", "context")
-    matched = holds(F.col("content"), F.col("context"), F.col("asked"))
-    if entries.count() <= BROADCAST_ROWS:
-        return queries.join(F.broadcast(entries), matched).groupBy("asked").agg(F.count("*").alias("memories"))
-    blocks = max(1, math.ceil(queries.count() / BROADCAST_ROWS))
-    block = F.pmod(F.xxhash64("asked"), F.lit(blocks))
-    found = [entries.join(F.broadcast(queries.filter(block == k)), matched).groupBy("asked").agg(F.count("*").alias("memories")) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
+    entries = written(memory.select(F.monotonically_increasing_id().alias("entry"), "content", "context"))
+    texts = fields(entries, "entry")
+    return containing(queries, written(postings(texts)), texts).groupBy("asked").agg(F.count("*").alias("memories"))
 
 
 def thoughts(queries: DataFrame, text: str, memory: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], id_col: str) -> DataFrame:
-    """(id, memories, patterns, confidence, final_reasoning) of every query: HIGH with any memory or pattern, else MEDIUM.
+    """(id, memories, patterns, confidence, final_reasoning, intermediate_steps) of every query: HIGH with any memory or
+    pattern, else MEDIUM.
 
     Memories (content, context) count as `remembered` finds them. Each distinct query is compared once. A null query
-    remembers nothing.
+    remembers nothing. Steps are recorded in order: what was understood, how many memories were retrieved and which
+    patterns were found, each with its text; those of the last two have the number and the names themselves.
     """
     counts = memories_of(queries.select(F.lower(text).alias("asked")).distinct(), memory)
-    named = queries.select(id_col, F.col(text).alias("_text"), F.lower(text).alias("asked"), matches(F.col(text), rules).alias("_names"))
+    named = queries.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.lower(text).alias("asked"), F.coalesce(matches(F.col(text), rules), F.array().cast("array<string>")).alias("names"))
     joined = named.join(counts, "asked", "left").withColumn("memories", F.coalesce("memories", F.lit(0)).cast("long"))
-    patterns = F.when(F.size("_names") > 0, F.concat_ws(", ", "_names")).otherwise("none")
-    reasoning = F.format_string("Based on %d relevant memories and %d pattern matches, I can provide a confident response about '%s'", "memories", F.greatest(F.size("_names"), F.lit(0)), "_text")
-    level = F.when((F.col("memories") > 0) | (F.size("_names") > 0), "HIGH").otherwise("MEDIUM")
-    return joined.select(id_col, "memories", patterns.alias("patterns"), level.alias("confidence"), reasoning.alias("final_reasoning"))
+    patterns = F.when(F.size("names") > 0, F.concat_ws(", ", "names")).otherwise("none")
+    reasoning = F.format_string("Based on %d relevant memories and %d pattern matches, I can provide a confident response about '%s'", "memories", F.size("names"), "text")
+    level = F.when((F.col("memories") > 0) | (F.size("names") > 0), "HIGH").otherwise("MEDIUM")
+    none = F.lit(None)
+    recorded = (
+        ("understanding", F.format_string("Understanding query: '%s'", "text"), none, none),
+        ("memory_retrieval", F.format_string("Retrieved %d relevant memories", "memories"), F.col("memories"), none),
+        ("pattern_analysis", F.format_string("Identified %d matching patterns: %s", F.size("names"), patterns), none, F.col("names")),
+    )
+    steps = F.array(*[F.struct(F.lit(step).alias("step"), content.alias("content"), number.cast("long").alias("memories_count"), found.cast("array<string>").alias("patterns")) for step, content, number, found in recorded])
+    return joined.select(F.col("id").alias(id_col), "memories", patterns.alias("patterns"), level.alias("confidence"), reasoning.alias("final_reasoning"), steps.alias("intermediate_steps"))
+
+
+def stamped(thoughts: DataFrame) -> DataFrame:
+    """Thoughts with an id and a time of their own (thought_id, created_at). Write them before they are read twice."""
+    return thoughts.select(new_id().alias("thought_id"), "*", utc_stamp().alias("created_at"))
 
 
 def feedback_memory(feedback: DataFrame) -> DataFrame:

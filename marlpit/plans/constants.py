@@ -18,6 +18,8 @@ PREFIXES = ("", "Show the logs: ", "update tracker and logs ", "Which HOTEL ")
 EXTENSIONS = ("", ".PDF", ".docx", ".txt", ".tar.gz", ".html")
 #: Questions besides the benchmark's texts, of which memory holds some only in its context.
 ASKED_OF_MEMORY = ((-1, "USER_FEEDBACK"), (-2, "document 7"), (-3, "toxic"), (-4, "true"), (-5, "no such thing"))
+#: Texts that are looked for in all turns, short ones and one of no turn among them.
+NEEDLES = ("a", "th", "the", "ser", "assist", "e t", "no such thing")
 RULES = (
     ("Process", ("the and", "process", "ment")),
     ("Upload", ("full upload", "ingre")),

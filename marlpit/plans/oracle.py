@@ -236,8 +236,12 @@ ORACLE_SQL = {
     "memory_search": f"SELECT conv_id, turn FROM conversations WHERE contains(lower(text), {quoted(C.MEMORY_QUERY.lower())}) OR contains(lower(role), {quoted(C.MEMORY_QUERY.lower())})",
     "rule_match": f"SELECT conv_id, turn, array_to_string(names, ', ') AS patterns FROM (SELECT conv_id, turn, {rule_names('text')} AS names FROM conversations) WHERE len(names) > 0",
     "think_summary": f"""SELECT item_id, memories, CASE WHEN len(names) > 0 THEN array_to_string(names, ', ') ELSE 'none' END AS patterns, CASE WHEN memories > 0 OR len(names) > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
-            'Based on ' || memories || ' relevant memories and ' || len(names) || ' pattern matches, I can provide a confident response about ' || chr(39) || text || chr(39) AS final_reasoning
+            'Based on ' || memories || ' relevant memories and ' || len(names) || ' pattern matches, I can provide a confident response about ' || chr(39) || text || chr(39) AS final_reasoning,
+            'understanding / Understanding query: ' || chr(39) || text || chr(39) || ' /  // memory_retrieval / Retrieved ' || memories || ' relevant memories / ' || memories
+            || ' /  // pattern_analysis / Identified ' || len(names) || ' matching patterns: ' || CASE WHEN len(names) > 0 THEN array_to_string(names, ', ') ELSE 'none' END || ' / ' || array_to_string(names, '+') AS intermediate_steps
         FROM (SELECT item_id, text, {rule_names('text')} AS names, (SELECT count(*) FROM ({FEEDBACK}) AS f WHERE {REMEMBERED}) AS memories FROM (SELECT *, lower(text) AS asked FROM ({ASKED})) AS b)""",
+    "memory_index_search": f"""SELECT asked, count(*) AS memories FROM (SELECT DISTINCT asked FROM (SELECT lower(substring(text, 1, 12)) AS asked FROM benchmark UNION ALL SELECT * FROM (VALUES {', '.join(f'({quoted(x)})' for x in C.NEEDLES)}) AS v(asked))) AS a
+        JOIN conversations AS c ON contains(lower(c.text), asked) OR contains(lower(c.role), asked) GROUP BY asked""",
     "feedback_memory": f"SELECT doc_id, content, 'user_feedback' AS feedback_type, is_correct, 'u1' AS user_id, coalesce(comments, '-') AS comments, (4 + (comments IS NOT NULL)::INT)::INT AS n_context, 0.85::DOUBLE AS confidence FROM ({FEEDBACK})",
     "rules_eligible": "SELECT * FROM (VALUES " + ", ".join(f"('p{k}', {quoted(w)})" for k, (_, ws) in enumerate(C.RULES) if C.FORMS[k] for w in dict.fromkeys([*ws, ws[0].upper()])) + ") AS v(pattern_id, keyword)",
     "graph_upsert": f"""WITH {NODES}, changed AS (SELECT 'nation-' || (n_nationkey + 3) AS id, n_name AS name, 'metric' AS entity_type, 'new' AS description, '-' AS owner, -1 AS n_metadata FROM nation WHERE n_nationkey >= 20)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval
+from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval, substrings
 from marlpit.plans import constants as C
 from marlpit.sources import tables
 from marlpit.sources.scratch import scratch_folder
@@ -227,7 +227,17 @@ def rule_match(spark, sf_dir):
 def think_summary(spark, sf_dir):
     notes = memory.feedback_memory(feedback(spark, sf_dir))
     asked = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame(list(C.ASKED_OF_MEMORY), "item_id long, text string"))
-    return memory.thoughts(asked, "text", notes, C.RULES, "item_id")
+    found = memory.thoughts(asked, "text", notes, C.RULES, "item_id")
+    steps = F.transform("intermediate_steps", lambda s: F.concat_ws(" / ", s["step"], s["content"], s["memories_count"].cast("string"), F.concat_ws("+", s["patterns"])))
+    return found.withColumn("intermediate_steps", F.concat_ws(" // ", steps))
+
+
+def memory_index_search(spark, sf_dir):
+    """What each benchmark text's beginning and some short texts are contained in, by an index of all turns."""
+    turns = table(spark, sf_dir, "conversations").select(F.format_string("%d-%d", "conv_id", "turn").alias("memory_id"), F.col("text").alias("content"), F.create_map(F.lit("role"), F.col("role")).alias("context"))
+    texts = substrings.fields(turns, "memory_id")
+    asked = table(spark, sf_dir, "benchmark").select(F.lower(F.substring("text", 1, 12)).alias("asked")).unionByName(spark.createDataFrame([(x,) for x in C.NEEDLES], "asked string")).distinct()
+    return substrings.containing(asked, substrings.postings(texts), texts).groupBy("asked").agg(F.count("*").alias("memories"))
 
 
 def feedback(spark, sf_dir):
@@ -319,7 +329,7 @@ def processed(spark, sf_dir, forms):
     docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.when(F.pmod("doc_id", F.lit(100)) != 0, F.col("text")).alias("text"))
     rules = [processing.Rule(name, form, words) for (name, words), form in zip(C.RULES, forms, strict=True)]
     found = processing.process_documents(docs, rules, ["doc_id"])
-    return rounded(found, "blast_radius", "term_frequency").withColumn("patterns_found", F.concat_ws("|", "patterns_found"))
+    return rounded(found.drop("process_id", "created_at", "updated_at"), "blast_radius", "term_frequency").withColumn("patterns_found", F.concat_ws("|", "patterns_found"))
 
 
 def process_documents(spark, sf_dir):
@@ -342,7 +352,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
-        blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, think_summary, feedback_memory, rules_eligible,
+        blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, memory_index_search, think_summary, feedback_memory, rules_eligible,
         graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.text import base_name, document_id, document_type, extension, mime_type
+from marlpit.sources.pages import OWN_PARSERS, Parser, read_pages
 
 SCHEMAS = {
     "documents": "document_id string, title string, team_owner string, document_type string, visibility string, version string, sha256 string, source_path string, last_updated timestamp_ntz",
@@ -17,11 +18,15 @@ SCHEMAS = {
     "vectors": "chunk_id string, embedding array<double>",
     "files": "path string, file_name string, document_type string, mime_type string, file_size long, modified_at timestamp, sha256 string, text string, error string, run string",
     "memory": "memory_id string, content string, context map<string,string>, created_at string, confidence double",
+    "memory_grams": "gram string, memory_id string, field int, place int",
     "graph_entities": "id string, name string, entity_type string, description string, metadata string, owner string, visibility string",
     "graph_relationships": "source_id string, target_id string, relation_type string, description string, confidence double, metadata string",
 }
-KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "chunks": ["chunk_id"], "vectors": ["chunk_id"], "files": ["path"], "memory": ["memory_id"], "graph_entities": ["id"], "graph_relationships": ["source_id", "target_id", "relation_type"]}
+KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "chunks": ["chunk_id"], "vectors": ["chunk_id"], "files": ["path"], "memory": ["memory_id"], "memory_grams": ["gram", "memory_id", "field", "place"], "graph_entities": ["id"], "graph_relationships": ["source_id", "target_id", "relation_type"]}
 
+#: Tables whose keys never come twice, so that versions are only put together; and columns by whose order files are cut.
+ADDED = {"memory_grams"}
+ORDERED = {"memory_grams": "gram"}
 
 #: Extensions whose files need a parser.
 PARSED = (".pdf", ".doc", ".docx")
@@ -70,7 +75,7 @@ def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if not versions:
         return spark.createDataFrame([], SCHEMAS[name])
     rows = spark.read.schema(f"{SCHEMAS[name]}, _version long").parquet(*[path for _, path in versions])
-    if len(versions) > 1:
+    if len(versions) > 1 and name not in ADDED:
         columns = [c for c in rows.columns if c != "_version"]
         return rows.groupBy(*KEYS[name]).agg(F.max_by(F.struct(*columns), "_version").alias("row")).select("row.*")
     return rows.drop("_version")
@@ -90,6 +95,8 @@ def store(spark: SparkSession, folder: str, name: str, incoming: DataFrame) -> N
 
 def _write(rows: DataFrame, folder: str, name: str, number: int, kind: str) -> None:
     columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+    if name in ORDERED:
+        rows = rows.repartitionByRange(ORDERED[name]).sortWithinPartitions(ORDERED[name])
     rows.select(*columns, F.lit(number).cast("long").alias("_version")).write.mode("overwrite").parquet(f"{folder}/{name}/{number:08d}-{kind}")
 
 
@@ -106,9 +113,10 @@ def compact(spark: SparkSession, folder: str, name: str) -> None:
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both by key; incoming rows replace all columns, with nulls too. Keys of incoming rows are to be unique."""
-    late = existing.withColumn("_late", F.lit(0)).unionByName(incoming.withColumn("_late", F.lit(1)))
-    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_late")))
-    return late.withColumn("_rank", latest).filter("_rank = 1").drop("_late", "_rank")
+    columns = existing.columns
+    of = lambda rows, late: rows.select(F.struct(*[F.col(k) for k in keys]).alias("key"), F.struct(*columns).alias("row"), F.lit(late).alias("late"))
+    latest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("late")))
+    return of(existing, 0).unionByName(of(incoming, 1)).withColumn("rank", latest).filter("rank = 1").select("row.*")
 
 
 def pages_text(pages: DataFrame, by: str, order: str, text: str) -> DataFrame:
@@ -127,23 +135,37 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*", limit: int
     return found.limit(limit) if limit else found
 
 
-def read_texts(spark: SparkSession, folder: str, pattern: str = "*", limit: int | None = None, extractors: Mapping[str, Column] | None = None) -> DataFrame:
+def read_texts(spark: SparkSession, folder: str, pattern: str = "*", limit: int | None = None, extractors: Mapping[str, Column | Parser] | None = None) -> DataFrame:
     """read_files with (sha256, text, error) in place of the content: a file that can't be read gives a row, no failure.
 
-    Files are UTF-8 text, but for PDF and Word files, whose texts come from a column of `content` given for their
-    extension, such as a pandas UDF around a parser. text is null and error says why where there is no such column, the
-    parser gives null, or the bytes aren't UTF-8. A folder that isn't there is an error.
+    Files are UTF-8 text, but for PDF and Word files, whose texts come from an extractor for their extension: a function
+    in Python from the bytes to the pages' texts, or a column of `content`. What a function raises is the file's error;
+    a column must not raise. `.docx` needs none. text is null and error says why where there is no extractor, it gives
+    no text, or the bytes aren't UTF-8. A folder that isn't there is an error.
     """
     if not exists(spark, folder):
         raise FileNotFoundError(folder)
     files = read_files(spark, folder, pattern, limit)
+    given = OWN_PARSERS | dict(extractors or {})
+    columns = {k: x for k, x in given.items() if isinstance(x, Column)}
+    parsers = {k: x for k, x in given.items() if k not in columns}
     kind, own = extension("path"), F.col("content").cast("string")
     text = F.when(kind.isin(*PARSED), F.lit(None).cast("string")).when(F.is_valid_utf8(own), own)
     error = F.when(kind.isin(*PARSED), F.concat(F.lit("no extractor for "), kind)).when(~F.is_valid_utf8(own), F.lit("not UTF-8"))
-    for name, column in (extractors or {}).items():
+    for name, column in columns.items():
         text = F.when(kind == name, column).otherwise(text)
         error = F.when(kind == name, F.when(column.isNull(), F.concat(F.lit("no text in "), kind))).otherwise(error)
-    return files.select(*[c for c in files.columns if c != "content"], sha256(F.col("content")).alias("sha256"), text.alias("text"), error.alias("error"))
+    named = [c for c in files.columns if c != "content"]
+    read = files.select(*named, sha256(F.col("content")).alias("sha256"), text.alias("text"), error.alias("error"))
+    pages = read_pages(files, parsers)
+    kept = F.when(F.regexp_replace("text", r"(?U)\s+", "") != "", F.struct("page", "text"))
+    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"]))
+    parsed = pages.groupBy(F.col("path").alias("its")).agg(F.max("error").alias("raised"), joined.alias("pages"))
+    of_parser = kind.isin(list(parsers))
+    found = F.when(F.col("raised").isNull() & (F.col("pages") != ""), F.col("pages"))
+    said = F.when(found.isNull(), F.coalesce("raised", F.concat(F.lit("no text in "), kind)))
+    merged = read.join(parsed, read["path"] == parsed["its"], "left")
+    return merged.select(*named, "sha256", F.when(of_parser, found).otherwise(F.col("text")).alias("text"), F.when(of_parser, said).otherwise(F.col("error")).alias("error")).orderBy("path")
 
 
 def numbered(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -1,8 +1,9 @@
 import math
 import os
 import random
-from datetime import UTC, datetime
 import re
+import zipfile
+from datetime import UTC, datetime
 
 import pytest
 from hypothesis import given
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval
+from marlpit.operators import agents, chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval, substrings
 from marlpit.sources import tables
+from marlpit.sources.pages import docx_pages, read_pages
 from marlpit.streaming.ingest import ingest_stream
 
 # The mock document that queries were once scored on, and the scores that follow from the formulas.
 MOCK = "This is a sample document content that matches the query: {}. It contains information about SPM processes and documentation."
+DOCX = """<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>
+<w:p><w:r><w:t>The </w:t></w:r><w:r><w:t>plan</w:t></w:r></w:p><w:p><w:r><w:t>of</w:t><w:tab/><w:t>all</w:t></w:r></w:p></w:body></w:document>"""
 GOLDEN = (
     ("How to handle G3 RMS decision upload failures?", 2),
     ("project documentation", 3),
@@ -184,16 +188,19 @@ def test_files_without_a_hash_are_kept(spark):
     assert got == [(1, None, None, False), (2, "h1", "DOC-000003", False), (3, None, None, False), (4, "h2", "DOC-000004", False), (5, "h3", "DOC-000001", True)]
 
 
-def test_memory(spark, monkeypatch):
+def test_memory(spark):
     entries = spark.createDataFrame([("User feedback: Positive", {"a": "x"}), ("note", {"k": "FEEDBACK"}), ("other", {"k": "True"}), ("none", None)], "content string, context map<string,string>")
     assert memory.remembered(entries, "Feedback").count() == 2 and memory.remembered(entries, "true").count() == 1 and memory.remembered(entries, "").count() == 4
     queries = spark.createDataFrame([(1, "What is the status of project documentation?"), (2, "nothing here"), (3, "note")], "id int, q string")
     queries = queries.unionByName(spark.createDataFrame([(4, "feedBACK"), (5, "tru"), (6, "feedBACK"), (7, None)], "id int, q string"))
     want = {1: (0, "Docs", "HIGH"), 2: (0, "none", "MEDIUM"), 3: (1, "none", "HIGH"), 4: (2, "none", "HIGH"), 5: (1, "none", "HIGH"), 6: (2, "none", "HIGH"), 7: (0, "none", "MEDIUM")}
-    for most in (50_000, 2):  # memory as a whole, or texts in blocks
-        monkeypatch.setattr(memory, "BROADCAST_ROWS", most)
-        found = memory.thoughts(queries, "q", entries, [("Docs", ["documentation"]), ("None", [])], "id").collect()
-        assert {r.id: (r.memories, r.patterns, r.confidence) for r in found} == want
+    found = memory.thoughts(queries, "q", entries, [("Docs", ["documentation"]), ("None", [])], "id").collect()
+    assert {r.id: (r.memories, r.patterns, r.confidence) for r in found} == want
+    steps = next(r.intermediate_steps for r in found if r.id == 1)
+    assert [tuple(s) for s in steps] == [("understanding", "Understanding query: 'What is the status of project documentation?'", None, None), ("memory_retrieval", "Retrieved 0 relevant memories", 0, None), ("pattern_analysis", "Identified 1 matching patterns: Docs", None, ["Docs"])]
+    assert next(r.intermediate_steps for r in found if r.id == 3)[2].content == "Identified 0 matching patterns: none"
+    kept = memory.stamped(memory.thoughts(queries, "q", entries, [], "id")).first()
+    assert len(kept.thought_id) == 36 and kept.created_at.endswith("Z")
     assert [r.final_reasoning for r in found if r.id == 3] == ["Based on 1 relevant memories and 0 pattern matches, I can provide a confident response about 'note'"]
     rules = spark.createDataFrame([("p1", "a", "x", ["K", "k", "l"]), ("p2", "b", None, ["m"]), ("p3", "c", "x", [])], "pattern_id string, name string, regex string, keyword_list array<string>")
     assert sorted(r.keyword for r in memory.rule_keywords(memory.eligible(rules)).collect()) == ["K", "k", "l"]
@@ -262,6 +269,9 @@ def test_positions_of_any_ordered_column(spark, monkeypatch, rows):
 
 
 def test_folder_is_ingested_indexed_and_searched(spark, tmp_path):
+    def failing(content):
+        raise ValueError(f"broken at {len(content)} bytes")
+
     source, folder = tmp_path / "in", str(tmp_path / "store")
     os.makedirs(source)
     (source / "b.txt").write_text("Recent Posts the plan of the day " + "x" * 1200)
@@ -270,30 +280,36 @@ def test_folder_is_ingested_indexed_and_searched(spark, tmp_path):
     (source / "bad.txt").write_bytes(b"\xff\xfe\xff")
     (source / "d.pdf").write_text("page one")
     (source / "e.docx").write_text("word")
+    with zipfile.ZipFile(source / "g.docx", "w") as packed:
+        packed.writestr("word/document.xml", DOCX)
+    (source / "h.tex").write_text("raises")
     with pytest.raises(FileNotFoundError):
         ingest.ingest_folder(spark, str(tmp_path / "nowhere"), folder)
-    extractors = {".pdf": F.upper(F.col("content").cast("string"))}
+    extractors = {".pdf": F.upper(F.col("content").cast("string")), ".tex": failing}
     rows = {r.file_name: r for r in ingest.ingest_folder(spark, str(source), folder, extractors=extractors).collect()}
     ids = {name: r.document_id for name, r in rows.items()}
-    assert ids == {"a.txt": "DOC-000001", "b.txt": "DOC-000002", "c.txt": "DOC-000001", "d.pdf": "DOC-000003", "bad.txt": None, "e.docx": None}
-    assert rows["bad.txt"].error == "not UTF-8" and rows["e.docx"].error == "no extractor for .docx" and rows["a.txt"].error is None
+    assert ids == {"a.txt": "DOC-000001", "b.txt": "DOC-000002", "c.txt": "DOC-000001", "d.pdf": "DOC-000003", "g.docx": "DOC-000004", "bad.txt": None, "e.docx": None, "h.tex": None}
+    assert rows["bad.txt"].error == "not UTF-8" and rows["e.docx"].error.startswith("BadZipFile") and rows["a.txt"].error is None
+    assert rows["h.tex"].error == "ValueError: broken at 6 bytes"
     documents = {r.document_id: r for r in tables.stored(spark, folder, "documents").collect()}
-    assert set(documents) == {"DOC-000001", "DOC-000002", "DOC-000003"} and documents["DOC-000001"].title == "a.txt" and documents["DOC-000002"].team_owner == "UNKNOWN"
+    assert set(documents) == {"DOC-000001", "DOC-000002", "DOC-000003", "DOC-000004"} and documents["DOC-000001"].title == "a.txt" and documents["DOC-000002"].team_owner == "UNKNOWN"
     chunks = tables.stored(spark, folder, "chunks")
-    assert sorted(r.chunk_id for r in chunks.collect()) == ["DOC-000001-CH-000001", "DOC-000002-CH-000001", "DOC-000002-CH-000002", "DOC-000003-CH-000001"]
+    assert sorted(r.chunk_id for r in chunks.collect()) == ["DOC-000001-CH-000001", "DOC-000002-CH-000001", "DOC-000002-CH-000002", "DOC-000003-CH-000001", "DOC-000004-CH-000001"]
+    assert chunks.filter("document_id = 'DOC-000004'").first().text == "The plan\nof all"  # cleaning makes tabs blanks
     assert chunks.filter("document_id = 'DOC-000003'").first().text == "PAGE ONE" and not chunks.filter("text like '%Recent Posts%'").count()
 
     (source / "f.txt").write_text("a new one")
     ingest.ingest_folder(spark, str(source), folder, "*.txt").collect()
-    assert tables.stored(spark, folder, "documents").count() == 4 and tables.stored(spark, folder, "chunks").count() == 5
+    assert tables.stored(spark, folder, "documents").count() == 5 and tables.stored(spark, folder, "chunks").count() == 6
 
     chunks = {r.chunk_id: r.text for r in tables.stored(spark, folder, "chunks").collect()}
     for version in os.listdir(tmp_path / "store" / "chunks"):  # as if a run had failed before its chunks were complete
         os.remove(tmp_path / "store" / "chunks" / version / "_SUCCESS")
-    (source / "0.txt").write_text("an earlier name")
-    ingest.ingest_folder(spark, str(source), folder, extractors=extractors).collect()
+    os.makedirs(tmp_path / "other")
+    (tmp_path / "other" / "0.txt").write_text("an earlier name")  # another folder's run makes good for the first one's
+    ingest.ingest_folder(spark, str(tmp_path / "other"), folder).collect()
     again = {r.chunk_id: r.text for r in tables.stored(spark, folder, "chunks").collect()}
-    assert again == chunks | {"DOC-000005-CH-000001": "an earlier name"}
+    assert again == chunks | {"DOC-000006-CH-000001": "an earlier name"}
 
     embed = lambda text: F.array(F.char_length(text), F.lit(1))
     ingest.index_stored(spark, folder, embed)
@@ -334,3 +350,66 @@ def test_processing(spark):
     assert got[3].document_type == "other" and got[3].title is None
     plain = {r.doc_id: r for r in processing.process_documents(docs, rules[1:], ["doc_id"]).collect()}
     assert (plain[1].confidence_score, plain[1].blast_radius, plain[1].term_frequency, plain[2].confidence_score) == (0.85, 0.5, 0.5, 0.0)
+
+
+def test_pages_of_files_are_rows_with_errors(spark):
+    """Pages before a failure are kept, and other files go on."""
+
+    def parser(content):
+        for number, page in enumerate(content.decode().split("|")):
+            if page == "bad":
+                raise RuntimeError(f"page {number + 1}")
+            yield page
+
+    files = spark.createDataFrame([("a.x", b"one|two"), ("b.x", b"one|bad|three"), ("c.y", b"other"), ("d.X", b"bad")], "path string, content binary")
+    got = sorted(tuple(r) for r in read_pages(files, {".x": parser}).collect())
+    assert got == [("a.x", 1, "one", None), ("a.x", 2, "two", None), ("b.x", 1, "one", None), ("b.x", 2, None, "RuntimeError: page 2"), ("d.X", 1, None, "RuntimeError: page 1")]
+    assert read_pages(files.limit(0), {".x": parser}).count() == 0 and docx_pages.__doc__
+
+
+def test_substrings_match_a_scan(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abAé🎉 .") for _ in range(rng.randrange(0, 40))) for _ in range(150)] + ["", "aaaa", "A.*b", None]
+    entries = [(k, t, {"k": rng.choice(texts)} if k % 3 else None) for k, t in enumerate(texts)]
+    asked = sorted({t[i : i + n].lower() for t in texts[:60] if t for n in (1, 2, 3, 4, 7, 12) for i in [rng.randrange(len(t))]} | {"", "aaa", ".*", "zzz", "aaaaa"})
+    rows = spark.createDataFrame(entries, "id int, content string, context map<string,string>")
+    known = substrings.fields(rows, "id")
+    got = sorted((r.asked, r.entry) for r in substrings.containing(spark.createDataFrame([(a,) for a in asked] + [(None,)], "asked string"), substrings.postings(known), known).collect())
+    holds = lambda a, t: t is not None and a in t.lower()
+    assert got == sorted((a, k) for a in asked for k, t, c in entries if holds(a, t) or any(holds(a, v) for v in (c or {}).values()))
+
+
+def test_substring_plan_has_no_nested_loop(spark):
+    rows = spark.createDataFrame([(1, "text", {})], "id int, content string, context map<string,string>")
+    known = substrings.fields(rows, "id")
+    plan = substrings.containing(spark.createDataFrame([("ex",)], "asked string"), substrings.postings(known), known)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_stored_memory_is_searched_by_its_index(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(f"note {k} about topic {k % 7}", {"who": "Ann" if k % 5 else "BOB"}) for k in range(60)]
+    for part in (rows[:40], rows[40:]):
+        memory.store_memory(spark, folder, spark.createDataFrame(part, "content string, context map<string,string>"))
+    entries = tables.stored(spark, folder, "memory")
+    for query in ("topic 3", "bob", "NOTE 1", "o", "", "nothing"):
+        want = sorted(r.content for r in memory.remembered(entries, query).collect())
+        assert sorted(r.content for r in substrings.search_memory(spark, folder, query).collect()) == want
+    count = tables.stored(spark, folder, "memory_grams").count()
+    substrings.index_memory(spark, folder)
+    assert tables.stored(spark, folder, "memory_grams").count() == count
+    with pytest.raises(Exception, match="lost"):  # memory is stored, its postings aren't
+        broken = F.when(F.length("content") > 0, F.raise_error(F.lit("lost")).cast("string"))
+        tables.store(spark, folder, "memory_grams", entries.select(broken.alias("gram"), "memory_id", F.lit(0).alias("field"), F.lit(0).alias("place")))
+    assert tables.stored(spark, folder, "memory_grams").count() == count
+
+
+def test_columns_named_like_helpers_stay(spark):
+    own = ["row", "by", "slice", "rank", "before", "key", "late", "s", "size", "tokens", "asked", "n", "mean", "tf0", "repeated"]
+    extra = [F.lit(f"own {c}").alias(c) for c in own]
+    kept = lambda df: all(r[c] == f"own {c}" for r in df.collect() for c in own if c in df.columns) and set(own) <= set(df.columns)
+    chunks = spark.createDataFrame([("a", "d", 1, "the plan"), ("b", "d", 2, "plan of")], "chunk_id string, document_id string, sequence int, text string").select("*", *extra)
+    assert kept(lexical.search(chunks, "plan the", 3)) and kept(identity.positions(chunks, "chunk_id")) and kept(tables.upsert(chunks, chunks, ["chunk_id"])) and kept(agents.without_repeats(chunks, ["chunk_id"], "chunk"))
+    assert processing.query_documents(chunks, "plan", 2, ["chunk_id", "row"], "s", kind="rank").first().type == "own rank"
+    done = processing.process_documents(chunks.withColumn("path", F.lit("a.txt")), [processing.Rule("p", "x", ("plan",))], ["s", "row"]).first()
+    assert (done.s, done.row, len(done.process_id), done.created_at[-1]) == ("own s", "own row", 36, "Z")
