@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from marlpit.llm.common import text_or_empty, written
 
-#: Trigrams are hashed to so many numbers. Their log-likelihood counts in full up to so many trigrams of a page.
-TRIGRAMS, FULL = 1 << 14, 200
+#: Trigrams are hashed to so many numbers.
+TRIGRAMS = 1 << 14
+#: What trigrams of one page say is in part the same. n of them count as n INDEPENDENT / (n + INDEPENDENT) independent ones,
+#: at every n: nearly all of a few, and of however many no more than this number.
+INDEPENDENT = 400
 #: Pseudo-counts: of a trigram, of evidence given a language, of the wider prior at a host or domain.
 TRIGRAM_ALPHA, EVIDENCE_ALPHA, PRIOR_ALPHA = 0.5, 1.0, 5.0
 # Elements whose content is no text of a page, and those that hold it.
@@ -90,7 +93,7 @@ class TextModel:
         found = trigrams(text)
         if not len(found):
             return np.zeros(len(self.languages))
-        return self.logs[:, found].sum(1) * (min(len(found), FULL) / len(found))
+        return self.logs[:, found].sum(1) * (INDEPENDENT / (len(found) + INDEPENDENT))
 
 
 def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:

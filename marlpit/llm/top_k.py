@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from marlpit.llm.common import written
 
-SHARD_ROWS, GROUP_ROWS, PILOT_ROWS, BLOCK = 8192, 4096, 2048, 1024
+#: Components of all vectors of a shard, of a group of queries and of the pilot, about; vectors that are scored at once.
+SHARD, GROUP, PILOT, BLOCK = 8192 * 64, 4096 * 64, 2048 * 64, 1024
 #: Shares of the coordinates after which pairs are judged.
 PARTS = (0.5, 0.75)
 
@@ -120,7 +121,8 @@ def packed(rows: DataFrame, by: str, more: str = "") -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # one by one: each holds the vectors of a shard or group
+                row = batch.slice(at, 1).to_pylist()[0]
                 items = row["items"]
                 out = {by: [row[by]], "uids": [np.array([x["uid"] for x in items], np.int64).tobytes()], "ids": [np.array([x["id"] for x in items], np.int64).tobytes()], "whole": [b"".join(x["whole"] for x in items)]}
                 if more:
@@ -157,7 +159,7 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 5, scale: flo
     vectors = written(taken.mapInArrow(to_bytes, "uid long, id long, asks boolean, whole binary, length double"))
     values, axes = np.linalg.eigh(outer_sums(vectors, width))
     rotation = axes[:, np.argsort(-values)]
-    longest = vectors.select("uid", "id", "whole", "length").orderBy(F.desc("length"), "uid").limit(PILOT_ROWS).collect()
+    longest = vectors.select("uid", "id", "whole", "length").orderBy(F.desc("length"), "uid").limit(max(k + 1, PILOT // width)).collect()
     pilot = spark.sparkContext.broadcast((matrix([x.whole for x in longest]), np.array([x.uid for x in longest], np.int64), np.array([x.id for x in longest], np.int64)))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 5, scale: flo
             yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "id": batch.column("id"), "whole": batch.column("whole"), "least": pa.array(least)})
 
     asks = vectors.filter("asks").select("uid", "id", "whole").mapInArrow(start, "uid long, id long, whole binary, least double")
-    shards, groups = max(1, math.ceil(number / SHARD_ROWS)), max(1, math.ceil(asking / GROUP_ROWS))
+    shards, groups = max(1, math.ceil(number * width / SHARD)), max(1, math.ceil(asking * width / GROUP))
     place = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     held = packed(vectors.withColumn("shard", place(shards)), "shard").withColumn("group", every(groups))

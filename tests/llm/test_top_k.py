@@ -22,7 +22,7 @@ def brute(rows, k):
 
 @pytest.mark.parametrize("shape", ["even", "skewed"])
 def test_matches_brute_force(spark, monkeypatch, shape):
-    for name, n in {"SHARD_ROWS": 150, "GROUP_ROWS": 5, "PILOT_ROWS": 20, "BLOCK": 32}.items():
+    for name, n in {"SHARD": 150 * 16, "GROUP": 5 * 16, "PILOT": 20 * 16, "BLOCK": 32}.items():
         monkeypatch.setattr(top_k, name, n)
     data = np.random.default_rng(3)
     x = data.normal(size=(700, 16))
@@ -41,3 +41,21 @@ def test_few_rows(spark):
     assert [tuple(r) for r in top_inner_products(table, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert top_inner_products(table.filter("vec_id = 1"), F.col("vec_id") % 50 == 0).count() == 0
     assert top_inner_products(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_wide_vectors_have_smaller_shards(spark, monkeypatch):
+    """1,024 columns: shards are bounded by their components, not by rows."""
+    made = []
+    kept = top_k.packed
+    monkeypatch.setattr(top_k, "packed", lambda rows, by, more="": (made.append((by, rows.select(by).distinct().count())), kept(rows, by, more))[1])
+    data = np.random.default_rng(5).normal(size=(1200, 1024))
+    rows = [(i, [float(v) for v in np.float32(row)]) for i, row in enumerate(data)]
+    got = top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert dict(made)["shard"] == math.ceil(1200 * 1024 / top_k.SHARD) > 1
+    whole = np.floor(256 * np.float32(data).astype(float)).astype(np.int64)
+    scores = whole[::50] @ whole.T
+    for r in got:
+        assert scores[r.query_id // 50, r.vec_id] == r.score
+    for q in range(24):
+        scores[q, 50 * q] = np.iinfo(np.int64).min
+    assert sorted((r.query_id, -r.rank, r.score) for r in got) == sorted((50 * q, -k - 1, s) for q in range(24) for k, s in enumerate(np.sort(scores[q])[::-1][:5].tolist()))
