@@ -41,9 +41,32 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 RANGE_ROWS, RANGES_MOST = 2_000, 16_384
 
 
-@lru_cache(maxsize=1)
-def powers() -> np.ndarray:
-    return np.cumprod(np.full(LONGEST << HIGHEST, ODD, np.uint64))
+@lru_cache(maxsize=4)
+def powers_to(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """ODD to the powers from 1 on, and to those from 0 on downwards, modulo 2 ** 64."""
+    back = np.full(size, pow(int(ODD), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    return np.cumprod(np.full(size, ODD, np.uint64)), np.cumprod(back)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n of them; a worker keeps those of some sizes."""
+    return powers_to(1 << n.bit_length())
+
+
+def cut_long(stops: np.ndarray, longest: int) -> np.ndarray:
+    """Ends of runs, of which none is longer than that."""
+    sizes = stops.copy()
+    sizes[1:] -= stops[:-1]
+    long = np.flatnonzero(sizes > longest)
+    if not len(long):
+        return stops
+    number = (sizes[long] - 1) // longest
+    before = np.cumsum(number) - number
+    within = np.arange(1, before[-1] + number[-1] + 1)
+    stops = np.concatenate([stops, np.repeat(stops[long] - sizes[long] - before * longest, number) + within * longest])
+    stops.sort()
+    return stops
 
 
 def digest(parts: bytes) -> bytes:
@@ -120,22 +143,20 @@ class Tree:
         mixed ^= mixed >> np.uint64(29)
         mixed[ends] = 0  # of no weight: a run at a paragraph's end is marked like one inside
         signed = signs(codes, ends)
+        up, down = powers(len(codes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(codes)])])  # a run's hash is a difference of two
         self.marks: dict[int, np.ndarray] = {}
         self.borders: dict[int, np.ndarray] = {}  # of paragraphs, as numbers of runs
         for level in marked(self.n):
             last = (signed & np.uint32((1 << level) - 1)) == 0
             last[np.maximum(ends - 1, 0)] = False  # a paragraph's end alone is no run
             last[ends] = True
-            stops = np.flatnonzero(last) + 1
-            sizes = np.diff(stops, prepend=0)
-            within = np.arange(len(codes)) - np.repeat(stops - sizes, sizes)
-            if sizes.max() > LONGEST << level:
-                within %= LONGEST << level
-                stops = np.flatnonzero(last | (within == (LONGEST << level) - 1)) + 1
-            runs = np.add.reduceat(mixed * powers()[within], np.concatenate([[0], stops[:-1]]))
+            stops = cut_long(np.flatnonzero(last) + 1, LONGEST << level)
+            starts = np.concatenate([[0], stops[:-1]])
+            runs = (sums[stops] - sums[starts]) * down[starts]
             marks = ((runs ^ (runs >> np.uint64(32))) * ODD >> np.uint64(64 - self.bits)).astype(np.uint32)
             borders = np.concatenate([[0], np.searchsorted(stops, ends + 1) + 1])
-            alone = np.diff(borders) == 1
+            alone = borders[1:] - borders[:-1] == 1
             marks[borders[:-1][alone]] = names[alone]  # the paragraph's digest is the mark of its only run
             self.marks[level], self.borders[level] = marks, borders
 
