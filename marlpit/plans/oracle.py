@@ -215,6 +215,10 @@ ORACLE_SQL = {
     "index_statistics": f"""WITH {DOCUMENTS}, {chunked(name="old")}, {chunked("substring(text, 1, greatest(0, length(text) - 500))", "again")},
         chunks AS (SELECT * FROM (SELECT * FROM again UNION ALL SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM again)) WHERE sequence <> 2), {POSTINGS} SELECT term, df::BIGINT AS df, cf::BIGINT AS cf FROM frequency""",
     "vector_topk": f"WITH {VECTORS} SELECT chunk_id, {COSINE} AS score FROM vectors, probe WHERE NOT isnan({COSINE}) ORDER BY score DESC, chunk_id LIMIT 5",
+    "vector_search_many": """SELECT vec_id, rank, chunk_id, round(score, 5) AS score FROM (
+        SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, chunk_id))::INT AS rank FROM (
+            SELECT q.vec_id, c.vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+            FROM embeddings AS q, embeddings AS c WHERE q.vec_id % 20 = 0) WHERE NOT isnan(score)) WHERE rank <= 5""",
     "vector_chunk_join": f"WITH {CHUNKS}, {VECTORS} SELECT chunk_id, document_id, len(embedding)::INT AS dimensions, text FROM vectors JOIN chunks USING (chunk_id)",
     "vector_json": f"WITH {VECTORS} SELECT chunk_id, len(embedding)::INT AS dimensions, round(list_sum(embedding), 4) AS total FROM vectors",
     "hybrid_topk": f"WITH {HYBRID} SELECT chunk_id, document_id, score FROM ({top_fused(5)})",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval, substrings
+from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval, substrings, vector_index
 from marlpit.plans import constants as C
 from marlpit.sources import tables
 from marlpit.sources.scratch import scratch_folder
@@ -143,6 +143,16 @@ def vector_topk(spark, sf_dir):
     return retrieval.dense_search(vectors(spark, sf_dir), probe(spark, sf_dir), 5).select("chunk_id", "score")
 
 
+def vector_search_many(spark, sf_dir):
+    """The nearest vectors to every twentieth one, by a stored inverted file that a second part came into."""
+    folder, own = scratch_folder(spark), table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    late = F.pmod(F.xxhash64("chunk_id"), F.lit(4)) == 0
+    vector_index.update_vectors(spark, folder, own.filter(~late))
+    vector_index.update_vectors(spark, folder, own.filter(late))
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
+    return vector_index.search_vectors(spark, folder, asked, "vec_id", "embedding", 5).withColumn("score", F.round("score", 5))
+
+
 def vector_chunk_join(spark, sf_dir):
     return retrieval.with_chunks(vectors(spark, sf_dir), chunks(spark, sf_dir)).select("chunk_id", "document_id", F.size("embedding").alias("dimensions"), "text")
 
@@ -351,7 +361,7 @@ def self_test(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
+        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_search_many, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
         blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, memory_index_search, think_summary, feedback_memory, rules_eligible,
         graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )
