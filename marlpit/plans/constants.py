@@ -10,6 +10,7 @@ PROBE = 7
 KNOWN = 50
 NODE = "nation-3"
 DOCUMENT = "DOC-000042"
+LOOKED_UP = (7, 10, 42, 60, 999_999)
 UNRULED_FORMS = (None, None, None)
 FORMS = ("x", None, "x")
 FRAME_HEAD = " \tCARE Knowledge  Base\nrecent posts\nEnter a search term and go\n\n\n"

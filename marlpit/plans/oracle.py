@@ -187,6 +187,10 @@ def processed(eligible: bool) -> str:
         CASE WHEN {unread} THEN '' ELSE {quoted(names)} END AS patterns_found, {', '.join(values)} FROM (SELECT *, {EXTENSION} AS extension FROM (SELECT *, {path} AS path FROM documents))"""
 
 
+#: Eligible rules have a form, which every third part has, and keywords, which every fifth lacks.
+RULE_ROWS = "SELECT 'p' || p_partkey AS pattern_id, p_brand AS name, string_split(p_name, ' ') AS words FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0"
+
+
 ORACLE_SQL = {
     "chunk_documents": f"WITH {CHUNKS} SELECT * FROM chunks",
     "chunk_load_order": f"WITH {CHUNKS} SELECT chunk_id, document_id, sequence, char_start, char_end FROM chunks ORDER BY document_id, sequence",
@@ -215,7 +219,7 @@ ORACLE_SQL = {
     "index_statistics": f"""WITH {DOCUMENTS}, {chunked(name="old")}, {chunked("substring(text, 1, greatest(0, length(text) - 500))", "again")},
         chunks AS (SELECT * FROM (SELECT * FROM again UNION ALL SELECT * FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM again)) WHERE sequence <> 2), {POSTINGS} SELECT term, df::BIGINT AS df, cf::BIGINT AS cf FROM frequency""",
     "vector_topk": f"WITH {VECTORS} SELECT chunk_id, {COSINE} AS score FROM vectors, probe WHERE NOT isnan({COSINE}) ORDER BY score DESC, chunk_id LIMIT 5",
-    "vector_search_many": """SELECT vec_id, rank, chunk_id, round(score, 5) AS score FROM (
+    "vector_search_many": """SELECT vec_id, rank, chunk_id, score FROM (
         SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, chunk_id))::INT AS rank FROM (
             SELECT q.vec_id, c.vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
             FROM embeddings AS q, embeddings AS c WHERE q.vec_id % 20 = 0) WHERE NOT isnan(score)) WHERE rank <= 5""",
@@ -247,7 +251,7 @@ ORACLE_SQL = {
     "memory_index_search": f"""SELECT asked, count(*) AS memories FROM (SELECT DISTINCT asked FROM (SELECT lower(substring(text, 1, 12)) AS asked FROM benchmark UNION ALL SELECT * FROM (VALUES {', '.join(f'({quoted(x)})' for x in C.NEEDLES)}) AS v(asked))) AS a
         JOIN conversations AS c ON contains(lower(c.text), asked) OR contains(lower(c.role), asked) GROUP BY asked""",
     "feedback_memory": f"SELECT doc_id, content, 'user_feedback' AS feedback_type, is_correct, 'u1' AS user_id, coalesce(comments, '-') AS comments, (4 + (comments IS NOT NULL)::INT)::INT AS n_context, 0.85::DOUBLE AS confidence FROM ({FEEDBACK})",
-    "rules_eligible": "SELECT * FROM (VALUES " + ", ".join(f"('p{k}', {quoted(w)})" for k, (_, ws) in enumerate(C.RULES) if C.FORMS[k] for w in dict.fromkeys([*ws, ws[0].upper()])) + ") AS v(pattern_id, keyword)",
+    "rules_eligible": f"""SELECT DISTINCT pattern_id, unnest(words || [upper(words[1])]) AS keyword FROM ({RULE_ROWS})""",
     "graph_upsert": f"""WITH {NODES}, changed AS (SELECT 'nation-' || (n_nationkey + 3) AS id, n_name AS name, 'metric' AS entity_type, 'new' AS description, '-' AS owner, -1 AS n_metadata FROM nation WHERE n_nationkey >= 20)
         SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM changed) UNION ALL SELECT * FROM changed""",
     "graph_relationship_upsert": f"""WITH {EDGES} SELECT source_id, target_id, relation_type, CASE WHEN source_id LIKE 'nation-%' THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM edges
@@ -259,10 +263,11 @@ ORACLE_SQL = {
     "classify_extension": f"""SELECT page_id, file_name, {mapped(T.DOCUMENT_TYPES, 'other')} AS document_type, {mapped(T.MIME_TYPES, T.UNKNOWN_MIME)} AS mime_type FROM (
         SELECT page_id, {NAME} AS file_name, {EXTENSION} AS extension FROM (SELECT page_id, regexp_replace(url, '[?#].*', '') || {picked(C.EXTENSIONS, 'page_id')} AS path FROM pages))""",
     "page_texts": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') <> '' GROUP BY conv_id",
+    "stored_lookup": f"WITH {DOCUMENTS} SELECT document_id, CASE WHEN document_id LIKE '%0' THEN upper(title) ELSE title END AS title, source_path FROM docs WHERE document_id IN ({', '.join(quoted(f'DOC-{k:06d}') for k in C.LOOKED_UP)})",
     "point_lookup_document": f"WITH {DOCUMENTS} SELECT document_id, title, source_path FROM docs WHERE document_id = '{C.DOCUMENT}'",
     "chunk_upsert": f"""WITH {DOCUMENTS}, {chunked()}, {chunked("substring(text, 1, greatest(0, length(text) - 500))", "again")}
         SELECT chunk_id, char_end, length(text) AS n_chars FROM again UNION ALL SELECT chunk_id, char_end, length(text) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM again)""",
     "process_documents": processed(True),
     "process_documents_unruled": processed(False),
-    "self_test": f"SELECT true AS passed, {int(len(C.RULES) < 5)}::INT AS n_issues, " + ", ".join(f"{v}::DOUBLE AS {k}" for k, v in C.SELF_TEST.items()),
+    "self_test": f"SELECT name, count(*) AS rules, true AS passed, (count(*) < 5)::INT AS n_issues, " + ", ".join(f"{v}::DOUBLE AS {k}" for k, v in C.SELF_TEST.items()) + f" FROM ({RULE_ROWS}) GROUP BY name",
 }

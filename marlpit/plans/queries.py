@@ -150,7 +150,7 @@ def vector_search_many(spark, sf_dir):
     vector_index.update_vectors(spark, folder, own.filter(~late))
     vector_index.update_vectors(spark, folder, own.filter(late))
     asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
-    return vector_index.search_vectors(spark, folder, asked, "vec_id", "embedding", 5).withColumn("score", F.round("score", 5))
+    return vector_index.search_vectors(spark, folder, asked, "vec_id", "embedding", 5)
 
 
 def vector_chunk_join(spark, sf_dir):
@@ -260,10 +260,16 @@ def feedback_memory(spark, sf_dir):
     return found.select("doc_id", "content", *values.values(), F.size("context").alias("n_context"), "confidence")
 
 
+def stored_rules(spark, sf_dir):
+    """A rule for each part: some have no form, some no keywords, some keywords twice or in other letters."""
+    key, words = F.col("p_partkey"), F.split("p_name", " ")
+    form = F.when(key % 3 == 0, F.col("p_type")).when(key % 3 == 1, F.lit(""))
+    keywords = F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(F.concat(words, words, F.array(F.upper(F.get(words, F.lit(0))))))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key).alias("pattern_id"), F.col("p_brand").alias("name"), form.alias("regex"), keywords.alias("keyword_list"))
+
+
 def rules_eligible(spark, sf_dir):
-    rows = [(f"p{k}", name, form, [*words, *words[:1], words[0].upper()]) for k, ((name, words), form) in enumerate(zip(C.RULES, C.FORMS, strict=True))]
-    rules = spark.createDataFrame(rows, "pattern_id string, name string, regex string, keyword_list array<string>")
-    return memory.rule_keywords(memory.eligible(rules)).select("pattern_id", "keyword")
+    return memory.rule_keywords(memory.eligible(stored_rules(spark, sf_dir))).select("pattern_id", "keyword")
 
 
 def graph_rows(spark, sf_dir):
@@ -323,6 +329,16 @@ def page_texts(spark, sf_dir):
     return tables.pages_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
+def stored_lookup(spark, sf_dir):
+    """A few documents by id from a stored table of two versions, the second of which changed every tenth row."""
+    folder, rows = scratch_folder(spark), document_rows(spark, sf_dir).withColumn("last_updated", F.lit(None).cast("timestamp_ntz"))
+    tables.store(spark, folder, "documents", rows)
+    tables.compact(spark, folder, "documents")
+    tables.store(spark, folder, "documents", rows.filter("document_id like '%0'").withColumn("title", F.upper("title")))
+    wanted = [f"DOC-{k:06d}" for k in C.LOOKED_UP]
+    return tables.lookup(spark, folder, "documents", wanted).select("document_id", "title", "source_path")
+
+
 def point_lookup_document(spark, sf_dir):
     return documents(spark, sf_dir).filter(F.col("document_id") == C.DOCUMENT).select("document_id", "title", "source_path")
 
@@ -353,9 +369,10 @@ def process_documents_unruled(spark, sf_dir):
 
 
 def self_test(spark, sf_dir):
-    """The fixed self-test row: constants, with an issue if there are fewer than five rules."""
-    issues = F.array(*[F.lit(x) for x in ([C.FEW_RULES] if len(C.RULES) < 5 else [])]).cast("array<string>")
-    return spark.range(1).select(F.lit(True).alias("passed"), F.size(issues).alias("n_issues"), *[F.lit(v).alias(k) for k, v in C.SELF_TEST.items()])
+    """The self-test row of each brand's rules: constants, with an issue if there are fewer than five rules."""
+    issues = F.when(F.col("rules") < 5, F.array(F.lit(C.FEW_RULES))).otherwise(F.array().cast("array<string>"))
+    counted = memory.eligible(stored_rules(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("rules"))
+    return counted.select("name", "rules", F.lit(True).alias("passed"), F.size(issues).alias("n_issues"), *[F.lit(v).alias(k) for k, v in C.SELF_TEST.items()])
 
 
 QUERIES = {
@@ -363,6 +380,6 @@ QUERIES = {
     for f in (
         chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_search_many, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
         blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, memory_index_search, think_summary, feedback_memory, rules_eligible,
-        graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
+        graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, stored_lookup, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )
 }

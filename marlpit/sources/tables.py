@@ -24,9 +24,10 @@ SCHEMAS = {
 }
 KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "chunks": ["chunk_id"], "vectors": ["chunk_id"], "files": ["path"], "memory": ["memory_id"], "memory_grams": ["gram", "memory_id", "field", "place"], "graph_entities": ["id"], "graph_relationships": ["source_id", "target_id", "relation_type"]}
 
-#: Tables whose keys never come twice, so that versions are only put together; and columns by whose order files are cut.
+#: Tables whose keys never come twice, so that versions are only put together.
 ADDED = {"memory_grams"}
-ORDERED = {"memory_grams": "gram"}
+#: Rows in a page of a stored file: a reader skips pages that can't hold the keys that it is asked for.
+PAGE_ROWS = 1_000
 
 #: Extensions whose files need a parser.
 PARSED = (".pdf", ".doc", ".docx")
@@ -71,10 +72,20 @@ def mark_complete(spark: SparkSession, path: str) -> None:
 
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored table: of each key the row of its last version. An empty one with its schema if it isn't there yet."""
+    return _latest(spark, folder, name, F.lit(True))
+
+
+def lookup(spark: SparkSession, folder: str, name: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of a stored table by values of its first key column. Files are in the order of keys, so that readers open the
+    few row groups and pages that can hold these; versions are put together for these alone."""
+    return _latest(spark, folder, name, F.col(KEYS[name][0]).isin(list(keys)))
+
+
+def _latest(spark: SparkSession, folder: str, name: str, wanted: Column) -> DataFrame:
     versions = versions_of(spark, folder, name)
     if not versions:
         return spark.createDataFrame([], SCHEMAS[name])
-    rows = spark.read.schema(f"{SCHEMAS[name]}, _version long").parquet(*[path for _, path in versions])
+    rows = spark.read.schema(f"{SCHEMAS[name]}, _version long").parquet(*[path for _, path in versions]).filter(wanted)
     if len(versions) > 1 and name not in ADDED:
         columns = [c for c in rows.columns if c != "_version"]
         return rows.groupBy(*KEYS[name]).agg(F.max_by(F.struct(*columns), "_version").alias("row")).select("row.*")
@@ -95,9 +106,10 @@ def store(spark: SparkSession, folder: str, name: str, incoming: DataFrame) -> N
 
 def _write(rows: DataFrame, folder: str, name: str, number: int, kind: str) -> None:
     columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-    if name in ORDERED:
-        rows = rows.repartitionByRange(ORDERED[name]).sortWithinPartitions(ORDERED[name])
-    rows.select(*columns, F.lit(number).cast("long").alias("_version")).write.mode("overwrite").parquet(f"{folder}/{name}/{number:08d}-{kind}")
+    if kind == "full" or name in ADDED:
+        rows = rows.repartitionByRange(KEYS[name][0])  # each file has a range of keys
+    placed = rows.select(*columns, F.lit(number).cast("long").alias("_version")).sortWithinPartitions(*KEYS[name])
+    placed.write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(f"{folder}/{name}/{number:08d}-{kind}")
 
 
 def compact(spark: SparkSession, folder: str, name: str) -> None:

@@ -413,3 +413,19 @@ def test_columns_named_like_helpers_stay(spark):
     assert processing.query_documents(chunks, "plan", 2, ["chunk_id", "row"], "s", kind="rank").first().type == "own rank"
     done = processing.process_documents(chunks.withColumn("path", F.lit("a.txt")), [processing.Rule("p", "x", ("plan",))], ["s", "row"]).first()
     assert (done.s, done.row, len(done.process_id), done.created_at[-1]) == ("own s", "own row", 36, "Z")
+
+
+def test_a_lookup_reads_the_pages_of_its_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "PAGE_ROWS", 20)
+    folder, kind = str(tmp_path), tables.SCHEMAS["agents"]
+    agents_of = lambda ids, name: spark.createDataFrame([(f"a{k:04d}", name, None, None, None, None) for k in ids], kind)
+    tables.store(spark, folder, "agents", agents_of(range(2000), "first"))
+    tables.compact(spark, folder, "agents")
+    tables.store(spark, folder, "agents", agents_of(range(0, 2000, 2), "second"))
+    found = tables.lookup(spark, folder, "agents", ["a0003", "a0004", "zz"])
+    assert sorted((r.agent_id, r.name) for r in found.collect()) == [("a0003", "first"), ("a0004", "second")]
+    one = spark.read.parquet(tables.versions_of(spark, folder, "agents")[0][1]).filter("agent_id = 'a0003'")
+    one.collect()
+    leaves = one._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.apply(0).metrics().get("numOutputRows").get().value() <= 100  # of 2,000; a page has 100 rows at least
+    assert tables.lookup(spark, folder, "chunks", ["x"]).count() == 0
