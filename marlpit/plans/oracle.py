@@ -191,6 +191,9 @@ def processed(eligible: bool) -> str:
 RULE_ROWS = "SELECT 'p' || p_partkey AS pattern_id, p_brand AS name, string_split(p_name, ' ') AS words FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0"
 
 
+INDEXED = f"""WITH {CHUNKS}, {VECTORS} SELECT chunk_id, concat_ws(',', {', '.join(f"length(text) - length(replace(lower(text), '{v}', ''))" for v in 'aeiou')}) AS embedding
+        FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM vectors)"""
+
 ORACLE_SQL = {
     "chunk_documents": f"WITH {CHUNKS} SELECT * FROM chunks",
     "chunk_load_order": f"WITH {CHUNKS} SELECT chunk_id, document_id, sequence, char_start, char_end FROM chunks ORDER BY document_id, sequence",
@@ -205,8 +208,8 @@ ORACLE_SQL = {
         ), {chunked(of='rows')}, n AS (SELECT document_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM chunks GROUP BY 1)
         SELECT document_id, list_last(string_split(source_path, '/')) AS title, 'UNKNOWN' AS team_owner, 'UNKNOWN' AS document_type, 'Internal' AS visibility, '1.0.0' AS version, sha256, source_path,
             coalesce(n_chunks, 0) AS n_chunks, coalesce(n_chars, 0) AS n_chars FROM rows LEFT JOIN n USING (document_id)""",
-    "index_vectors": f"""WITH {CHUNKS}, {VECTORS} SELECT chunk_id, concat_ws(',', {', '.join(f"length(text) - length(replace(lower(text), '{v}', ''))" for v in 'aeiou')}) AS embedding
-        FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM vectors)""",
+    "index_vectors": INDEXED,
+    "index_vectors_model": INDEXED,
     "document_rows": f"WITH {DOCUMENTS} SELECT document_id, title, sha256, source_path, 'UNKNOWN' AS team_owner, 'UNKNOWN' AS document_type, 'Internal' AS visibility, '1.0.0' AS version FROM docs",
     "doc_term_frequency": f"WITH {CHUNKS}, {POSTINGS} SELECT term, df::BIGINT AS df, cf::BIGINT AS cf FROM frequency",
     "corpus_stats": f"WITH {CHUNKS}, {POSTINGS} SELECT n::BIGINT AS n_chunks, round(mean, 6) AS avg_tokens FROM stats",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.functions import scoring
 from marlpit.functions import text as T
 from marlpit.functions.vectors import cosine
-from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, processing, retrieval, substrings, vector_index
+from marlpit.operators import chunking, graph, identity, index, ingest, lexical, memory, models, processing, retrieval, substrings, vector_index
 from marlpit.plans import constants as C
 from marlpit.sources import tables
 from marlpit.sources.scratch import scratch_folder
@@ -98,6 +99,17 @@ def index_vectors(spark, sf_dir):
     return found.select("chunk_id", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("long").cast("string"))).alias("embedding"))
 
 
+def load_vowels():
+    """A stand-in for a model that is loaded: the same numbers as of `vowels`."""
+    return lambda texts: np.array([[float(t.lower().count(v)) for v in "aeiou"] for t in texts])
+
+
+def index_vectors_model(spark, sf_dir):
+    """Vectors by a model in batches."""
+    found = ingest.index_vectors(chunks(spark, sf_dir), vectors(spark, sf_dir), models.embedder(load_vowels))
+    return found.select("chunk_id", F.concat_ws(",", F.transform("embedding", lambda x: x.cast("long").cast("string"))).alias("embedding"))
+
+
 def document_rows(spark, sf_dir):
     return documents(spark, sf_dir).select("document_id", "title", "sha256", "source_path", *[F.lit(v).alias(k) for k, v in ingest.UNKNOWN.items()])
 
@@ -378,7 +390,7 @@ def self_test(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_search_many, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
+        chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, index_vectors_model, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_search_many, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
         blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, memory_index_search, think_summary, feedback_memory, rules_eligible,
         graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, stored_lookup, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )
