@@ -37,21 +37,26 @@ AIM, HIGHEST, LONGEST = 44, 7, 2
 DIGEST = 4
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 ODD = np.uint64(0x9E3779B97F4A7C15)
+POWERS_KEPT = 1 << 18
 #: Rows that are sorted and compared in one range of ids, and most ranges, about.
 RANGE_ROWS, RANGES_MOST = 2_000, 16_384
 
 
-@lru_cache(maxsize=4)
-def powers_to(size: int) -> tuple[np.ndarray, np.ndarray]:
+def made_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """ODD to the powers from 1 on, and to those from 0 on downwards, modulo 2 ** 64."""
     back = np.full(size, pow(int(ODD), -1, 1 << 64), np.uint64)
     back[0] = 1
     return np.cumprod(np.full(size, ODD, np.uint64)), np.cumprod(back)
 
 
+@lru_cache(maxsize=1)
+def kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return made_powers(POWERS_KEPT)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n of them; a worker keeps those of some sizes."""
-    return powers_to(1 << n.bit_length())
+    """At least n of them; a worker keeps those that all but the longest texts need."""
+    return kept_powers() if n <= POWERS_KEPT else made_powers(n)
 
 
 def cut_long(stops: np.ndarray, longest: int) -> np.ndarray:
