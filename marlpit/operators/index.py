@@ -18,9 +18,13 @@ that are hold all postings of each result, so their sums are whole scores. The r
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +81,20 @@ def _without_withdrawn(spark: SparkSession, found: list[Version], rows: DataFram
 
 def counted(chunks: DataFrame) -> DataFrame:
     """Chunks (chunk_id, document_id, sequence, text) with a digest, their size and the count of each word."""
-    held = chunks.select("chunk_id", "document_id", "sequence", F.sha2("text", 256).alias("digest"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("held"))
-    tf = lambda term: (F.size("held") - F.size(F.array_remove("held", term))).cast("int")
-    words = F.transform(F.array_distinct("held"), lambda term: F.struct(term.alias("term"), tf(term).alias("tf")))
-    return held.select("chunk_id", "document_id", "sequence", "digest", F.size("held").alias("size"), words.alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [Counter(words) for words in batch.column("held").to_pylist()]
+            ends = pa.array([0, *accumulate(map(len, held))], pa.int32())
+            terms = pa.array([term for words in held for term in words], pa.string())
+            tfs = pa.array([tf for words in held for tf in words.values()], pa.int32())
+            words = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([terms, tfs], ["term", "tf"]))
+            size = pa.array([words.total() for words in held], pa.int32())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("chunk_id", "document_id", "sequence", "digest")} | {"size": size, "words": words})
+
+    held = F.coalesce(tokens("text"), F.array().cast("array<string>"))
+    own = chunks.select("chunk_id", "document_id", F.col("sequence").cast("int").alias("sequence"), F.sha2("text", 256).alias("digest"), held.alias("held"))
+    return own.mapInArrow(count, "chunk_id string, document_id string, sequence int, digest string, size int, words array<struct<term:string,tf:int>>")
 
 
 def _differences(rows: DataFrame, sign: int) -> DataFrame:
