@@ -14,17 +14,18 @@ from marlpit.sources.scratch import written
 SLICE_ROWS, SLICES_MOST, SAMPLED = 100_000, 16_384, 16
 
 
-def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", order_col: str = "path") -> DataFrame:
+def register(files: DataFrame, registry: DataFrame, hash_col: str = "sha256", order_col: str = "path", counted: DataFrame | None = None) -> DataFrame:
     """(order, sha256, document_id, known) of every file.
 
     A hash that the registry holds keeps its document id. New hashes are numbered on from the registry's count, in the
     order of the first file that has them. Numbers come from counts by slices of the order, so no task sees all files.
-    A file without a hash has no document id and isn't known; it takes no number.
+    A file without a hash has no document id and isn't known; it takes no number. If the registry is given by those of its
+    rows alone that the files can have, `counted` has all of them.
     """
     own = written(files.select(F.col(order_col), F.col(hash_col).alias("sha256")))
     first = own.filter("sha256 is not null").groupBy("sha256").agg(F.min(order_col).alias("first"))
     fresh = written(first.join(registry.select("sha256").distinct(), "sha256", "left_anti"))
-    numbered = positions(fresh, "first").crossJoin(F.broadcast(registry.agg(F.count("*").alias("count"))))
+    numbered = positions(fresh, "first").crossJoin(F.broadcast((registry if counted is None else counted).agg(F.count("*").alias("count"))))
     ids = numbered.select("sha256", document_id(F.col("count") + F.col("position")).alias("document_id"), F.lit(False).alias("known"))
     old = registry.join(own.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.min("document_id").alias("document_id")).withColumn("known", F.lit(True))
     unread = own.filter("sha256 is null").select("sha256", order_col, F.lit(None).cast("string").alias("document_id"), F.lit(False).alias("known"))

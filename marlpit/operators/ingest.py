@@ -13,19 +13,19 @@ from marlpit.operators.chunking import chunk
 from marlpit.operators.identity import register
 from marlpit.sources.pages import Parser
 from marlpit.sources.scratch import written
-from marlpit.sources.tables import read_texts, store, stored
+from marlpit.sources.tables import members, read_texts, store, stored
 
 # What a registration says of a document that nothing more is known of.
 UNKNOWN = {"team_owner": "UNKNOWN", "document_type": "UNKNOWN", "visibility": "Internal", "version": "1.0.0"}
 
 
-def registered(files: DataFrame, registry: DataFrame) -> DataFrame:
+def registered(files: DataFrame, registry: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """(path, sha256, document_id, known) of files (path, sha256, error), written once, without texts.
 
     A file that gave no text isn't registered: it has no hash here and no document id.
     """
     readable = files.select("path", F.when(F.col("error").isNull(), F.col("sha256")).alias("sha256"))
-    return written(register(readable, registry))
+    return written(register(readable, registry, counted=counted))
 
 
 def document_rows(found: DataFrame) -> DataFrame:
@@ -62,7 +62,8 @@ def ingest_folder(spark: SparkSession, source: str, folder: str, pattern: str =
     store(spark, folder, "files", read_texts(spark, source, pattern, limit, extractors).withColumn("run", F.lit(run)))
     files = stored(spark, folder, "files")
     own = files.filter(F.col("run") == run).drop("run")
-    found = registered(own, stored(spark, folder, "documents").select("document_id", "sha256"))
+    known = members(spark, folder, "documents", own.filter("error is null").select("sha256"))
+    found = registered(own, known.select("document_id", "sha256"), stored(spark, folder, "documents").select("document_id"))
     store(spark, folder, "documents", document_rows(found))
     uncut = stored(spark, folder, "documents").select("document_id", "sha256").join(stored(spark, folder, "chunks").select("document_id"), "document_id", "left_anti")
     paths = files.filter("error is null").select("path", "sha256").join(uncut, "sha256").select("document_id", "path")

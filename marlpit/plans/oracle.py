@@ -267,6 +267,8 @@ ORACLE_SQL = {
         SELECT page_id, {NAME} AS file_name, {EXTENSION} AS extension FROM (SELECT page_id, regexp_replace(url, '[?#].*', '') || {picked(C.EXTENSIONS, 'page_id')} AS path FROM pages))""",
     "page_texts": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') <> '' GROUP BY conv_id",
     "stored_lookup": f"WITH {DOCUMENTS} SELECT document_id, CASE WHEN document_id LIKE '%0' THEN upper(title) ELSE title END AS title, source_path FROM docs WHERE document_id IN ({', '.join(quoted(f'DOC-{k:06d}') for k in C.LOOKED_UP)})",
+    "stored_membership": f"""WITH {DOCUMENTS}, kept AS (SELECT document_id, CASE WHEN document_id LIKE '%0' THEN sha256(sha256) ELSE sha256 END AS sha256 FROM docs)
+        SELECT sha256, min(document_id) AS document_id, count(*) AS n_documents FROM kept WHERE sha256 IN (SELECT sha256 FROM docs UNION ALL SELECT sha256(text) FROM benchmark) GROUP BY sha256""",
     "point_lookup_document": f"WITH {DOCUMENTS} SELECT document_id, title, source_path FROM docs WHERE document_id = '{C.DOCUMENT}'",
     "chunk_upsert": f"""WITH {DOCUMENTS}, {chunked()}, {chunked("substring(text, 1, greatest(0, length(text) - 500))", "again")}
         SELECT chunk_id, char_end, length(text) AS n_chars FROM again UNION ALL SELECT chunk_id, char_end, length(text) FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM again)""",

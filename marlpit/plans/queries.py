@@ -351,6 +351,16 @@ def stored_lookup(spark, sf_dir):
     return tables.lookup(spark, folder, "documents", wanted).select("document_id", "title", "source_path")
 
 
+def stored_membership(spark, sf_dir):
+    """Which contents of all documents and benchmark texts are stored, in a table whose second version changed some."""
+    folder, rows = scratch_folder(spark), document_rows(spark, sf_dir).withColumn("last_updated", F.lit(None).cast("timestamp_ntz"))
+    tables.store(spark, folder, "documents", rows)
+    tables.store(spark, folder, "documents", rows.filter("document_id like '%0'").withColumn("sha256", tables.sha256(F.col("sha256"))))
+    hashes = [table(spark, sf_dir, name).select(tables.sha256(F.col("text")).alias("sha256")) for name in ("documents", "benchmark")]
+    found = tables.members(spark, folder, "documents", hashes[0].unionByName(hashes[1]).distinct())
+    return found.groupBy("sha256").agg(F.min("document_id").alias("document_id"), F.count("*").alias("n_documents"))
+
+
 def point_lookup_document(spark, sf_dir):
     return documents(spark, sf_dir).filter(F.col("document_id") == C.DOCUMENT).select("document_id", "title", "source_path")
 
@@ -392,6 +402,6 @@ QUERIES = {
     for f in (
         chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, index_vectors_model, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_search_many, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
         blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, memory_index_search, think_summary, feedback_memory, rules_eligible,
-        graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, stored_lookup, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
+        graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, stored_lookup, stored_membership, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )
 }

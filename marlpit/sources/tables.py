@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.text import base_name, document_id, document_type, extension, mime_type
+from marlpit.sources.membership import build, possible
 from marlpit.sources.pages import OWN_PARSERS, Parser, read_pages
+from marlpit.sources.scratch import written
 
 SCHEMAS = {
     "documents": "document_id string, title string, team_owner string, document_type string, visibility string, version string, sha256 string, source_path string, last_updated timestamp_ntz",
@@ -26,6 +29,10 @@ KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "chunks": ["chunk_
 
 #: Tables whose keys never come twice, so that versions are only put together.
 ADDED = {"memory_grams"}
+#: Tables whose versions have a membership filter, with its column.
+FILTERED = {"documents": "sha256"}
+#: Values that passed the filters and are broadcast at most; beyond it both sides are dealt out.
+BROADCAST_HITS = 200_000
 #: Rows in a page of a stored file: a reader skips pages that can't hold the keys that it is asked for.
 PAGE_ROWS = 1_000
 
@@ -109,7 +116,48 @@ def _write(rows: DataFrame, folder: str, name: str, number: int, kind: str) -> N
     if kind == "full" or name in ADDED:
         rows = rows.repartitionByRange(KEYS[name][0])  # each file has a range of keys
     placed = rows.select(*columns, F.lit(number).cast("long").alias("_version")).sortWithinPartitions(*KEYS[name])
-    placed.write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(f"{folder}/{name}/{number:08d}-{kind}")
+    path = f"{folder}/{name}/{number:08d}-{kind}"
+    placed.write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(path)
+    if name in FILTERED:
+        _filter(rows.sparkSession, name, number, path).write.mode("overwrite").parquet(_filter_path(path, name))
+
+
+def _filter_path(version: str, name: str) -> str:
+    """The place of the filter of a version, beside the table."""
+    head, _, last = version.rpartition("/")
+    return f"{head.removesuffix(name)}{name}_filter/{last}"
+
+
+def _filter(spark: SparkSession, name: str, number: int, path: str) -> DataFrame:
+    rows = spark.read.schema(SCHEMAS[name]).parquet(path)
+    return build(rows, FILTERED[name], number, rows.count())
+
+
+def members(spark: SparkSession, folder: str, name: str, asked: DataFrame) -> DataFrame:
+    """Rows of a stored table whose filtered column has a value among `asked`, a table of that column with few repeats.
+
+    Filters of the versions name the values that may be there; rows with these are found by a scan of two columns, and
+    the last versions of their keys are read and tested. The stored table is shuffled nowhere but for those keys. A
+    version without a filter, after a crash between the two or from before there were any, has its filter worked out.
+    """
+    versions, by = versions_of(spark, folder, name), FILTERED[name]
+    if not versions:
+        return spark.createDataFrame([], SCHEMAS[name])
+    there = {number: exists(spark, f"{_filter_path(path, name)}/_SUCCESS") for number, path in versions}
+    filters = [spark.read.parquet(_filter_path(path, name)) if there[number] else _filter(spark, name, number, path) for number, path in versions]
+    hits = _bounded(written(possible(asked, by, reduce(DataFrame.unionByName, filters))))
+    rows = spark.read.schema(f"{SCHEMAS[name]}, _version long").parquet(*[path for _, path in versions])
+    found = rows.select(*KEYS[name], by).join(hits, by, "left_semi").select(*KEYS[name])
+    keys = _bounded(written(found.distinct()))
+    columns = [c for c in rows.columns if c != "_version"]
+    own = rows.join(keys, KEYS[name], "left_semi")
+    last = own.groupBy(*KEYS[name]).agg(F.max_by(F.struct(*columns), "_version").alias("row")).select("row.*")
+    return last.join(hits, by, "left_semi").select(*columns)
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    """Rows that are written, marked for broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_HITS else rows
 
 
 def compact(spark: SparkSession, folder: str, name: str) -> None:
@@ -118,8 +166,8 @@ def compact(spark: SparkSession, folder: str, name: str) -> None:
     if not versions:
         return
     _write(stored(spark, folder, name), folder, name, versions[-1][0] + 1, "full")
-    for _, path in versions:
-        target, fs = _files(spark, path)
+    for old in [path for _, path in versions] + [_filter_path(path, name) for _, path in versions if name in FILTERED]:
+        target, fs = _files(spark, old)
         fs.delete(target, True)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from marlpit.functions.text import clean
 from marlpit.operators.chunking import chunk
 from marlpit.operators.ingest import UNKNOWN
-from marlpit.sources.tables import store, stored
+from marlpit.sources.tables import members, store
 
 
 def last_arrived(batch: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def ingest_stream(spark: SparkSession, source: str, folder: str, checkpoint: str
 
     def keep(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        known = stored(session, folder, "documents").select("sha256").distinct()
+        known = members(session, folder, "documents", batch.select("sha256")).select("sha256").distinct()
         fresh = last_arrived(batch).join(known, "sha256", "left_anti")
         first = fresh.groupBy("sha256").agg(F.min_by(F.struct("document_id", "text", "path"), "document_id").alias("row")).select("sha256", "row.*")
         constant = [F.lit(v).alias(k) for k, v in UNKNOWN.items()]
