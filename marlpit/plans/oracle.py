@@ -241,6 +241,8 @@ ORACLE_SQL = {
         SELECT doc_id, source AS title, lang AS type, {level('round(s, 9)')} AS level, round(s, 6) AS place, round({blast('text', C.QUERY.split()[:10])}, 6) AS blast_radius, round({frequency('text', C.QUERY.split()[:10])}, 6) AS term_frequency,
             array_to_string({matching('text', C.QUERY.split()[:10])}, '|') AS matching_keywords FROM (SELECT *, {score('text', C.QUERY.split()[:10])} AS s FROM documents)) ORDER BY place DESC, doc_id LIMIT 5""",
     "agent_confidence": f"SELECT 'SPM Agent' AS agent, {level('round(coalesce(avg(quality), 0)::DOUBLE, 9)')} AS confidence FROM labels",
+    "agent_levels_stream": f"""SELECT agent, count(*) AS documents, {level('round(avg(score), 9)')} AS confidence
+        FROM (SELECT d.source AS agent, doc_id, max(l.quality)::DOUBLE AS score FROM labels AS l JOIN documents AS d USING (doc_id) WHERE d.source IS NOT NULL AND l.quality IS NOT NULL GROUP BY ALL) GROUP BY agent""",
     "confidence_labels": f"""SELECT vec_id, CASE WHEN score >= 0.08 THEN 'HIGH' WHEN score >= 0.03 THEN 'MEDIUM' ELSE 'LOW' END AS label, CASE WHEN score * 10 >= 7 THEN 'success' WHEN score * 10 >= 5 THEN 'primary' ELSE 'warning' END AS chip
         FROM (SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings AS e, (SELECT embedding FROM embeddings WHERE vec_id = {C.PROBE} LIMIT 1) AS p)""",
     "intent_route": f"SELECT conv_id, turn, {', '.join(routed(c, WORDED) for c in ('intent', 'tool', 'confidence', 'reason'))} FROM conversations",

@@ -14,6 +14,7 @@ from marlpit.plans import constants as C
 from marlpit.sources import tables
 from marlpit.sources.scratch import scratch_folder
 from marlpit.sources.tables import table
+from marlpit.streaming import scores
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +226,17 @@ def agent_confidence(spark, sf_dir):
     return mean.select(F.lit("SPM Agent").alias("agent"), scoring.confidence_level(F.round("mean", 9)).alias("confidence"))
 
 
+def agent_levels_stream(spark, sf_dir):
+    """Levels by source, each taken as an agent, from a stream of labels as scores of its documents."""
+    # as a glob, for a stream takes no single file by its plain name
+    updates = spark.readStream.schema("doc_id long, quality int").parquet(f"{sf_dir}/label[s].parquet")
+    agents = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("agent"))
+    scored = updates.join(agents, "doc_id").select("agent", F.col("doc_id").alias("document_id"), F.col("quality").alias("score"))
+    folder = scratch_folder(spark)
+    scores.score_stream(scored, folder, f"{folder}/checkpoint").awaitTermination()
+    return scores.agent_levels(spark, folder)
+
+
 def confidence_labels(spark, sf_dir):
     asked = F.array(*[F.lit(x) for x in probe(spark, sf_dir)])
     found = table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), asked), 6).alias("score"))
@@ -401,7 +413,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, chunk_load_order, clean_text, fingerprint_sha256, register_dedup, register_paths, ingest_documents, index_vectors, index_vectors_model, document_rows, doc_term_frequency, corpus_stats, bm25_topk, batch_search_topk, index_search_topk, index_statistics, vector_topk, vector_search_many, vector_chunk_join, vector_json, hybrid_topk, rerank_topk, answer_best,
-        blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, confidence_labels, intent_route, memory_search, rule_match, memory_index_search, think_summary, feedback_memory, rules_eligible,
+        blast_radius, term_frequency_score, contextual_relevance, matching_keywords, score_documents, query_documents, agent_confidence, agent_levels_stream, confidence_labels, intent_route, memory_search, rule_match, memory_index_search, think_summary, feedback_memory, rules_eligible,
         graph_upsert, graph_relationship_upsert, graph_neighbors, graph_neighbors_many, graph_entities_by_type, graph_entity, classify_extension, page_texts, stored_lookup, stored_membership, point_lookup_document, chunk_upsert, process_documents, process_documents_unruled, self_test,
     )
 }

@@ -20,12 +20,13 @@ SCHEMAS = {
     "chunks": "chunk_id string, document_id string, sequence int, text string, char_start int, char_end int",
     "vectors": "chunk_id string, embedding array<double>",
     "files": "path string, file_name string, document_type string, mime_type string, file_size long, modified_at timestamp, sha256 string, text string, error string, run string",
+    "agent_scores": "agent string, n long, total decimal(38,12), batch long",
     "memory": "memory_id string, content string, context map<string,string>, created_at string, confidence double",
     "memory_grams": "gram string, memory_id string, field int, place int",
     "graph_entities": "id string, name string, entity_type string, description string, metadata string, owner string, visibility string",
     "graph_relationships": "source_id string, target_id string, relation_type string, description string, confidence double, metadata string",
 }
-KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "chunks": ["chunk_id"], "vectors": ["chunk_id"], "files": ["path"], "memory": ["memory_id"], "memory_grams": ["gram", "memory_id", "field", "place"], "graph_entities": ["id"], "graph_relationships": ["source_id", "target_id", "relation_type"]}
+KEYS = {"documents": ["document_id"], "agents": ["agent_id"], "agent_scores": ["agent"], "chunks": ["chunk_id"], "vectors": ["chunk_id"], "files": ["path"], "memory": ["memory_id"], "memory_grams": ["gram", "memory_id", "field", "place"], "graph_entities": ["id"], "graph_relationships": ["source_id", "target_id", "relation_type"]}
 
 #: Tables whose keys never come twice, so that versions are only put together.
 ADDED = {"memory_grams"}
