@@ -159,7 +159,10 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 5, scale: flo
     vectors = written(taken.mapInArrow(to_bytes, "uid long, id long, asks boolean, whole binary, length double"))
     values, axes = np.linalg.eigh(outer_sums(vectors, width))
     rotation = axes[:, np.argsort(-values)]
-    longest = vectors.select("uid", "id", "whole", "length").orderBy(F.desc("length"), "uid").limit(max(k + 1, PILOT // width)).collect()
+    # each task sends its longest to the driver: names alone, the vectors of those that are chosen follow
+    names = vectors.select("length", "uid").orderBy(F.desc("length"), "uid").limit(max(k + 1, PILOT // width)).collect()
+    chosen = spark.createDataFrame([(x.uid,) for x in names], "uid long")
+    longest = vectors.select("uid", "id", "whole").join(F.broadcast(chosen), "uid", "left_semi").collect()
     pilot = spark.sparkContext.broadcast((matrix([x.whole for x in longest]), np.array([x.uid for x in longest], np.int64), np.array([x.id for x in longest], np.int64)))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,8 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 5, scale: flo
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     held = packed(vectors.withColumn("shard", place(shards)), "shard").withColumn("group", every(groups))
     asked = packed(asks.withColumn("group", place(groups)), "group", "least").select("group", "least", *[F.col(c).alias(f"q_{c}") for c in ("uids", "ids", "whole")])
-    cells = held.join(asked.withColumn("shard", every(shards)), ["shard", "group"])
+    # estimates don't know how large a packed row is: without the hint all cells' queries would pass through the driver
+    cells = held.join(asked.withColumn("shard", every(shards)).hint("merge"), ["shard", "group"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

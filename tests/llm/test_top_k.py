@@ -59,3 +59,14 @@ def test_wide_vectors_have_smaller_shards(spark, monkeypatch):
     for q in range(24):
         scores[q, 50 * q] = np.iinfo(np.int64).min
     assert sorted((r.query_id, -r.rank, r.score) for r in got) == sorted((50 * q, -k - 1, s) for q in range(24) for k, s in enumerate(np.sort(scores[q])[::-1][:5].tolist()))
+
+
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    """The queries of all cells grow with queries times shards: they are dealt out, and not sent through the driver."""
+    for name, n in {"SHARD": 150 * 16, "GROUP": 5 * 16}.items():
+        monkeypatch.setattr(top_k, name, n)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(np.random.default_rng(7).normal(size=(400, 16)))]
+    got = top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    assert len(got.collect()) == 40
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
