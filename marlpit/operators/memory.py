@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.functions.text import new_id, utc_stamp
-from marlpit.operators.substrings import containing, fields, index_memory, postings
+from marlpit.operators.substrings import contained, fields, index_memory
 from marlpit.sources.scratch import written
 from marlpit.sources.tables import store
 
@@ -62,7 +62,7 @@ def memories_of(queries: DataFrame, memory: DataFrame) -> DataFrame:
     """
     entries = written(memory.select(F.monotonically_increasing_id().alias("entry"), "content", "context"))
     texts = fields(entries, "entry")
-    return containing(queries, written(postings(texts)), texts).groupBy("asked").agg(F.count("*").alias("memories"))
+    return contained(queries, texts).groupBy("asked").agg(F.count("*").alias("memories"))
 
 
 def thoughts(queries: DataFrame, text: str, memory: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], id_col: str) -> DataFrame:

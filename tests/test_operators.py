@@ -436,3 +436,16 @@ def test_term_frequencies_exchange_sums_alone(spark):
     got = lexical.term_frequencies(chunks)
     assert sorted(map(tuple, got.collect())) == [("x", 2, 3), ("y", 2, 2), ("z", 1, 1)] == sorted(map(tuple, lexical.term_statistics(lexical.term_counts(chunks)).collect()))
     assert got._jdf.queryExecution().toString().count("Exchange hashpartitioning") == 2  # one, in the first and the last plan
+
+
+def test_contained_texts_are_tested_in_place(spark, monkeypatch):
+    rows = [(1, 0, "the exam of the 🦊 fox"), (1, 1, "exa"), (2, 0, "ab"), (3, 0, ""), (4, 0, "aaaa"), (5, 0, "an example")]
+    texts = spark.createDataFrame(rows, "entry long, field int, text string")
+    asked = ["exam", "exa", "a", "ab", "", "🦊 f", "aaa", "none", "e", "f the", "the exam of the 🦊 fox and more"]
+    table = spark.createDataFrame([(a,) for a in asked] + [(None,)], "asked string")
+    want = sorted({(a, entry) for a in asked for entry, _, text in rows if a in text})
+    got = substrings.contained(table, texts)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(substrings, "NEEDLES_MOST", 2)
+    assert sorted(map(tuple, substrings.contained(table, texts).collect())) == want
