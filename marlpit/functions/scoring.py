@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlpit.functions.text import tokens
+from marlpit.functions.text import n_tokens
 
 
 def query_keywords(query: str, most: int = 10) -> list[str]:
@@ -27,6 +27,13 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
 
+def _hits(lowered: Column, key: str) -> Column:
+    """How often a text holds a key, overlaps counted. Where no end of a key is its beginning, hits can't overlap."""
+    if any(key.startswith(key[at:]) for at in range(1, len(key))):
+        return F.regexp_count(lowered, F.lit(f"(?={re.escape(key)})"))
+    return ((F.char_length(lowered) - F.char_length(F.replace(lowered, F.lit(key), F.lit("")))) / len(key)).cast("int")
+
+
 def blast_radius(text: Column, keywords: Sequence[str]) -> Column:
     """How close together a keyword's hits stand, averaged over keywords: 1 / (1 + exp(mean gap / 50)), 1 at most.
 
@@ -36,7 +43,7 @@ def blast_radius(text: Column, keywords: Sequence[str]) -> Column:
     _checked(keywords)
     lowered, parts = F.lower(text), []
     for key, times in Counter(k.lower() for k in keywords).items():
-        hits = F.regexp_count(lowered, F.lit(f"(?={re.escape(key)})")) * times
+        hits = _hits(lowered, key) * times
         first = F.locate(key, lowered)
         last = F.char_length(lowered) - len(key) + 2 - F.locate(key[::-1], F.reverse(lowered))
         gap = (last - first) / F.greatest(hits - 1, F.lit(1))
@@ -48,14 +55,16 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     """How often keywords stand as whole words; a keyword that is given twice counts twice."""
     _checked(keywords)
     lowered = F.lower(text)
-    return _sum([F.regexp_count(lowered, F.lit(rf"(?U)\b{re.escape(k.lower())}\b")).cast("double") for k in keywords])
+    # the key comes first in the form, as its letters are tried faster than the border before it
+    count = lambda k: F.regexp_count(lowered, F.lit(rf"(?U){re.escape(k)}(?<=\b{re.escape(k)})\b")).cast("double")
+    return _sum([count(k) * float(times) for k, times in Counter(k.lower() for k in keywords).items()])
 
 
 def term_frequency(text: Column, keywords: Sequence[str]) -> Column:
     """Whole-word hits over the number of keywords and the root of the number of words, 1 at most."""
     if not keywords:
         return F.lit(0.0)
-    root = F.greatest(F.lit(1.0), F.sqrt(F.size(tokens(text)).cast("double")))
+    root = F.greatest(F.lit(1.0), F.sqrt(n_tokens(text).cast("double")))
     return F.least(F.lit(1.0), keyword_hits(text, keywords) / (root * float(len(keywords))))
 
 

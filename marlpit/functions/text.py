@@ -71,6 +71,11 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(_column(text)), r"(?U)\s+"), lambda x: x != "")
 
 
+def n_tokens(text: str | Column) -> Column:
+    """How many tokens a text has, counted without making them."""
+    return F.regexp_count(_column(text), F.lit(r"(?U)\S+"))
+
+
 def document_id(sequence: str | Column) -> Column:
     """DOC- and at least six digits; a sequence below 1 is an error."""
     number = _column(sequence)

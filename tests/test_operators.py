@@ -449,3 +449,12 @@ def test_contained_texts_are_tested_in_place(spark, monkeypatch):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(substrings, "NEEDLES_MOST", 2)
     assert sorted(map(tuple, substrings.contained(table, texts).collect())) == want
+
+
+def test_keyword_forms_have_the_same_hits(spark):
+    texts = ["the theThe the", "aaaa", "_the the_ thé the-the", "éthe thé the", "a.a a.a.a", "", " x y "]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    for key in ("the", "aa", "a.a", "é", "a"):
+        found = table.select(scoring._hits(F.lower("text"), key), F.regexp_count(F.lower("text"), F.lit(f"(?={re.escape(key)})")), scoring.keyword_hits(F.col("text"), [key, key]), 2.0 * F.regexp_count(F.lower("text"), F.lit(rf"(?U)\b{re.escape(key)}\b")), T.n_tokens("text"), F.size(T.tokens("text"))).collect()
+        assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in found), key
+    assert "(?=" not in str(table.select(scoring.blast_radius(F.col("text"), ["the"]))._jdf.queryExecution().analyzed().toString())
