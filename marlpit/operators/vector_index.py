@@ -29,6 +29,8 @@ NAME = "vector_index"
 SAMPLE, ROUNDS, CELLS_MOST, CELL = 65_536, 8, 4096, 512
 #: Vectors of a ring, queries that meet a ring together, and vectors by which a query's floor is found, about.
 RING, TOGETHER, PILOT = 128, 256, 512
+#: Vectors that are assigned at once, and queries that choose their cells at once: each of these makes a row for a cell.
+ASSIGNED, CHOOSING = 512, 16
 #: What bounds on cosines give way to rounding of angles.
 SLACK = 1e-7
 
@@ -56,6 +58,13 @@ def directions(vectors: DataFrame) -> DataFrame:
     return own.mapInArrow(turn, "chunk_id string, direction binary")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of so many rows at most, as each row meets all cells."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def matrix(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(-1, width)
 
@@ -101,11 +110,10 @@ def _write(spark: SparkSession, folder: str, kind: str, vectors: DataFrame, cent
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cosines = matrix(batch.column("direction").to_pylist(), width) @ shared.value.T
-                cells = cosines.argmax(1)
-                yield pa.RecordBatch.from_pydict({"chunk_id": batch.column("chunk_id"), "direction": batch.column("direction"), "cell": pa.array(cells, pa.int32()), "angle": pa.array(angle(cosines[np.arange(len(cells)), cells]))})
+        for batch in pieces(batches, ASSIGNED):
+            cosines = matrix(batch.column("direction").to_pylist(), width) @ shared.value.T
+            cells = cosines.argmax(1)
+            yield pa.RecordBatch.from_pydict({"chunk_id": batch.column("chunk_id"), "direction": batch.column("direction"), "cell": pa.array(cells, pa.int32()), "angle": pa.array(angle(cosines[np.arange(len(cells)), cells]))})
 
     placed = written(vectors.mapInArrow(assign, "chunk_id string, direction binary, cell int, angle double"))
     # a cell is cut into slices by quantiles of the angle, so that no task sees more of a crowded one than its share
@@ -193,9 +201,7 @@ class Search:
             middle, held = shared.value
             known = np.array(sorted(held))
             n, low, high = (np.array([held[c][k] for c in known.tolist()]) for k in range(3))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in pieces(batches, CHOOSING):
                 own = angle(matrix(batch.column("direction").to_pylist(), width) @ middle[known].T)
                 best = np.cos(nearest_angle(own, low, high)) + SLACK
                 rows, chosen = [], []

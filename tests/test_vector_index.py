@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,11 @@ def test_without_vectors(spark, tmp_path):
     vi.update_vectors(spark, str(tmp_path), frame(spark, {"a": [2.0, 0.0], "b": [float("nan"), 1.0]}).unionByName(frame(spark, {"c": [0.0, 1.0]})))
     got = vi.search_vectors(spark, str(tmp_path), asked.union(asked.withColumn("v", F.lit(None).cast("array<double>")).withColumn("item", F.lit(2))), "item", "v").collect()
     assert [(r.item, r.chunk_id, r.score) for r in got] == [(1, "a", 1.0), (1, "c", 0.0)]
+
+
+def test_queries_choose_cells_in_pieces():
+    """A query makes a row for each cell: what a task holds at once doesn't grow with queries times cells."""
+    batch = pa.RecordBatch.from_pydict({"q": list(range(40))})
+    found = list(vi.pieces(iter([batch, batch.slice(0, 0)]), vi.CHOOSING))
+    assert [x.num_rows for x in found] == [16, 16, 8]
+    assert [q for x in found for q in x.column("q").to_pylist()] == list(range(40))
